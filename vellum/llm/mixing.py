@@ -184,7 +184,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     ship(spark)
     sources, placed = plan(spark, docs, weights, share, most, block_words, seed)
     drawn = draws(spark, sources, seed)
-    out = pieces(placed).join(drawn.withColumnRenamed("source_no", "n").withColumnRenamed("block", "k"), (F.col("source_no") == F.col("n")) & (F.col("block") == F.col("k")), "left")
+    out = pieces(placed).join(drawn.withColumnRenamed("source_no", "n").withColumnRenamed("block", "k").hint("merge"), (F.col("source_no") == F.col("n")) & (F.col("block") == F.col("k")), "left")
     end = F.least(F.col("start") + F.col("size"), F.col("block_end"), F.coalesce(F.col("block_start") + F.col("words"), F.col("block_end")))
     begin = F.greatest("start", "block_start")
     return out.select("doc_id", "source", "row_hash", "size", "source_size", "target", "start", "shard", "slot", (begin - F.col("start")).alias("from_word"), F.when(F.col("shard").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), end - begin)).cast("long").alias("n_words"))

@@ -12,10 +12,13 @@ is packed in blocks of its own; repeated rows are packed each by itself. Extra c
 
 from __future__ import annotations
 
+import json
+import os
 from collections import deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +27,14 @@ from ..shipping import ship
 
 SEQUENCE = 2048
 STRIDE = 128
-SENTENCE_PENALTY = 2.0
-INNER_PENALTY = 16.0
-BLOCK_TOKENS = 1 << 20
-CACHE_WORDS = 400_000
+SENTENCE_PENALTY = 1.0
+INNER_PENALTY = 8.0
+LEAST_GAP = 12
+BLOCK_BYTES = 12_000_000
+CACHE_CHUNKS = 700_000
 END_ID = 1
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+_COLUMNS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+_TOKENIZERS: dict[tuple[str, int], ChunkTokenizer] = {}
 
 
 def default_tokenizer() -> str:
@@ -42,86 +47,124 @@ class ChunkTokenizer:
     """Ids of texts, chunk by chunk between blanks, with a bounded cache of chunks.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    chunks in a row.
+    chunks in a row. A chunk's ids lie in ``pool`` from ``start`` on; ``length`` is their number and
+    ``ends`` says that a sentence may end after them. Entry 0 is the end token.
     """
 
-    def __init__(self, path: str, max_chunks: int = CACHE_WORDS):
+    def __init__(self, path: str, end_id: int, max_chunks: int = CACHE_CHUNKS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_chunks = Tokenizer.from_file(path), max_chunks
-        self.ids: dict[str, bytes] = {}
-        self.info: dict[str, int] = {}
+        self.tokenizer, self.end_id, self.max_chunks = Tokenizer.from_file(path), end_id, max_chunks
+        self.model = self.tokenizer.model
+        codes = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        spare = [b for b in range(256) if b not in codes]
+        self.letters = {b: chr(b) for b in codes} | {b: chr(256 + i) for i, b in enumerate(spare)}
+        config = json.loads(self.tokenizer.to_str())
+        kinds = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
+        splits = [n["type"] for n in (config.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        #: lower-cased words of letters are then one unit of the model
+        self.plain = "Lowercase" in kinds and splits == ["Split", "ByteLevel"] and config["model"].get("end_of_word_suffix") == "</w>"
+        self.reset()
+
+    def reset(self) -> None:
+        self.entry: dict[str, int] = {}
+        self.stems: dict[str, list[int]] = {}
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.pool[0], self.used, self.count = self.end_id, 1, 1
+        self.start, self.length, self.ends = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+        self.length[0] = 1
 
     @classmethod
-    def of(cls, path: str) -> ChunkTokenizer:
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = cls(path)
-        return _TOKENIZERS[path]
-
-    @staticmethod
-    def _plain(chunk: str) -> tuple[str, str]:
-        """(stem, tail) such that lower-casing the stem and splitting the tail off leave the ids alone."""
+    def of(cls, path: str, end_id: int) -> ChunkTokenizer:
+        if (path, end_id) not in _TOKENIZERS:
+            _TOKENIZERS[path, end_id] = cls(path, end_id)
+        return _TOKENIZERS[path, end_id]
+
+    def _ids(self, part: str) -> list[int]:
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
+
+    def _chunk_ids(self, chunk: str) -> list[int]:
         stem = chunk.rstrip(".,")
-        if stem and stem.isalpha() and max(stem) < "İ":
-            return stem.lower(), chunk[len(stem) :]
-        return chunk, ""
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def learn(self, chunks: set[str]) -> None:
-        ids = self.ids
-        if len(ids) + len(chunks) > self.max_chunks:
-            ids.clear()
-            self.info.clear()
-        new = [c for c in chunks if c not in ids]
-        if not new:
-            return
-        parts = [self._plain(c) for c in new]
-        need = list({x for p in parts for x in p if x and x not in ids})
-        got = dict(zip(need, self._encode(need), strict=True))
-        for c, (stem, tail) in zip(new, parts, strict=True):
-            b = (got.get(stem) or ids.get(stem, b"")) + (got.get(tail) or ids.get(tail, b"") if tail else b"")
-            ids[c] = b
-            n = len(b) >> 2
-            self.info[c] = -n - 1 if c[-1:] in ".!?" and n else n  # negative: a sentence may end here
-
-    def encode(self, text: str) -> tuple[bytes, np.ndarray]:
-        """(little-endian unsigned 32-bit ids, offsets after which a sentence ends)."""
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            got = b"".join(map(self.ids.__getitem__, chunks))
-            info = np.fromiter(map(self.info.__getitem__, chunks), np.int64, len(chunks))
-        except KeyError:
-            self.learn(set(chunks))
-            got = b"".join(map(self.ids.__getitem__, chunks))
-            info = np.fromiter(map(self.info.__getitem__, chunks), np.int64, len(chunks))
-        n = np.where(info < 0, -info - 1, info)
-        return got, np.cumsum(n)[info < 0]
-
-
-def cut_points(lengths: list[int], ends: list[np.ndarray], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, penalties) where a block of documents may be cut; gaps are at most ``stride``."""
-    pos, pen, base = [np.zeros(1, np.int64)], [np.zeros(1)], 0
-    for n, e in zip(lengths, ends, strict=True):
-        e = e[(e > 0) & (e < n)]
-        if len(e):
-            e = e[np.concatenate(([True], np.diff(e) > 0))]
-        marks = np.concatenate((e, [n]))
-        cost = np.full(len(marks), SENTENCE_PENALTY)
-        cost[-1] = 0.0
-        gap = np.diff(marks, prepend=0)
-        if gap.max() > stride:
-            long = np.nonzero(gap > stride)[0]
-            inner = np.concatenate([np.arange(marks[i] - gap[i] + stride, marks[i], stride) for i in long])
-            marks, cost = np.concatenate((marks, inner)), np.concatenate((cost, np.full(len(inner), INNER_PENALTY)))
-            order = np.argsort(marks, kind="stable")
-            marks, cost = marks[order], cost[order]
-        pos.append(marks + base)
-        pen.append(cost)
-        base += n
-    return np.concatenate(pos), np.concatenate(pen)
+        # for these letters, lower-casing one by one and composing them change nothing further
+        if not (self.plain and stem and stem.isalpha() and max(stem) < "\u0130"):
+            return self._ids(chunk)
+        low = stem.lower()
+        ids = self.stems.get(low)
+        if ids is None:
+            unit = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
+            ids = self.stems[low] = [t.id for t in self.model.tokenize(unit)]
+        tail = chunk[len(stem) :]
+        if tail:
+            more = self.stems.get(tail)
+            if more is None:
+                more = self.stems[tail] = self._ids(tail)
+            return ids + more
+        return ids
+
+    def entries(self, chunks: list[str]) -> np.ndarray:
+        """Entry of each of these distinct chunks."""
+        if len(self.entry) > self.max_chunks:
+            self.reset()
+        get = self.entry.get
+        out = [get(c) for c in chunks]
+        flat: list[int] = []
+        sizes, ends = [], []
+        for k, e in enumerate(out):
+            if e is None:
+                ids = self._chunk_ids(chunks[k])
+                out[k] = self.entry[chunks[k]] = self.count + len(sizes)
+                flat += ids
+                sizes.append(len(ids))
+                ends.append(bool(ids) and chunks[k][-1] in ".!?")
+        if sizes:
+            n, m = len(sizes), len(flat)
+            self.pool = _room(self.pool, self.used + m)
+            self.pool[self.used : self.used + m] = flat
+            for name, values in (("start", self.used + np.cumsum(sizes) - sizes), ("length", sizes), ("ends", ends)):
+                a = _room(getattr(self, name), self.count + n)
+                a[self.count : self.count + n] = values
+                setattr(self, name, a)
+            self.used, self.count = self.used + m, self.count + n
+        return np.array(out, np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by the end token; where each text ends; where sentences end)."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        entry = self.entries(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+        last = parts.offsets.to_numpy().astype(np.int64)[1:] - parts.offsets[0].as_py()
+        entry = np.insert(entry, last, 0)
+        n = self.length[entry]
+        after = np.cumsum(n)
+        at = np.repeat(self.start[entry] - (after - n), n)
+        at += np.arange(len(at))
+        return self.pool[at], after[entry == 0], after[self.ends[entry]]
+
+
+def _room(a: np.ndarray, need: int) -> np.ndarray:
+    return a if need <= len(a) else np.concatenate((a, np.zeros(max(need, 2 * len(a)) - len(a), a.dtype)))
+
+
+def cut_points(doc_ends: np.ndarray, sentence_ends: np.ndarray, stride: int = STRIDE, least: int = LEAST_GAP) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, penalties) where a block of documents may be cut; gaps are at most ``stride``.
+
+    Sentence ends within ``least`` tokens of the place before them are left out.
+    """
+    marks = np.concatenate(([0], sentence_ends, doc_ends))
+    cost = np.concatenate(([0.0], np.full(len(sentence_ends), SENTENCE_PENALTY), np.zeros(len(doc_ends))))
+    order = np.lexsort((cost, marks))
+    marks, cost = marks[order], cost[order]
+    keep = np.concatenate(([True], (cost[1:] == 0) | (np.diff(marks) >= least))) & np.concatenate(([True], np.diff(marks) > 0))
+    marks, cost = marks[keep], cost[keep]
+    gap = np.diff(marks, prepend=0)
+    long = np.nonzero(gap > stride)[0]
+    if len(long):
+        inner = np.concatenate([np.arange(marks[i] - gap[i] + stride, marks[i], stride) for i in long])
+        marks, cost = np.concatenate((marks, inner)), np.concatenate((cost, np.full(len(inner), INNER_PENALTY)))
+        order = np.argsort(marks, kind="stable")
+        marks, cost = marks[order], cost[order]
+    return marks, cost
 
 
 def best_cuts(pos: np.ndarray, pen: np.ndarray, most: int = SEQUENCE) -> list[int]:
@@ -161,7 +204,7 @@ def best_cuts(pos: np.ndarray, pen: np.ndarray, most: int = SEQUENCE) -> list[in
     return cuts[::-1]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, stride: int = STRIDE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, stride: int = STRIDE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pieces of packed sequences: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     sequence_id is the partition's number times 2**32 plus the sequence's rank, so it is gapless
@@ -169,41 +212,35 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, se
     """
     ship(docs.sparkSession)
     path = tokenizer or default_tokenizer()
-    tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tok = ChunkTokenizer.of(path)
+        tok = ChunkTokenizer.of(path, end_id)
         base = TaskContext.get().partitionId() << 32
-        docs_, total = [], 0
-
-        def flush():
-            nonlocal base, docs_, total
-            lengths = [len(b) >> 2 for _, b, _ in docs_]
-            cuts = best_cuts(*cut_points(lengths, [e for *_, e in docs_], stride), sequence)
-            out, d, at, left = [], 0, 0, 0  # document, tokens of it that are placed, sequence's start
-            for cut in cuts:
-                offset, room = 0, cut - left
-                while room:
-                    n = min(room, lengths[d] - at)
-                    out.append((docs_[d][0], at, n, docs_[d][1][4 * at : 4 * (at + n)], lengths[d], base, offset))
-                    at, offset, room = at + n, offset + n, room - n
-                    if at == lengths[d]:
-                        d, at = d + 1, 0
-                left, base = cut, base + 1
-            docs_, total = [], 0
-            return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
-
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids, ends = tok.encode(text) if text else (b"", np.zeros(0, np.int64))
-                docs_.append((None if pd.isna(doc_id) else int(doc_id), ids + tail, ends))
-                total += (len(ids) >> 2) + 1
-                if total >= block_tokens:
-                    yield flush()
-        if docs_:
-            yield flush()
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        for batch in batches:
+            for part in _parts(batch, block_bytes):
+                ids, doc_ends, sentence_ends = tok.encode(part.column(1))
+                cuts = np.array(best_cuts(*cut_points(doc_ends, sentence_ends, stride), sequence))
+                doc_starts, seq_starts = np.concatenate(([0], doc_ends[:-1])), np.concatenate(([0], cuts[:-1]))
+                begin = np.union1d(doc_starts, seq_starts)
+                end = np.append(begin[1:], len(ids))
+                d, q = np.searchsorted(doc_starts, begin, "right") - 1, np.searchsorted(seq_starts, begin, "right") - 1
+                offsets = pa.py_buffer(np.append(4 * begin, 4 * len(ids)).astype(np.int32).tobytes())
+                data = pa.Array.from_buffers(pa.binary(), len(begin), [None, offsets, pa.py_buffer(ids.astype("<u4").tobytes())])
+                columns = [part.column(0).take(pa.array(d)), begin - doc_starts[d], end - begin, data, (doc_ends - doc_starts)[d], base + q, begin - seq_starts[q]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=_COLUMNS)
+                base += len(cuts)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def _parts(batch: pa.RecordBatch, block_bytes: int):
+    """Slices of a batch of about ``block_bytes`` of text; a longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + block_bytes, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import language, mixing, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
+    "op4_quality": quality.op4_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_language": language.op6_language,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_quality": quality.op4_sql(),
+}
