@@ -2,7 +2,8 @@
 
 Two documents whose shingle sets have a Jaccard similarity of at least num/den share, under any one
 order of all tokens, a token among the first n - ceil(n*num/den) + 1 of each. Candidates come from
-order A and must also share prefix tokens under orders B and C before their sets are compared. Every
+order A; those whose bucket counts leave room for a link must also share prefix tokens under orders B
+and C before their sets are compared. Every
 order puts tokens that a corpus-wide sketch of document counts finds frequent last, so that a passage
 common to many documents makes no candidates. The sketch has a fixed size and only affects speed.
 
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import components, gram_hashes, mix64, prefix_hash, saved, span_hash, word_hashes
+from .common import broadcast_if_small, components, gram_hashes, mix64, prefix_hash, saved, span_hash, word_hashes
 
 K = 5
 NUM, DEN = 75, 100
-SLOT_BITS = 20
-BLOCK_BITS = 16
+SLOT_BITS = 22
+SIGNATURE = 256
+BLOCK_BITS = 17
 STAR_ROUNDS = 2
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
@@ -62,44 +64,59 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Bitmap of the slots of tokens in far more documents than a slot's share of all tokens."""
-    schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(info, bitmap): doc_id, n_shingles, node and signature of each document; and the slots of tokens
+    in far more documents than a slot's share of all tokens, from merged partition sketches."""
+    names = ["doc_id", "n_shingles", "node", "signature", "block"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+    ddl = "doc_id long, n_shingles long, node long, signature binary, block int"
 
-    def count(batches):
+    def run(batches):
         c = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                s, _ = shingles(text.as_py())
-                c += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    np.add.at(c, (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+            got = [shingles(t.as_py()) for t in batch.column("text")]
+            for lo in range(0, len(got), 1000):
+                s = np.concatenate([x for x, _ in got[lo : lo + 1000]])
+                c += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(([len(s) for s, _ in got], [w for _, w in got], [signature(s) for s, _ in got], [None] * len(got)), types[1:], strict=True))], names=names)
         if c.any():
-            parts = np.minimum(c, 65535).astype("<u2").reshape(-1, 1 << BLOCK_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], schema=schema)
+            parts = np.minimum(c, 255).astype(np.uint8).reshape(-1, 1 << BLOCK_BITS)
+            none = [None] * len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, none, [x.tobytes() for x in parts], range(len(parts))), types, strict=True)], names=names)
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(counts, "<u2")
-                sums[block] = sums.get(block, 0) + got.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], schema=schema)
+            for counts, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.uint8).astype(np.int64)
+        out = [x.astype("<i8").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(list(sums), pa.int32())], names=["signature", "block"])
 
-    n = 1 << (SLOT_BITS - BLOCK_BITS)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = saved(base.mapInArrow(run, ddl), "info")
     total = np.zeros(1 << SLOT_BITS, np.int64)
-    for r in docs.select("text").mapInArrow(count, "block int, counts binary").repartition(n, "block").mapInArrow(merge, "block int, counts binary").collect():
-        total[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["counts"], "<i8")
+    sketches = both.where("block is not null").select("signature", "block").repartition(1 << (SLOT_BITS - BLOCK_BITS), "block")
+    for r in sketches.mapInArrow(merge, "signature binary, block int").toLocalIterator():  # 2**SLOT_BITS counts in all
+        total[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["signature"], "<i8")
     mean = total.mean()
-    return np.packbits(total > mean + 8 * np.sqrt(mean) + 24)
+    return both.where("block is null").drop("block"), np.packbits(total > mean + 6 * np.sqrt(mean) + 8)
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(info: doc_id, n_shingles, node) and (tokens: token, node, n) under order A."""
-    def info(batches):
-        for batch in batches:
-            got = [shingles(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s, _ in got], pa.int64()), pa.array([w for _, w in got], pa.int64())], names=["doc_id", "n_shingles", "node"])
+def signature(s: np.ndarray) -> bytes:
+    """Tokens in each of SIGNATURE buckets; the lesser counts of two sets add up to no less than their intersection."""
+    return np.minimum(np.bincount((s & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 255).astype(np.uint8).tobytes() if len(s) else b""
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether signatures (rows) leave room for a link; a full bucket may hold any number."""
+    least = np.minimum(a, b)
+    most = np.where((least == 255).any(axis=1), np.minimum(na, nb), least.sum(axis=1, dtype=np.int64))
+    most = np.minimum(most, np.minimum(na, nb))
+    return DEN * most >= NUM * (na + nb - most)
+
+
+def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(token, node, n): the first tokens under order A of each node."""
 
     def tokens(batches):
         seen: set[int] = set()
@@ -120,7 +137,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), reps)), pa.array(np.repeat(np.array(sizes, np.int32), reps))], names=["token", "node", "n"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.mapInArrow(info, "doc_id long, n_shingles long, node long"), base.mapInArrow(tokens, "token long, node long, n int")
+    return base.mapInArrow(tokens, "token long, node long, n int")
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
@@ -157,10 +174,11 @@ def _shared(tokens: DataFrame) -> DataFrame:
     return tokens.repartition(parts, "token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "token long, node long, n int, pivot long")
 
 
-def _sets(docs: DataFrame, info: DataFrame, shared: DataFrame) -> DataFrame:
-    """(node, tokens): the sets, as sorted 64-bit integers, of nodes that share a token with another."""
-    reps = info.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("_id"))
-    need = reps.join(shared.select("node").distinct(), "node", "left_semi").select("node", "_id")
+def _sets(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, tokens): the sets, as sorted 64-bit integers, of the pairs' nodes."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    need = info.groupBy("node").agg(F.min("doc_id").alias("_id")).join(nodes, "node", "left_semi").select("node", "_id")
+    need = broadcast_if_small(saved(need, "need"))
 
     def build(batches):
         for batch in batches:
@@ -168,10 +186,29 @@ def _sets(docs: DataFrame, info: DataFrame, shared: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([w for _, w in got], pa.int64()), pa.array([s.tobytes() for s, _ in got], pa.binary())], names=["node", "tokens"])
 
     have = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(need, F.col("_d").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    return have.mapInArrow(build, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    # rows that share a doc_id may bring nodes that nobody asked for, and copies
+    return have.mapInArrow(build, "node long, tokens binary").dropDuplicates(["node"])
+
+
+def _possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The pairs whose signatures leave room for a link."""
+    one = info.where("n_shingles > 0").groupBy("node").agg(F.min("n_shingles").alias("n"), F.min("signature").alias("s"))
+    one = one.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+    one = saved(one, "signatures")
+    left, right = one.toDF("a", "na", "sa"), one.toDF("b", "nb", "sb")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 5))
+                ok = may_link(a, b, batch.column(2).to_numpy(), batch.column(4).to_numpy())
+                yield batch.filter(pa.array(ok)).select([0, 1])
+
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb")
+    return saved(both.mapInArrow(run, "a long, b long"), "possible")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+def _verify(docs: DataFrame, info: DataFrame, pairs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """The pairs (a, b) that link. Pairs of one a stand together, thousands to a share, after a's own set."""
 
     def run(batches):
@@ -189,6 +226,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, frequent: np.ndarray) -> DataFram
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
+    pairs = _possible(pairs, info)
+    sets = saved(_sets(docs, info, pairs), "sets")
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / 2000)).cast("int")
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
@@ -210,12 +249,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     ship(spark)
-    frequent = frequent_tokens(docs)
-    info, tokens = _prefixes(docs, frequent)
-    info = saved(info, "info")
-    shared = saved(_shared(tokens), "shared")
-    sets = saved(_sets(docs, info, shared), "sets")
-    links = saved(_verify(shared.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets, frequent), "links")
+    info, frequent = first_pass(docs)
+    shared = saved(_shared(_prefixes(docs, frequent)), "shared")
+    pairs = saved(shared.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = saved(_verify(docs, info, pairs, frequent), "links")
     comp = saved(components(spark, links), "comp")
     fits = lambda a, b: F.expr(f"{DEN} * least({a}, {b}) >= {NUM} * greatest({a}, {b})")
     for r in range(STAR_ROUNDS + 1):
@@ -232,7 +269,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             minor = rows.where("comp <> major").select("token", F.col("node").alias("m"), F.col("n").alias("mn"), F.col("comp").alias("mc"))
             pairs = minor.join(rows, "token").where("comp <> mc and (comp = major or m < node)").where(fits("n", "mn")).select(F.col("m").alias("a"), F.col("node").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = saved(_verify(saved(pairs, "pairs"), sets, frequent), "links")
+        more = saved(_verify(docs, info, saved(pairs, "pairs"), frequent), "links")
         if more.isEmpty():
             continue
         links = links.union(more)
