@@ -1,0 +1,59 @@
+"""Signals of grey rasters as relations ``(img, y, x, v)``; 0 is black, 255 white."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+# Threshold bounds, tone distance and the local threshold's constants.
+EMPTY_THRESHOLD, LEAST_THRESHOLD, MOST_THRESHOLD, TONE_DISTANCE = 186, 90, 230, 45
+SAUVOLA_K, SAUVOLA_RANGE = 0.34, 128.0
+
+
+def otsu(pixels: DataFrame) -> DataFrame:
+    """(img, threshold): the first value of the greatest variance between classes, within bounds."""
+    hist = pixels.groupBy("img", "v").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("img")
+    up = w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    run = hist.select("img", "v", F.sum("n").over(up).alias("n0"), F.sum(F.col("n") * F.col("v")).over(up).alias("s0"), F.sum("n").over(w).alias("n"), F.sum(F.col("n") * F.col("v")).over(w).alias("s"))
+    n1 = F.col("n") - F.col("n0")
+    apart = F.when(n1 > 0, F.col("n0").cast("double") * n1 * F.pow(F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / n1, F.lit(2.0))).otherwise(0.0)
+    best = run.withColumn("between", F.round(apart, 3)).groupBy("img").agg(F.min_by("v", F.struct(-F.col("between"), F.col("v"))).alias("t"))
+    return best.select("img", F.least(F.greatest("t", F.lit(LEAST_THRESHOLD)), F.lit(MOST_THRESHOLD)).cast("long").alias("threshold"))
+
+
+def ink_and_tone(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Shares of pixels below the threshold, and near it."""
+    j = pixels.join(thresholds, "img")
+    return j.groupBy("img", "threshold").agg(F.avg((F.col("v") < F.col("threshold")).cast("double")).alias("ink"), F.avg((F.abs(F.col("v") - F.col("threshold")) < TONE_DISTANCE).cast("double")).alias("tone"))
+
+
+def downsample(pixels: DataFrame, factor: int) -> DataFrame:
+    """Box means, truncated, over cells of ``factor`` pixels a side; cells at the edge are smaller."""
+    return pixels.groupBy("img", F.floor(F.col("y") / factor).alias("y"), F.floor(F.col("x") / factor).alias("x")).agg(F.expr("sum(v) div count(*)").alias("v"))
+
+
+def psnr(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Peak signal to noise ratio of pairs of images; null for identical ones."""
+    j = a.join(b.withColumnRenamed("v", "w"), ["img", "y", "x"])
+    return j.groupBy("img").agg(F.avg(F.pow(F.col("v") - F.col("w"), F.lit(2))).alias("mse")).select("img", F.when(F.col("mse") > 0, 10 * F.log10(255.0 * 255.0 / F.col("mse"))).alias("psnr"))
+
+
+def _box(column: Column, radius: int) -> Column:
+    return F.sum(column).over(Window.partitionBy("img", "y").orderBy("x").rangeBetween(-radius, radius))
+
+
+def local_threshold(pixels: DataFrame, radius: int) -> DataFrame:
+    """(img, y, x, mark): darker than the window's mean times 1 + k * (deviation / range - 1). Two separable sums."""
+    v = F.col("v").cast("double")
+    rows = pixels.select("img", "y", "x", "v", _box(v, radius).alias("s"), _box(v * v, radius).alias("q"), _box(F.lit(1.0), radius).alias("n"))
+    down = Window.partitionBy("img", "x").orderBy("y").rangeBetween(-radius, radius)
+    both = rows.select("img", "y", "x", "v", (F.sum("s").over(down) / F.sum("n").over(down)).alias("m"), (F.sum("q").over(down) / F.sum("n").over(down)).alias("q"))
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("m") * F.col("m")))
+    return both.select("img", "y", "x", (F.col("v") < F.col("m") * (1 + SAUVOLA_K * (deviation / SAUVOLA_RANGE - 1))).alias("mark"))
+
+
+def dark_cells(pixels: DataFrame, rows: int, columns: int, height: int, width: int) -> DataFrame:
+    """Mean darkness of a grid of cells."""
+    return pixels.groupBy("img", F.floor(F.col("y") * rows / height).alias("r"), F.floor(F.col("x") * columns / width).alias("c")).agg(F.avg(255 - F.col("v")).alias("dark"))
