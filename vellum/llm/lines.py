@@ -23,29 +23,23 @@ TAU = 2
 MIN_CHARS = 20
 
 
-def _segment(length: Column, k: int, tau: int = TAU) -> tuple[Column, Column]:
-    """(0-based start, length) of segment k of a line of that length; later segments are the longer ones."""
-    parts = tau + 1
-    base, extra = F.floor(length / parts).cast("int"), length % parts
-    start = k * base + F.greatest(F.lit(0), F.lit(k - parts) + extra)
-    return start, base + F.when(F.lit(k) >= parts - extra, 1).otherwise(0)
-
-
-def segment_keys(line: Column, length: Column, tau: int = TAU) -> Column:
-    """Array of (key, indexed): the line's own segments, and the substrings that may equal segments of
-    lines up to ``tau`` characters shorter."""
-    rows = []
+def segment_keys(lines: DataFrame, own: bool, tau: int = TAU) -> DataFrame:
+    """(id, len, key, own) of each line: its own segments, which index it, and unless ``own`` also the
+    substrings that may equal segments of lines up to ``tau`` characters shorter.
+
+    The places are rows of literals, so that one short expression is compiled and not one for each.
+    """
+    parts, places = tau + 1, []
     for d in range(tau + 1):
-        short = length - d
-        for k in range(tau + 1):
-            start, size = _segment(short, k, tau)
+        for k in range(parts):
             for shift in range(max(-k, d - (tau - k)), min(k, d + (tau - k)) + 1):
-                own = d == 0 and shift == 0
-                at = start + shift
-                key = F.xxhash64(F.lit(k), short, F.substring(line, at + 1, size))
-                fits = F.lit(True) if own else (at >= 0) & (at + size <= length)
-                rows.append(F.when(fits, F.struct(key.alias("key"), F.lit(own).alias("own"))))
-    return F.array(*rows)
+                if not own or (d == 0 and shift == 0):
+                    places.append(f"named_struct('d', {d}, 'k', {k}, 's', {shift})")
+    out = lines.withColumn("p", F.explode(F.expr(f"array({', '.join(places)})"))).selectExpr("id", "len", "line", "p.d", "p.k", "p.s", "len - p.d as short")
+    # later segments are the longer ones
+    out = out.selectExpr("*", f"short div {parts} as base", f"short % {parts} as extra")
+    out = out.selectExpr("*", f"cast(k * base + greatest(0, k - {parts} + extra) + s as int) as at", f"cast(base + if(k >= {parts} - extra, 1, 0) as int) as size")
+    return out.where("at >= 0 and at + size <= len").selectExpr("id", "len", "xxhash64(k, short, substring(line, at + 1, size)) as key", "d = 0 and s = 0 as own")
 
 
 def within(a: Column, b: Column, tau: int = TAU) -> Column:
@@ -77,7 +71,8 @@ def within(a: Column, b: Column, tau: int = TAU) -> Column:
             out = levels[0]
             for e in range(1, tau + 1):
                 out = out.bitwiseOR(F.shiftleft(levels[e], e * width))
-            return out
+            # no state left: nothing can match any more
+            return F.when(state == 0, state).otherwise(out)
 
         return advance
 
@@ -102,11 +97,10 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     place = F.struct("doc_id", "text_hash", "line_no")
     seen = saved(occ.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id"), F.length("line").alias("len")), "lines")
     classes = saved(seen.groupBy("id", "len").agg(F.min(place).alias("first"), F.max(place).alias("last")), "classes")
-    keyed = occ.select(F.xxhash64("line").alias("id"), F.length("line").alias("len"), F.explode(F.array_compact(segment_keys(F.col("line"), F.length("line"), tau))).alias("k"))
-    keyed = keyed.select("id", "len", "k.key", "k.own")
+    lines = occ.select(F.xxhash64("line").alias("id"), F.length("line").alias("len"), "line")
     # distinct: each occurrence of a line then meets every near line once, however common it is
-    own = keyed.where("own").select("key", F.col("id").alias("a"), F.col("len").alias("la")).distinct()
-    probe = keyed.select("key", F.col("id").alias("b"), F.col("len").alias("lb"), F.col("own").alias("both"))
+    own = segment_keys(lines, True, tau).select("key", F.col("id").alias("a"), F.col("len").alias("la")).distinct()
+    probe = segment_keys(lines, False, tau).select("key", F.col("id").alias("b"), F.col("len").alias("lb"), F.col("own").alias("both"))
     # of two lines of one length, found from both sides by their own segments, one order is enough
     pairs = probe.join(own.hint("shuffle_hash"), "key").where("(la <> lb or a <> b) and (not both or la <> lb or a < b)")
     pairs = saved(pairs.select("a", "la", "b", "lb").distinct(), "pairs")
