@@ -149,7 +149,8 @@ def plan(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=SHARE, mos
         length = size / blocks if blocks else 0.0
         quota = min(int(np.ceil(target / length - 1e-9)), int(most * blocks)) if blocks else 0
         sources.append({"source_no": i, "source": r["source"], "source_size": size, "target": target, "blocks": blocks, "quota": quota, "last_words": int(round(target - (quota - 1) * length)) if quota else 0})
-    table = spark.createDataFrame(pd.DataFrame(sources or [{"source_no": 0}], columns=["source_no", "source", "source_size", "target", "blocks"]).astype({"source": object}), "source_no int, source string, source_size long, target double, blocks long").where("blocks is not null")
+    names = ["source_no", "source", "source_size", "target", "blocks"]
+    table = spark.createDataFrame([tuple(x[n] for n in names) for x in sources], "source_no int, source string, source_size long, target double, blocks long")
     at = Window.partitionBy("source", "bucket").orderBy("doc_id", "row_hash")
     placed = rows.withColumn("within", F.sum("size").over(at.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(starts.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
