@@ -44,26 +44,63 @@ SCRIPTS = {
 }
 
 
-def script_of(word: str) -> str | None:
-    """Script of the first letter that has one; None without such a letter."""
-    for ch in word:
-        if ch.isalpha():
-            o = ord(ch)
-            if o < 0x250:
-                return "latin"
-            for name, ranges in SCRIPTS.items():
-                if any(a <= o <= b for a, b in ranges):
-                    return name
-    return None
+_NAMES = ["other", *SCRIPTS]
+#: By code point: -2 not looked up yet, -1 no letter, 0 a letter without a script, else the script's place in _NAMES.
+_KIND = np.full(0x110000, -2, np.int8)
+#: White space stands for the edges of words, as no word holds any.
+_START, _END = ord("\n"), ord("\r")
 
 
-def letters_only(word: str) -> str:
-    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
+def _kind(point: int) -> int:
+    if not chr(point).isalpha():
+        return -1
+    if point < 0x250:
+        return _NAMES.index("latin")
+    return next((_NAMES.index(name) for name, ranges in SCRIPTS.items() if any(a <= point <= b for a, b in ranges)), 0)
 
 
-def grams(word: str) -> list[str]:
-    p = f"^{word}$"
-    return [*word, *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))]
+class Words:
+    """Words in lower case, of letters only, as one array of code points between edges.
+
+    ``start`` has the place of each word's first edge, ``letters`` its number of letters and ``script``
+    the script of its first letter that has one (0: none). grams() gives the codes of the 1-, 2- and
+    3-grams that begin at each place, three times 21 bits, 0 where none begins.
+    """
+
+    def __init__(self, words: list[str]):
+        text = "\n" + "\r\n".join(words) + "\r"
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _KIND[points]
+        if (kind == -2).any():
+            for p in np.unique(points[kind == -2]).tolist():
+                _KIND[p] = _kind(p)
+            kind = _KIND[points]
+        keep = (kind >= 0) | (points == _START) | (points == _END)
+        self.points, kind = points[keep].astype(np.uint64), kind[keep]
+        self.start = np.nonzero(self.points == _START)[0]
+        self.letters = np.diff(np.append(self.start, len(self.points))) - 2
+        self.script = np.zeros(len(words), np.int8)
+        known = np.nonzero(kind > 0)[0][::-1]
+        self.script[np.searchsorted(self.start, known, side="right") - 1] = kind[known]  # the first comes last
+
+    def grams(self) -> list[np.ndarray]:
+        c = np.concatenate((self.points, np.zeros(2, np.uint64)))
+        one, two, three = c[:-2], c[1:-1], c[2:]
+        letter = (one != _START) & (one != _END)
+        pair = (one != _END) & (letter | (two != _END))
+        both = one | two << np.uint64(21)
+        triple = pair & (two != _END)
+        return [np.where(letter, one, 0), np.where(pair, both, 0), np.where(triple, both | three << np.uint64(42), 0)]
+
+
+def gram_text(code: int) -> str:
+    """A gram as text, edges as ^ and $."""
+    parts = [code & 0x1FFFFF, code >> 21 & 0x1FFFFF, code >> 42]
+    return "".join("^" if x == _START else "$" if x == _END else chr(x) for x in parts if x)
+
+
+def gram_code(text: str) -> int:
+    return sum((_START if c == "^" else _END if c == "$" else ord(c)) << 21 * k for k, c in enumerate(text))
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -75,16 +112,18 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         def out():
             langs, keys, counts = [], [], []
             for lang, seen in words.items():
-                c: Counter = Counter()
-                for w, n in seen.items():
-                    w = letters_only(w.lower())
-                    if w:
-                        for g in grams(w):
-                            c[g] += n
-                        c["\0" + (script_of(w) or "other")] += n
-                langs += [lang] * len(c)
-                keys += c.keys()
-                counts += c.values()
+                w = Words(list(seen))
+                times = np.fromiter(seen.values(), np.int64, len(seen))
+                at = np.repeat(times, w.letters + 2)
+                for codes in w.grams():
+                    some = codes > 0
+                    c, back = np.unique(codes[some], return_inverse=True)
+                    keys += map(gram_text, c.tolist())
+                    counts += np.bincount(back, at[some], len(c)).astype(np.int64).tolist()
+                of = np.bincount(w.script[w.letters > 0], times[w.letters > 0], len(_NAMES)).astype(np.int64)
+                keys += ["\0" + _NAMES[k] for k in np.nonzero(of)[0]]
+                counts += of[of > 0].tolist()
+                langs += [lang] * (len(keys) - len(langs))
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
@@ -124,8 +163,12 @@ class LanguageModel:
                 p[rows] = np.log(part / part.sum(axis=0))
         # what all languages share says nothing
         p -= p.mean(axis=1, keepdims=True) if len(p) else 0
-        self.gram = {g: i for i, g in enumerate(table.index)}
-        self.table = np.vstack((p, np.zeros(len(self.langs))))
+        codes = np.array([gram_code(g) for g in table.index], np.uint64)
+        order = np.argsort(codes)
+        self.codes = codes[order]
+        self.table = np.vstack((p[order], np.zeros(len(self.langs))))
+        allowed = [self.scripts.get(x) if k else None for k, x in enumerate(_NAMES)]
+        self.off = np.array([np.where(a, 0.0, -50.0) if a is not None and a.any() else np.zeros(len(self.langs)) for a in allowed])
         self.max_words = max_words
         self.number: dict[str, int] = {}
         self.reset()
@@ -139,27 +182,33 @@ class LanguageModel:
         """Scores of new words, worked out together."""
         if not words:
             return
-        start, none, get = len(self.number), len(self.table) - 1, self.gram.get
-        flat: list[int] = []
-        first, letters = [], []
-        off = np.zeros((len(words), len(self.langs)))
-        for k, w in enumerate(words):
-            self.number[w] = start + k
-            low = letters_only(w.lower())
-            letters.append(len(low))
-            first.append(len(flat))
-            flat.extend([get(g, none) for g in grams(low)] if low else [none])
-            allowed = self.scripts.get(script_of(low)) if low else None
-            if allowed is not None and allowed.any() and not allowed.all():
-                off[k, ~allowed] = -50.0
-        new = np.add.reduceat(self.table[flat], first, axis=0) + off
+        w, start, none = Words(words), len(self.number), len(self.codes)
+        at = np.zeros((len(w.points), len(self.langs)))
+        if none:
+            for codes in w.grams():
+                place = np.searchsorted(self.codes, codes)
+                found = self.codes[np.minimum(place, none - 1)] == codes
+                at += self.table[np.where(found, place, none)]
+        new = np.add.reduceat(at, w.start, axis=0) + self.off[w.script]
+        self.number.update(zip(words, range(start, start + len(words)), strict=True))
         need = start + len(words)
         if need > len(self.scores):
             room = max(need, 2 * len(self.scores)) - len(self.scores)
             self.scores = np.vstack((self.scores, np.zeros((room, len(self.langs)))))
             self.letters = np.concatenate((self.letters, np.zeros(room, np.int64)))
         self.scores[start:need] = new
-        self.letters[start:need] = letters
+        self.letters[start:need] = w.letters
+
+    def learn_texts(self, texts: list[str | None]) -> None:
+        """Scores of the words of these texts, worked out for many texts together."""
+        fresh: dict[str, None] = {}
+        for text in texts:
+            if text:
+                fresh.update(dict.fromkeys(w for w in text.split() if w not in self.number))
+            if len(fresh) >= 50_000:
+                self.learn(list(fresh))
+                fresh.clear()
+        self.learn(list(fresh))
 
     def ids(self, words: list[str]) -> np.ndarray:
         number = self.number
@@ -194,9 +243,10 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     ends = np.zeros((n, state.shape[1]))
     flat = np.concatenate([scores[k] for k in hard])
     begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    lives = np.searchsorted(-lengths, -np.arange(longest + 1), side="left").tolist()  # texts longer than t
     active = n
     for t in range(1, longest + 1):
-        still = int(np.searchsorted(-lengths, -t, side="left"))  # those longer than t come first
+        still = lives[t]
         if still < active:
             ends[still:active] = state[still:active]
             active = still
@@ -204,26 +254,24 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
             break
         state = state[:active]
         best = state.argmax(axis=1)
-        jump = state[np.arange(active), best][:, None] - switch
+        jump = state.max(axis=1)[:, None] - switch
         go = jump > state
         back.append(np.where(go, best[:, None], -1).astype(np.int16))
         state = np.where(go, jump, state) + flat[begin[:active] + t]
     label = ends.argmax(axis=1)
+    labels = np.zeros(len(flat), np.int16)
     for t in range(longest - 1, -1, -1):
-        live = int(np.searchsorted(-lengths, -t, side="left"))
-        for_now = label[:live]
-        _place(out, hard, t, for_now)
+        live = lives[t]
+        labels[begin[:live] + t] = label[:live]
         if t:
-            b = back[t - 1][np.arange(live), for_now]
-            label[:live] = np.where(b >= 0, b, for_now)
+            b = back[t - 1]
+            b = b[np.arange(live), label[:live]]
+            label[:live] = np.where(b >= 0, b, label[:live])
+    for k, lo, size in zip(hard, begin.tolist(), lengths.tolist(), strict=True):
+        out[k][:] = labels[lo : lo + size]
     return out
 
 
-def _place(out, hard, t, labels) -> None:
-    for k, v in zip(hard, labels.tolist(), strict=False):
-        out[k][t] = v
-
-
 def fit_model(docs: DataFrame, max_grams: int = MAX_GRAMS) -> LanguageModel:
     """Counts come from all documents with a language; the ``max_grams`` most frequent n-grams stay."""
     ship(docs.sparkSession)
@@ -259,6 +307,8 @@ def language_spans(docs: DataFrame, train: DataFrame, switch: float = SWITCH) ->
 
 
 def _label(m: LanguageModel, doc_ids: list, texts: list, switch: float) -> pd.DataFrame:
+    if m.langs:
+        m.learn_texts(texts)
     rows, words = [], [m.ids(t.split()) if t and m.langs else np.zeros(0, np.int64) for t in texts]
     paths = viterbi([m.scores[w] for w in words], switch)
     for doc_id, w, path in zip(doc_ids, words, paths, strict=True):
