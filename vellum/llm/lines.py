@@ -85,6 +85,17 @@ def within(a: Column, b: Column, tau: int = TAU) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= tau) & F.when(F.length(a) == 0, F.lit(True)).otherwise(F.pmod(F.floor(top / F.pow(F.lit(2.0), last)), F.lit(2)) == 1)
 
 
+def bigram_bits(line: Column) -> Column:
+    """64 parities: whether an odd number of the pairs of neighbouring characters hash to a bit. An edit takes
+    away and adds at most two pairs each, so lines within ``tau`` edits differ in 4 * tau bits at most; parities,
+    unlike bits that are only set, do not fill up in long lines."""
+
+    def mark(chars: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars) - 1), F.lit(0).cast("long"), lambda bits, i: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.get(chars, i - 1), F.get(chars, i)), F.lit(64)).cast("int"))))
+
+    return F.element_at(F.transform(F.array(F.split(line, "")), lambda c: F.when(F.size(c) > 1, mark(c)).otherwise(F.lit(0).cast("long"))), 1)
+
+
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_hash, line_no, line) of each line that is long enough."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
@@ -110,8 +121,12 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"), "text")
     found = texts.join(asked, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")))
     lines = found.select(F.split("text", "\n", -1).alias("_lines"), F.explode("asked").alias("x")).select("x.id", "x.len", F.get("_lines", F.col("x.line_no")).alias("line"))
-    lines = saved(lines.dropDuplicates(["id", "len"]), "texts")
-    both = pairs.join(lines.select(F.col("id").alias("a"), F.col("len").alias("la"), F.col("line").alias("sa")), ["a", "la"])
+    lines = saved(lines.dropDuplicates(["id", "len"]).withColumn("bits", bigram_bits(F.col("line"))), "texts")
+    # most candidates share a segment and little else: their bits tell before their texts travel
+    marks = lines.select("id", "len", "bits")
+    likely = pairs.join(marks.toDF("a", "la", "bits_a"), ["a", "la"]).join(marks.toDF("b", "lb", "bits_b"), ["b", "lb"])
+    likely = likely.where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 4 * tau).select("a", "la", "b", "lb")
+    both = likely.join(lines.select(F.col("id").alias("a"), F.col("len").alias("la"), F.col("line").alias("sa")), ["a", "la"])
     both = both.join(lines.select(F.col("id").alias("b"), F.col("len").alias("lb"), F.col("line").alias("sb")), ["b", "lb"])
     links = saved(both.where(within(F.col("sa"), F.col("sb"), tau)).select("a", "la", "b", "lb"), "links")
     sides = links.union(links.select("b", "lb", "a", "la")).toDF("id", "len", "other", "other_len")
