@@ -109,23 +109,26 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     seen = saved(occ.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id"), F.length("line").alias("len")), "lines")
     classes = saved(seen.groupBy("id", "len").agg(F.min(place).alias("first"), F.max(place).alias("last")), "classes")
     lines = occ.select(F.xxhash64("line").alias("id"), F.length("line").alias("len"), "line")
-    # distinct: each occurrence of a line then meets every near line once, however common it is
-    own = segment_keys(lines, True, tau).select("key", F.col("id").alias("a"), F.col("len").alias("la")).distinct()
-    probe = segment_keys(lines, False, tau).select("key", F.col("id").alias("b"), F.col("len").alias("lb"), F.col("own").alias("both"))
-    # of two lines of one length, found from both sides by their own segments, one order is enough
-    pairs = probe.join(own.hint("shuffle_hash"), "key").where("(la <> lb or a <> b) and (not both or la <> lb or a < b)")
-    pairs = saved(pairs.select("a", "la", "b", "lb").distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("id"), F.col("la").alias("len")).union(pairs.select("b", "lb")).distinct()
+    # a line has a partner if the index holds another line under one of its keys: one row a key tells
+    groups = segment_keys(lines, True, tau).groupBy("key").agg(F.min(F.struct("id", "len")).alias("lo"), F.max(F.struct("id", "len")).alias("hi"))
+    probe = segment_keys(lines, False, tau).join(groups.hint("shuffle_hash"), "key").where("id <> lo.id or len <> lo.len or id <> hi.id or len <> hi.len")
+    hits = saved(probe.select("key", "id", "len", "own", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only")).distinct(), "hits")
+    # where a key indexes two lines or more, each of them is a hit itself
+    index = hits.where("own").select("key", "id", "len").union(hits.where("only is not null").select("key", "only.*").distinct())
+    need = hits.select("id", "len").union(index.select("id", "len")).distinct()
     where = classes.join(need, ["id", "len"]).select("first.*", "id", "len")
     asked = where.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", "id", "len")).alias("asked"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_h"), "text")
     found = texts.join(asked, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")))
     lines = found.select(F.split("text", "\n", -1).alias("_lines"), F.explode("asked").alias("x")).select("x.id", "x.len", F.get("_lines", F.col("x.line_no")).alias("line"))
     lines = saved(lines.dropDuplicates(["id", "len"]).withColumn("bits", bigram_bits(F.col("line"))), "texts")
-    # most candidates share a segment and little else: their bits tell before their texts travel
+    # most candidates share a segment and little else: bits in the join's condition keep it from making these pairs
     marks = lines.select("id", "len", "bits")
-    likely = pairs.join(marks.toDF("a", "la", "bits_a"), ["a", "la"]).join(marks.toDF("b", "lb", "bits_b"), ["b", "lb"])
-    likely = likely.where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 4 * tau).select("a", "la", "b", "lb")
+    left = index.join(marks, ["id", "len"]).toDF("a", "la", "key", "bits_a")
+    right = hits.select("key", "id", "len", "own").join(marks, ["id", "len"]).toDF("b", "lb", "key", "own", "bits_b")
+    # of two lines of one length, found from both sides by their own segments, one order is enough
+    likely = left.join(right, "key").where("(la <> lb or a <> b) and (not own or la <> lb or a < b)")
+    likely = saved(likely.where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 4 * tau).select("a", "la", "b", "lb").distinct(), "likely")
     both = likely.join(lines.select(F.col("id").alias("a"), F.col("len").alias("la"), F.col("line").alias("sa")), ["a", "la"])
     both = both.join(lines.select(F.col("id").alias("b"), F.col("len").alias("lb"), F.col("line").alias("sb")), ["b", "lb"])
     links = saved(both.where(within(F.col("sa"), F.col("sb"), tau)).select("a", "la", "b", "lb"), "links")
