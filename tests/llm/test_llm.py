@@ -176,6 +176,20 @@ def test_jaccard(docs, none):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_wide_signatures_lose_no_link():
+    rng = np.random.default_rng(5)
+    rejected = 0
+    for n in (1, 2, 30, 255, 256, 511, 512, 513, 3000, 9000):
+        base = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        for share in (1.0, 0.9, 0.86, 0.8, 0.5, 0.0):
+            a = np.unique(base)
+            b = np.unique(np.concatenate([base[: int(n * share)], rng.integers(0, 1 << 64, n - int(n * share), dtype=np.uint64)]))
+            ok = jaccard.may_link_wide(jaccard.wide_signature(a), jaccard.wide_signature(b))
+            assert ok or not jaccard.linked(a, b)
+            rejected += not ok
+    assert rejected > 10
+
+
 def test_repeats(docs, none):
     got = sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.without_repeats(docs).collect())
     seen, want = Counter(), []

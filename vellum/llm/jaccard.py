@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import broadcast_if_small, components, gram_hashes, mix64, prefix_hash, saved, span_hash, word_hashes
+from .common import broadcast_if_small, components, dropped, gram_hashes, mix64, prefix_hash, saved, span_hash, word_hashes
 
 K = 5
 NUM, DEN = 75, 100
@@ -208,36 +208,77 @@ def _possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return saved(both.mapInArrow(run, "a long, b long"), "possible")
 
 
-def _verify(docs: DataFrame, info: DataFrame, pairs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """The pairs (a, b) that link. Pairs of one a stand together, thousands to a share, after a's own set."""
+def wide_signature(s: np.ndarray) -> bytes:
+    """The size of a set and its tokens in each of so many buckets that two hold a token or so at most."""
+    width = 1 << max(8, (len(s) // 2).bit_length())
+    counts = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.uint32(len(s)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_link_wide(a: bytes, b: bytes) -> bool:
+    """Whether two wide signatures leave room for a link; the wider one is folded to the other's width."""
+    (na, nb), (x, y) = ([int.from_bytes(s[:4], "little") for s in (a, b)], [np.frombuffer(s, np.uint8, offset=4) for s in (a, b)])
+    most = min(na, nb)
+    if x.max(initial=0) < 255 and y.max(initial=0) < 255:  # a full bucket may hold any number
+        width = min(len(x), len(y))
+        x, y = (v.reshape(-1, width).sum(axis=0, dtype=np.int64) for v in (x, y))
+        most = min(most, int(np.minimum(x, y).sum()))
+    return DEN * most >= NUM * (na + nb - most)
+
+
+def _compared(pairs: DataFrame, held: DataFrame, prepare, test) -> DataFrame:
+    """The pairs (a, b) that pass test(prepare(what a holds), what b holds); held is (node, tokens). Pairs of
+    one a stand together, thousands to a share, after what a holds."""
 
     def run(batches):
-        key, own, more = None, None, ()
+        key, own = None, None
         for batch in batches:
             out = []
             for a, salt, b, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                s = np.frombuffer(tokens, np.uint64)
                 if b is None:
-                    key, own = (a, salt), s
-                    more = [prefix(s, frequent, o) for o in ORDERS[1:]]
-                elif key == (a, salt) and DEN * min(len(s), len(own)) >= NUM * max(len(s), len(own)):
-                    if all(np.isin(prefix(s, frequent, o), p, kind="sort").any() for o, p in zip(ORDERS[1:], more, strict=True)) and linked(own, s):
-                        out.append((a, b))
+                    key, own = (a, salt), prepare(tokens)
+                elif key == (a, salt) and test(own, tokens):
+                    out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
-    pairs = _possible(pairs, info)
-    sets = saved(_sets(docs, info, pairs), "sets")
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / 2000)).cast("int")
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
     heads = counts.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    rows = dealt.join(sets, F.col("b") == F.col("node")).select("a", "salt", "b", "tokens")
-    rows = rows.unionByName(heads.join(sets, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens"))
+    rows = dealt.join(held, F.col("b") == F.col("node")).select("a", "salt", "b", "tokens")
+    rows = rows.unionByName(heads.join(held, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens"))
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
+def _verify(docs: DataFrame, info: DataFrame, pairs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """The pairs (a, b) that link, saved. Wide signatures, a tenth of the sets' size, go before the sets."""
+
+    def wide(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_signature(np.frombuffer(t, np.uint64)) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "tokens"])
+
+    def prepare(tokens):
+        s = np.frombuffer(tokens, np.uint64)
+        return s, [prefix(s, frequent, o) for o in ORDERS[1:]]
+
+    def test(own, tokens):
+        (mine, prefixes), s = own, np.frombuffer(tokens, np.uint64)
+        if DEN * min(len(s), len(mine)) < NUM * max(len(s), len(mine)):
+            return False
+        return all(np.isin(prefix(s, frequent, o), p, kind="sort").any() for o, p in zip(ORDERS[1:], prefixes, strict=True)) and linked(mine, s)
+
+    spark = docs.sparkSession
+    possible = _possible(pairs, info)
+    sets = saved(_sets(docs, info, possible), "sets")
+    likely = saved(_compared(possible, sets.mapInArrow(wide, "node long, tokens binary"), bytes, may_link_wide), "likely")
+    links = saved(_compared(likely, sets, prepare, test), "links")
+    for done in (possible, sets, likely):
+        dropped(spark, done)
+    return links
+
+
 def _apart(shared: DataFrame, comp: DataFrame) -> DataFrame:
     """Rows of tokens whose nodes lie in two components or more, with their components."""
     rows = shared.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("token", "node", "n", F.coalesce("root", "node").alias("comp"))
@@ -252,7 +293,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     info, frequent = first_pass(docs)
     shared = saved(_shared(_prefixes(docs, frequent)), "shared")
     pairs = saved(shared.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = saved(_verify(docs, info, pairs, frequent), "links")
+    links = _verify(docs, info, pairs, frequent)
     comp = saved(components(spark, links), "comp")
     fits = lambda a, b: F.expr(f"{DEN} * least({a}, {b}) >= {NUM} * greatest({a}, {b})")
     for r in range(STAR_ROUNDS + 1):
@@ -269,7 +310,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             minor = rows.where("comp <> major").select("token", F.col("node").alias("m"), F.col("n").alias("mn"), F.col("comp").alias("mc"))
             pairs = minor.join(rows, "token").where("comp <> mc and (comp = major or m < node)").where(fits("n", "mn")).select(F.col("m").alias("a"), F.col("node").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = saved(_verify(docs, info, saved(pairs, "pairs"), frequent), "links")
+        more = _verify(docs, info, saved(pairs, "pairs"), frequent)
         if more.isEmpty():
             continue
         links = links.union(more)
