@@ -129,6 +129,41 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_keeps_every_word_and_pair(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK_TOKENS", 50)  # many chunks and buckets give the same sums
+    texts = [f"{'foul' if i % 2 else 'nice'} thing{i} rare{i // 40} pair{i // 40}" for i in range(80)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    folds = {r[0]: r[1] for r in d.select("doc_id", common.fold_of("doc_id", 5)).collect()}
+    kinds = d.join(labels, "doc_id").select(F.xxhash64("text").alias("_h"), "text", F.when(common.fold_of("doc_id", 5).between(1, 3), F.col("toxic")).otherwise(2).alias("toxic"))
+    tokens = common.saved(toxicity._chunks(kinds), "tokens")
+    assert tokens.count() > 4
+    pairs = common.saved(toxicity._pair_sums(toxicity._requests(tokens, True, 64), 64), "pairs")
+    sums = toxicity._word_sums(toxicity._requests(tokens, False, 64).union(pairs.where("chunk < 0"))).collect()
+    got = {}
+    for row in tokens.collect():
+        words = toxicity._unpack(bytes(row["vocabulary"]), np.uint64)
+        mine = sorted((r for r in sums if r["chunk"] == row["chunk"]), key=lambda r: r["bucket"])
+        got |= dict(zip(words.tolist(), zip(*[np.concatenate([toxicity._unpack(bytes(r[c]), np.int32) for r in mine]).tolist() for c in "abcdefg"], strict=True), strict=True))
+    want, after = {}, {}
+    for i, x in enumerate(texts):
+        kind, w = (1 - i % 2 if 1 <= folds[i] <= 3 else 2), x.split()
+        for a in set(w):
+            want.setdefault(a, [0] * 3)[kind] += 1
+        for a, b in set(zip(w, w[1:], strict=False)) if kind < 2 else ():
+            after.setdefault(a, ([], []))[kind].append(b)
+    for a, n in want.items():
+        t, o = after.get(a, ([], []))
+        assert got[int(common.word_hashes([a.encode()])[0])] == (*n, len(t), len(o), len(set(t)), len(set(o)))
+    # a word of one labelled document and a pair of one have a say, if a small one
+    t, o = np.array([0, 1, 40]), np.array([0, 0, 0])
+    totals = np.array([1000, 10_000, 500, 2000, 50_000, 5000])
+    ratio = toxicity.word_ratios([t, o], toxicity.word_chances([t, o, o], totals), totals)
+    assert ratio[0] == 0 < ratio[1] < ratio[2]
+    pair = toxicity.pair_ratios([t, o], [np.full(3, 50), np.full(3, 500), np.full(3, 20), np.full(3, 100)], [np.full(3, 1e-4)] * 2, np.zeros(3))
+    assert pair[0] == 0 < pair[1] < pair[2]
+
+
 def test_language(spark, none):
     en, de = "the house and this thing with other words that they have", "der hund und die katze nicht eine auch werden schön"
     train = spark.createDataFrame([(1, en, "en"), (2, de, "de"), (3, None, "de"), (4, "привет мир", "ru")], "doc_id long, text string, lang string")

@@ -1,16 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, of toxic and of ordinary documents, back off from bigrams to unigrams by the
-diversity of their contexts (here: the number of documents with the word) and from there to counts
-shared by both classes, gathered from every document of the corpus, labelled or not. A word that is
-rare in both classes thus has nearly the same chance in both and says little.
+diversity of their contexts (a word's distinct successors in the class) and from there to counts
+shared by both classes, gathered from every document of the corpus, labelled or not. Counts are of
+documents with a word or bigram. Every word and bigram keeps its counts, however rare; a ratio of the
+classes counts as far as these make it likely that the classes differ, and what is left of the weight
+goes to the level below, so that noise of many rare words doesn't outweigh a few telling ones.
 
 The score compares length-normalised log-likelihoods: of the whole text and of the most toxic run of
 ``window`` words, so that a long text does not hide a short passage. A logistic curve, fitted on a
 bounded sample of labelled documents that the counts leave out, makes it a probability.
 
-The tables that scoring carries to the executors are bounded: words and bigrams whose counts set the
-classes apart least (by the G statistic) are pruned, and fall back to the shared counts.
+No table is held whole by a task: texts are cut to chunks, each asks once for each of its words and
+bigrams, the hashes of all chunks meet in buckets whose number grows with the corpus, are summed there,
+and the sums go back to the chunks that asked. A hot word is one row of each chunk's list. Words and
+bigrams are compared by 64-bit hashes.
 
 Defined results: null, empty and blank texts get the score of no evidence; repeated rows are scored
 alike; with no labelled documents every score is 0.5 less an epsilon; conflicting labels of one
@@ -19,196 +23,344 @@ document each count; extra columns are ignored. doc_id, lang and source never en
 
 from __future__ import annotations
 
-import math
 import string
-from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import broadcast_if_small, dropped, fold_of, saved, words_of
+from .common import broadcast_if_small, dropped, fold_of, mix64, saved, word_hashes, words_of
 
 WINDOW = 40
-MAX_WORDS = 60_000
-MAX_CONTEXT_WORDS = 4_096
-MAX_BIGRAMS = 60_000
 MAX_FIT = 20_000
 DISCOUNT = 0.75
-MIN_G = 16.0
+PRIOR_G = 16.0
+CHUNK_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_500_000
+LEAST_BUCKETS = 64
 _STRIP = string.punctuation.encode()
+_EMPTY = word_hashes([b""])[0]
+_COUNTS = ("a", "b", "c", "d", "e", "f", "g")
+_LISTS = "bucket long, chunk long, keys binary, " + ", ".join(f"{c} binary" for c in _COUNTS)
 
 
 def _tokens(text: str | None) -> list[bytes]:
     return [w.strip(_STRIP) for w in words_of(text.lower())] if text else []
 
 
-def _word_counts(kinds: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary, other): documents of each kind (1, 0, 2) with the word."""
+def _pack(a: np.ndarray) -> bytes:
+    """An array as compressed planes of bytes."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
+    return len(a).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
-    def count(batches):
-        seen = {0: Counter(), 1: Counter(), 2: Counter()}
+
+def _unpack(b: bytes, dtype) -> np.ndarray:
+    n, width = int.from_bytes(b[:8], "little"), np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(b[8:], n * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(dtype).ravel()
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+
+
+_CHUNK = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64())] + [(c, pa.binary()) for c in ("texts", "kinds", "sizes", "ids", "vocabulary")])
+_LIST = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary())] + [(c, pa.binary()) for c in _COUNTS])
+_FEATURES = pa.schema([("_h", pa.int64()), ("_whole", pa.float64()), ("_window", pa.float64())])
+
+
+def _chunks(kinds: DataFrame) -> DataFrame:
+    """Texts of (_h, text, toxic) as places in a sorted list of their words' hashes, many texts a row."""
+
+    def cut(batches):
+        task, n = TaskContext.get().partitionId(), 0
+        number: dict[bytes, int] = {}
+        texts, kind, ids = [], [], []
+        size = 0
 
         def out():
-            words = set().union(*seen.values())
-            rows = pd.DataFrame({"word": list(words)})
-            for k, name in ((1, "toxic"), (0, "ordinary"), (2, "other")):
-                rows[name] = np.fromiter((seen[k][w] for w in rows["word"]), np.int64, len(rows))
-                seen[k].clear()
-            return rows
-
-        for pdf in batches:
-            for text, kind in zip(pdf["text"], pdf["toxic"], strict=True):
-                seen[kind].update(set(_tokens(text)))
-            if sum(map(len, seen.values())) > 400_000:
-                yield out()
-        yield out()
-
-    parts = kinds.mapInPandas(count, "word binary, toxic long, ordinary long, other long")
-    return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "other")])
-
-
-class Model:
-    """Log-likelihood ratios of words after words."""
-
-    def __init__(self, words: pd.DataFrame, heads: pd.DataFrame, totals: dict, bigrams: pd.DataFrame, contexts: dict):
-        """words: those kept; heads: those of bigrams; contexts: a head's bigrams and distinct bigrams of each class."""
-
-        def chances(frame):
-            t, o = frame["toxic"].to_numpy(float), frame["ordinary"].to_numpy(float)
-            shared = (t + o + frame["other"].to_numpy(float) + 0.5) / (totals["tokens"] + 0.5 * (totals["types"] + 1))
-
-            def one(c, n, types):
-                return np.maximum(c - DISCOUNT, 0) / n + DISCOUNT * types / n * shared if n else shared
-
-            return one(t, totals["toxic"], totals["toxic_types"]), one(o, totals["ordinary"], totals["ordinary_types"])
-
-        pt, po = chances(words)
-        self.word = dict(zip(words["word"], np.log(pt / po), strict=True))
-        self.bigram: dict[tuple[bytes, bytes], float] = {}
-        lower = {w: x for w, *x in zip(heads["word"], *chances(heads), strict=True)}
-        for a, b, *c in zip(bigrams["first"], bigrams["second"], bigrams["toxic"], bigrams["ordinary"], strict=True):
-            p = [max(n - DISCOUNT, 0) / of + DISCOUNT * types / of * low if of else low for n, of, types, low in zip(c, contexts[a][:2], contexts[a][2:], lower[b], strict=True)]
-            self.bigram[a, b] = math.log(p[0] / p[1])
-        self.first = {a for a, _ in self.bigram}
-        self.coefficients = np.array([0.0, 0.0, -1e-9])
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Length-normalised log-likelihood ratio of the whole text, and the greatest of a window."""
-        words = _tokens(text)
-        if not words:
-            return 0.0, 0.0
-        get = self.word.get
-        # pruned words have the shared chance in both classes
-        x = np.fromiter((get(w, 0.0) for w in words), float, len(words))
-        if self.bigram:
-            first, bigram = self.first, self.bigram
-            for i in [i for i, w in enumerate(words[:-1]) if w in first]:
-                v = bigram.get((words[i], words[i + 1]))
-                if v is not None:
-                    x[i + 1] = v
-        s = np.concatenate(([0.0], np.cumsum(x)))
-        w = min(WINDOW, len(words))
-        return float(s[-1] / len(words)), float((s[w:] - s[:-w]).max() / max(w, 10))
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """A logistic curve over the features by Newton's steps, lightly held to small weights."""
-        if len(np.unique(y)) < 2:
-            return
-        x = np.column_stack((x, np.ones(len(x))))
-        b = np.zeros(3)
-        for _ in range(40):
-            p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
-            step = np.linalg.solve(h, x.T @ (y - p) - 1e-2 * b)
-            b = b + step
-            if np.abs(step).max() < 1e-6:
-                break
-        self.coefficients = b
-
-    def score(self, text: str | None) -> float:
-        a, b = self.features(text)
-        c = self.coefficients
-        return float(1 / (1 + np.exp(-np.clip(c[0] * a + c[1] * b + c[2], -30, 30))))
-
-
-def fit_model(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
-    """Counts from all documents (labelled ones of folds 1 to 3 by class), curve from fold 4 of 5; fold 0 only adds shared counts."""
-    ship(docs.sparkSession)
+            h = word_hashes(list(number))
+            vocabulary, place = np.unique(h, return_inverse=True)
+            flat = place.astype(np.int32)[np.concatenate(ids)]
+            row = (task << 32 | n, len(flat), _pack(np.array(texts, np.int64)), _pack(np.array(kind, np.int8)), _pack(np.fromiter(map(len, ids), np.int32, len(ids))), _pack(flat), _pack(vocabulary))
+            return _batch([row], _CHUNK)
+
+        for batch in batches:
+            for h, text, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = _tokens(text)
+                if not words:
+                    continue
+                texts.append(h)
+                kind.append(k)
+                ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+                size += len(words)
+                if size >= CHUNK_TOKENS:
+                    yield out()
+                    n, size = n + 1, 0
+                    for x in (number, texts, kind, ids):
+                        x.clear()
+        if ids:
+            yield out()
+
+    schema = "chunk long, tokens long, texts binary, kinds binary, sizes binary, ids binary, vocabulary binary"
+    return kinds.mapInArrow(cut, schema)
+
+
+class _Chunk:
+    """Words, and pairs of words that follow each other in a text; ``pair`` has each pair's place in ``keys``."""
+
+    def __init__(self, row: dict):
+        self.vocabulary = _unpack(row["vocabulary"], np.uint64)
+        self.ids = _unpack(row["ids"], np.int32)
+        self.sizes = _unpack(row["sizes"], np.int32)
+        self.kinds = _unpack(row["kinds"], np.int8)
+        self.texts = _unpack(row["texts"], np.int64)
+        self.text = np.repeat(np.arange(len(self.sizes), dtype=np.int64), self.sizes)
+
+    def words(self) -> list[np.ndarray]:
+        """Texts of each kind with each word: toxic, ordinary, other."""
+        size = len(self.vocabulary)
+        seen = np.unique(self.text * size + self.ids)
+        kind, word = self.kinds[seen // size], seen % size
+        return [np.bincount(word[kind == k], minlength=size) for k in (1, 0, 2)]
+
+    def pairs(self) -> None:
+        size = len(self.vocabulary)
+        some = self.vocabulary[self.ids] != _EMPTY
+        self.second = np.nonzero((self.text[1:] == self.text[:-1]) & some[1:] & some[:-1])[0] + 1
+        code, place = np.unique(self.ids[self.second - 1].astype(np.int64) * size + self.ids[self.second], return_inverse=True)
+        first, second = code // size, code % size
+        key = mix64(mix64(self.vocabulary[first]) + self.vocabulary[second])
+        order = np.argsort(key)
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        self.keys, self.first, self.pair = key[order], first[order], back[place]
+
+    def pair_counts(self) -> list[np.ndarray]:
+        """Toxic and ordinary texts with each pair."""
+        labelled = self.kinds[self.text[self.second]] < 2
+        size = max(1, len(self.keys))
+        seen = np.unique(self.text[self.second[labelled]] * size + self.pair[labelled])
+        kind, pair = self.kinds[seen // size], seen % size
+        return [np.bincount(pair[kind == k], minlength=len(self.keys)) for k in (1, 0)]
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ends of the buckets in sorted keys: equal ranges of the hashes' upper halves."""
+    of = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _lists(keys: np.ndarray, counts: list[np.ndarray], buckets: int, chunk: int, more: np.ndarray | None = None):
+    """Rows of _LIST; more: values of those keys whose first two counts are not both 0."""
+    cuts = _cuts(keys, buckets)
+    for k in range(buckets):
+        lo, hi = cuts[k], cuts[k + 1]
+        if lo < hi:
+            packed = [_pack(c[lo:hi].astype(np.int32)) for c in counts]
+            if more is not None:
+                packed.append(_pack(more[lo:hi][counts[0][lo:hi] + counts[1][lo:hi] > 0]))
+            yield (k, chunk, _pack(keys[lo:hi]), *packed, *[None] * (len(_COUNTS) - len(packed)))
+
+
+def _requests(tokens: DataFrame, pairs: bool, buckets: int) -> DataFrame:
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = _Chunk(row)
+                if pairs:
+                    c.pairs()
+                    rows = _lists(c.keys, c.pair_counts(), buckets, row["chunk"], c.vocabulary[c.first])
+                else:
+                    rows = _lists(c.vocabulary, c.words(), buckets, row["chunk"])
+                yield _batch(list(rows), _LIST)
+
+    return tokens.mapInArrow(ask, _LISTS)
+
+
+def _sums(place: np.ndarray, parts: list[np.ndarray], size: int) -> np.ndarray:
+    return np.bincount(place, np.concatenate(parts), size).astype(np.int64)
+
+
+def _pair_sums(requests: DataFrame, buckets: int) -> DataFrame:
+    """Toxic and ordinary texts with each pair asked for; for chunk -1, by first word: pairs' texts and distinct pairs of each class."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        lists = [_unpack(r["keys"], np.uint64) for r in rows]
+        counts = [[_unpack(r[c], np.int32) for r in rows] for c in "ab"]
+        keys, place = np.unique(np.concatenate(lists), return_inverse=True)
+        t, o = (_sums(place, c, len(keys)) for c in counts)
+        out, at = [], 0
+        first = np.zeros(len(keys), np.uint64)
+        for i, r in enumerate(rows):
+            here = place[at : at + len(lists[i])]
+            at += len(here)
+            first[here[counts[0][i] + counts[1][i] > 0]] = _unpack(r["c"], np.uint64)
+            out.append((r["bucket"], r["chunk"], None, _pack(t[here].astype(np.int32)), _pack(o[here].astype(np.int32)), *[None] * 5))
+        known = t + o > 0
+        words, of = np.unique(first[known], return_inverse=True)
+        by = [np.bincount(of, x[known], len(words)).astype(np.int64) for x in (t, o, t > 0, o > 0)]
+        out += _lists(words, by, buckets, -1)
+        return pa.Table.from_batches([_batch(out, _LIST)])
+
+    return requests.groupBy("bucket").applyInArrow(add, _LISTS)
+
+
+def _word_sums(requests: DataFrame) -> DataFrame:
+    """Texts of each kind with each word asked for, and its sums as a pair's first; for chunk -1, totals."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        asked, firsts = [r for r in rows if r["chunk"] >= 0], [r for r in rows if r["chunk"] < 0]
+        lists = [_unpack(r["keys"], np.uint64) for r in asked]
+        keys, place = np.unique(np.concatenate(lists), return_inverse=True)
+        values = [_sums(place, [_unpack(r[c], np.int32) for r in asked], len(keys)) for c in "abc"]
+        if firsts:
+            of = np.searchsorted(keys, np.concatenate([_unpack(r["keys"], np.uint64) for r in firsts]))
+            values += [_sums(of, [_unpack(r[c], np.int32) for r in firsts], len(keys)) for c in "abcd"]
+        else:
+            values += [np.zeros(len(keys), np.int64)] * 4
+        out, at = [], 0
+        for r, own in zip(asked, lists, strict=True):
+            here = place[at : at + len(own)]
+            at += len(own)
+            out.append((r["bucket"], r["chunk"], None, *[_pack(v[here].astype(np.int32)) for v in values]))
+        t, o, other = (v[keys != _EMPTY] for v in values[:3])
+        totals = np.array([t.sum(), o.sum(), (t > 0).sum(), (o > 0).sum(), (t + o + other).sum(), len(t)], np.int64)
+        out.append((rows[0]["bucket"], -1, None, _pack(totals), *[None] * 6))
+        return pa.Table.from_batches([_batch(out, _LIST)])
+
+    return requests.groupBy("bucket").applyInArrow(add, _LISTS)
+
+
+def word_chances(counts: list[np.ndarray], totals: np.ndarray) -> list[np.ndarray]:
+    """Chances of words in each class; counts: toxic, ordinary, other; totals: of both classes their counts and types, all counts, all types."""
+    t, o, other = (c.astype(float) for c in counts)
+    shared = (t + o + other + 0.5) / (totals[4] + 0.5 * (totals[5] + 1))
+    return [np.maximum(c - DISCOUNT, 0) / n + DISCOUNT * types / n * shared if n else shared for c, n, types in ((t, totals[0], totals[2]), (o, totals[1], totals[3]))]
+
+
+def pair_chance(count: np.ndarray, context: np.ndarray, types: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Chances of second words in one class; a first word that the class lacks leaves the word's own chance."""
+    n = np.maximum(context, 1)
+    return np.where(context > 0, np.maximum(count - DISCOUNT, 0) / n + DISCOUNT * types / n * lower, lower)
+
+
+def differs(t: np.ndarray, o: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """Chance that counts of both classes, toxic with ``share`` expected, come from classes that differ: by the G
+    statistic, less the parameter's cost, against prior odds. It is above 0 for anything seen and 0 for what is not."""
+    t, o = t.astype(float), o.astype(float)
+    n = t + o
+    away = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(e, 1e-9)), 0.0)
+    g = 2 * (away(t, n * share) + away(o, n * (1 - share)))
+    return np.where(n > 0, 1 / (1 + np.exp(-np.clip((g - np.log(np.maximum(n, 1)) - PRIOR_G) / 2, -40, 40))), 0.0)
+
+
+def word_ratios(counts: list[np.ndarray], chances: list[np.ndarray], totals: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratios of words, towards the shared chance (0) as far as their counts may come from one."""
+    return differs(*counts, totals[0] / max(1, totals[0] + totals[1])) * np.log(chances[0] / chances[1])
+
+
+def pair_ratios(counts: list[np.ndarray], contexts: list[np.ndarray], lower: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratios of second words after first ones, towards ``word``, the second's own.
+
+    contexts: toxic and ordinary pairs with the first word, and its distinct successors in each; lower: the second's chances.
+    """
+    p = [pair_chance(counts[k], contexts[k], contexts[2 + k], lower[k]) for k in (0, 1)]
+    odds = (contexts[0] + 0.5) / (contexts[1] + 0.5) * lower[0] / lower[1]
+    sure = differs(*counts, odds / (1 + odds))
+    return word + sure * (np.log(p[0] / p[1]) - word)
+
+
+def _features(tokens: DataFrame, answers: DataFrame, totals: np.ndarray) -> DataFrame:
+    """Of each text: length-normalised log-likelihood ratio of the whole, and the greatest of a window."""
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        out = []
+        for row in left.to_pylist():
+            c = _Chunk(row)
+            c.pairs()
+            join = lambda col, word: np.concatenate([_unpack(r[col], np.int32) for r in rows if r["word"] == word] or [np.zeros(0, np.int32)])
+            values = [join(x, True) for x in _COUNTS]
+            chances = word_chances(values[:3], totals)
+            word = np.where(c.vocabulary == _EMPTY, 0.0, word_ratios(values[:2], chances, totals))
+            # each distinct pair by one of the places where it stands
+            at = np.zeros(len(c.keys), np.int64)
+            at[c.pair] = c.second
+            a, b = c.ids[at - 1], c.ids[at]
+            pair = pair_ratios([join(x, False) for x in "ab"], [v[a] for v in values[3:]], [v[b] for v in chances], word[b])
+            x = word[c.ids]
+            x[c.second] = pair[c.pair]
+            ends = np.cumsum(c.sizes)
+            for h, end, n in zip(c.texts.tolist(), ends.tolist(), c.sizes.tolist(), strict=True):
+                s = np.concatenate(([0.0], np.cumsum(x[end - n : end])))
+                w = min(WINDOW, n)
+                out.append((h, float(s[-1] / n), float((s[w:] - s[:-w]).max() / max(w, 10))))
+        return pa.Table.from_batches([_batch(out, _FEATURES)])
+
+    both = tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(measure, "_h long, _whole double, _window double")
+    return both.groupBy("_h").agg(F.max("_whole").alias("_whole"), F.max("_window").alias("_window"))
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A logistic curve over the features by Newton's steps, lightly held to small weights."""
+    if len(np.unique(y)) < 2:
+        return np.array([0.0, 0.0, -1e-9])
+    x = np.column_stack((x, np.ones(len(x))))
+    b = np.zeros(3)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        step = np.linalg.solve(h, x.T @ (y - p) - 1e-2 * b)
+        b = b + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return b
+
+
+def text_features(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[DataFrame, np.ndarray]:
+    """(_h, _whole, _window) of each text that has words, by its hash, and the curve over them.
+
+    Counts from all documents (labelled ones of folds 1 to 3 by class), curve from fold 4 of 5; fold 0 only adds shared counts.
+    """
+    spark = docs.sparkSession
+    ship(spark)
     known = labels.where("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     # identical rows of labels say the same once
     known = broadcast_if_small(known.distinct())
     fold = fold_of("doc_id", 5)
-    joined = docs.select("doc_id", "text", fold.alias("_fold")).join(known, F.col("doc_id") == F.col("_id"), "left")
+    joined = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), fold.alias("_fold")).join(known, F.col("doc_id") == F.col("_id"), "left")
     trains = F.col("_fold").between(1, 3) & F.col("toxic").isin(0, 1)
-    kind = joined.select("text", F.when(trains, F.col("toxic")).otherwise(F.lit(2)).alias("toxic"))
-    counts = _word_counts(kind)
-    counts = counts.where("length(word) > 0")
-    counts = counts.withColumn("_all", F.expr("toxic + ordinary + other"))
-    counts = saved(counts, "words")
-    t = counts.agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(n) for n, e in (("toxic", F.col("toxic")), ("ordinary", F.col("ordinary")), ("toxic_types", (F.col("toxic") > 0).cast("int")), ("ordinary_types", (F.col("ordinary") > 0).cast("int")), ("tokens", F.col("_all")), ("types", F.lit(1)))]).first().asDict()
-    share = (F.col("toxic") + F.col("ordinary")) / F.lit(max(1, t["toxic"] + t["ordinary"]))
-    away = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (share * float(max(n, 1))))).otherwise(F.lit(0.0))
-    kept = counts.where("toxic + ordinary > 1").withColumn("_g", 2 * (away("toxic", t["toxic"]) + away("ordinary", t["ordinary"]))).where(F.col("_g") >= MIN_G)
-    words = kept.orderBy(F.desc("_g"), "word").limit(MAX_WORDS).select("word", "toxic", "ordinary", "other").toPandas()
-    common = counts.where("toxic + ordinary > 0").orderBy(F.desc(F.expr("toxic + ordinary")), "word").limit(MAX_CONTEXT_WORDS // 2).select("word", "toxic", "ordinary", "other").toPandas()
-    for frame in (words, common):
-        frame["word"] = frame["word"].map(bytes)
-    both = pd.concat([words[: MAX_CONTEXT_WORDS // 2], common], ignore_index=True).drop_duplicates("word", ignore_index=True)
-    heads = list(both["word"])
-    dropped(docs.sparkSession, counts)
-    number = {w: i for i, w in enumerate(heads)}
-    size = len(heads)
-
-    def pairs(batches):
-        for pdf in batches:
-            parts = []
-            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                ids = np.fromiter((number.get(w, -1) for w in _tokens(text)), np.int64, -1)
-                both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                key = np.unique(ids[:-1][both] * size + ids[1:][both])
-                parts.append(key * 2 + int(toxic))
-            k, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
-            yield pd.DataFrame({"pair": k >> 1, "toxic": np.where(k & 1, n, 0), "ordinary": np.where(k & 1, 0, n)})
-
-    bigrams = saved(kind.where("toxic < 2").mapInPandas(pairs, "pair long, toxic long, ordinary long").groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "bigrams")
-    rows = bigrams.groupBy(F.expr(f"pair div {max(size, 1)}").alias("first")).agg(F.sum("toxic"), F.sum("ordinary"), F.sum(F.expr("cast(toxic > 0 as int)")), F.sum(F.expr("cast(ordinary > 0 as int)"))).collect()
-    contexts = {heads[r[0]]: tuple(map(int, r[1:])) for r in rows}
-    g = 2 * (away("toxic", t["toxic"]) + away("ordinary", t["ordinary"]))
-    top = bigrams.where("toxic + ordinary > 1").withColumn("_g", g).where(F.col("_g") >= MIN_G).orderBy(F.desc("_g"), "pair").limit(MAX_BIGRAMS).toPandas()
-    dropped(docs.sparkSession, bigrams)
-    top["first"] = [heads[p // size] for p in top["pair"]]
-    top["second"] = [heads[p % size] for p in top["pair"]]
-    model = Model(words, both, t, top, contexts)
-    fits = joined.where((F.col("_fold") == 4) & F.col("toxic").isin(0, 1)).select("doc_id", "text", "toxic")
-    fits = fits.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "toxic").select(F.xxhash64("doc_id", F.lit(5)).alias("_h"), "doc_id", "toxic").limit(max_fit)
-    bound = fits.agg(F.max("_h")).first()[0]
-    if bound is not None:
-        sample = joined.where((F.col("_fold") == 4) & F.col("toxic").isin(0, 1) & (F.xxhash64("doc_id", F.lit(5)) <= bound)).select("text", "toxic")
-
-        def measure(batches):
-            for pdf in batches:
-                f = [model.features(x) for x in pdf["text"]]
-                yield pd.DataFrame({"a": [x for x, _ in f], "b": [x for _, x in f], "y": pdf["toxic"]})
-
-        got = sample.mapInPandas(measure, "a double, b double, y int").toPandas().sort_values(["a", "b", "y"])
-        model.fit(got[["a", "b"]].to_numpy(), got["y"].to_numpy(float))
-    return model
+    tokens = saved(_chunks(joined.where("text is not null").select("_h", "text", F.when(trains, F.col("toxic")).otherwise(F.lit(2)).alias("toxic"))), "tokens")
+    buckets = max(LEAST_BUCKETS, -(-(tokens.agg(F.sum("tokens")).first()[0] or 0) // BUCKET_TOKENS))
+    pairs = saved(_pair_sums(_requests(tokens, True, buckets), buckets), "pairs")
+    words = saved(_word_sums(_requests(tokens, False, buckets).union(pairs.where("chunk < 0"))), "words")
+    totals = sum((_unpack(bytes(r[0]), np.int64) for r in words.where("chunk < 0").select("a").toLocalIterator()), np.zeros(6, np.int64))
+    answers = words.withColumn("word", F.lit(True)).union(pairs.withColumn("word", F.lit(False))).where("chunk >= 0").drop("keys")
+    features = saved(_features(tokens, answers, totals), "features")
+    for x in (tokens, pairs, words):
+        dropped(spark, x)
+    fits = joined.where((F.col("_fold") == 4) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic", "_h", F.xxhash64("doc_id", F.lit(5)).alias("_order"))
+    fits = fits.orderBy("_order", "doc_id", "toxic", "_h").limit(max_fit)
+    got = fits.join(features, "_h", "left").select(F.coalesce("_whole", F.lit(0.0)).alias("a"), F.coalesce("_window", F.lit(0.0)).alias("b"), F.col("toxic").alias("y")).toPandas().sort_values(["a", "b", "y"])
+    return features, fit_curve(got[["a", "b"]].to_numpy(float), got["y"].to_numpy(float))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """All columns of docs, and ``toxic_score`` between 0 and 1."""
-    model = fit_model(docs, labels, **params)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_WORDS and MAX_BIGRAMS entries
-
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        m = held.value
-        return pd.Series([m.score(x) for x in text], dtype=float)
-
-    return docs.withColumn("toxic_score", score("text"))
+    features, c = text_features(docs, labels, **params)
+    z = F.coalesce("_whole", F.lit(0.0)) * float(c[0]) + F.coalesce("_window", F.lit(0.0)) * float(c[1]) + F.lit(float(c[2]))
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    out = keyed.join(features, F.col("_text_hash") == F.col("_h"), "left")
+    return out.select(*[keyed[x] for x in docs.columns], (1 / (1 + F.exp(-z))).alias("toxic_score"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
