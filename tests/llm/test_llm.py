@@ -174,6 +174,25 @@ def test_language(spark, none):
     assert language.language_spans(none, train).count() == 0
 
 
+def test_language_keeps_rare_languages(spark):
+    big = [(i, " ".join(f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in WORDS[i % 20 : i % 20 + 3]), "aa") for i in range(30)]
+    rare = [(100, "qwxyz zyxwq", "yy"), (101, "jjkkvv vvkkjj", "zz")]
+    schema = "doc_id long, text string, lang string"
+    train = spark.createDataFrame(big + rare, schema)
+    d = spark.createDataFrame([*big[:3], *rare, (102, None, None), (102, "", None), (103, "1 2", None), (None, "zyxwq", None)], schema)
+    rows = lambda **x: sorted(map(str, language.language_spans(d, train, **x).collect()))
+    joined = rows(max_grams=20)
+    assert joined == rows() == rows(max_languages=2)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.language_spans(d, train, max_grams=20).collect()}
+    assert (got[0], got[100], got[101], got[103], got[None]) == ("aa", "yy", "zz", "und", "yy")
+
+
+def test_language_takes_many_languages(spark):
+    train = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}x", f"l{i:03}") for i in range(520)], "doc_id long, text string, lang string")
+    got = language.language_spans(train.limit(5), train).collect()
+    assert sorted(r["lang_pred"] for r in got) == [r[0] for r in train.limit(5).select("lang").collect()]
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(3)
     for s in (rng.normal(size=(n, 3)) * 3 for n in (1, 2, 6)):

@@ -5,6 +5,9 @@ documents. The scripts of a word's letters leave as candidates the languages tha
 write in that script. The best labelling of a text's words maximises the sum of word scores less a
 penalty for each switch of language; runs of one label are the spans.
 
+Every n-gram of every language scores. A table that is small is broadcast; of a larger one the n-grams
+that each chunk of texts holds are joined to it, with the same scores.
+
 Defined results: a null text, or one without letters, is ``und`` with score 0; a text whose script no
 learned language uses keeps all candidates; ties go to the language that sorts first; with nothing to
 learn from everything is ``und``; repeated rows are labelled alike; extra columns are ignored.
@@ -17,6 +20,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,7 +145,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 class LanguageModel:
     """Scores of words for each language, in order of the languages' names."""
 
-    def __init__(self, counts: pd.DataFrame, max_words: int = CACHE_WORDS):
+    def __init__(self, counts: pd.DataFrame, max_words: int = CACHE_WORDS, sums: dict[int, np.ndarray] | None = None):
+        """counts: those of gram_counts(), or of some n-grams and all scripts with ``sums``: by length, each language's smoothed sum over all n-grams."""
         script = counts["gram"].str.startswith("\0")
         self.langs = sorted(counts["lang"].unique())
         at = {x: i for i, x in enumerate(self.langs)}
@@ -160,7 +165,7 @@ class LanguageModel:
             rows = size == k
             if rows.any():
                 part = n[rows] + 0.5
-                p[rows] = np.log(part / part.sum(axis=0))
+                p[rows] = np.log(part / (part.sum(axis=0) if sums is None else sums[k]))
         # what all languages share says nothing
         p -= p.mean(axis=1, keepdims=True) if len(p) else 0
         codes = np.array([gram_code(g) for g in table.index], np.uint64)
@@ -169,7 +174,10 @@ class LanguageModel:
         self.table = np.vstack((p[order], np.zeros(len(self.langs))))
         allowed = [self.scripts.get(x) if k else None for k, x in enumerate(_NAMES)]
         self.off = np.array([np.where(a, 0.0, -50.0) if a is not None and a.any() else np.zeros(len(self.langs)) for a in allowed])
-        self.max_words = max_words
+        # wide scores: fewer words and texts at a time
+        self.max_words = min(max_words, max(1, 20_000_000 // max(1, len(self.langs))))
+        self.step = max(16, min(1024, 32_768 // max(1, len(self.langs))))
+        self.fresh = max(256, min(50_000, 2_000_000 // max(1, len(self.langs))))
         self.number: dict[str, int] = {}
         self.reset()
 
@@ -205,7 +213,7 @@ class LanguageModel:
         for text in texts:
             if text:
                 fresh.update(dict.fromkeys(w for w in text.split() if w not in self.number))
-            if len(fresh) >= 50_000:
+            if len(fresh) >= self.fresh:
                 self.learn(list(fresh))
                 fresh.clear()
         self.learn(list(fresh))
@@ -221,7 +229,7 @@ class LanguageModel:
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
     """The best labels of each text's words; texts advance together, word by word."""
-    out: list[np.ndarray] = [np.zeros(len(s), np.int16) for s in scores]
+    out: list[np.ndarray] = [np.zeros(len(s), np.int32) for s in scores]
     hard = []
     for k, s in enumerate(scores):
         if not len(s):
@@ -256,10 +264,10 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         best = state.argmax(axis=1)
         jump = state.max(axis=1)[:, None] - switch
         go = jump > state
-        back.append(np.where(go, best[:, None], -1).astype(np.int16))
+        back.append(np.where(go, best[:, None], -1).astype(np.int32))
         state = np.where(go, jump, state) + flat[begin[:active] + t]
     label = ends.argmax(axis=1)
-    labels = np.zeros(len(flat), np.int16)
+    labels = np.zeros(len(flat), np.int32)
     for t in range(longest - 1, -1, -1):
         live = lives[t]
         labels[begin[:live] + t] = label[:live]
@@ -272,38 +280,90 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     return out
 
 
-def fit_model(docs: DataFrame, max_grams: int = MAX_GRAMS) -> LanguageModel:
-    """Counts come from all documents with a language; the ``max_grams`` most frequent n-grams stay."""
-    ship(docs.sparkSession)
-    counts = gram_counts(docs)
-    counts = saved(counts, "grams")
-    n_langs = counts.select("lang").distinct().count()
-    if n_langs > MAX_LANGUAGES:
-        raise ValueError(f"{n_langs} languages; the model is bounded for {MAX_LANGUAGES}")
-    top = counts.groupBy("gram").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "gram").limit(max_grams)
-    got = counts.join(top, "gram").select("lang", "gram", "n").toPandas()
-    dropped(docs.sparkSession, counts)
-    return LanguageModel(got)
+def gram_sums(grams: DataFrame, langs: list[str]) -> dict[int, np.ndarray]:
+    """By length of n-grams, each language's count of all of them with the 0.5 that each is given."""
+    sizes = {r[0]: r[1] for r in grams.select("gram").distinct().groupBy(F.length("gram")).count().collect()}
+    out = {k: np.full(len(langs), 0.5 * n) for k, n in sizes.items()}
+    at = {x: i for i, x in enumerate(langs)}
+    for k, lang, n in grams.groupBy(F.length("gram"), "lang").agg(F.sum("n")).collect():
+        out[k][at[lang]] += n
+    return out
+
+
+def _chunked(docs: DataFrame, size: int) -> DataFrame:
+    """(chunk, doc_id, text): chunks of at most ``size`` rows."""
+
+    def number(batches):
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            at = (n + np.arange(batch.num_rows, dtype=np.int64)) // size
+            n += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(task << 32 | at), batch.column(0), batch.column(1)], names=["chunk", "doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(number, "chunk long, doc_id long, text string")
+
+
+def _asked(chunks: DataFrame) -> DataFrame:
+    """(chunk, gram): the n-grams of each chunk's words, mostly once."""
+
+    def ask(batches):
+        for batch in batches:
+            for chunk, rows in batch.to_pandas().groupby("chunk"):
+                words: set[str] = set()
+                for text in rows["text"]:
+                    words.update(text.split() if text else ())
+                if words:
+                    codes = np.unique(np.concatenate(Words(sorted(words)).grams()))
+                    grams = [gram_text(c) for c in codes[codes > 0].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(grams), pa.int64()), pa.array(grams, pa.string())], names=["chunk", "gram"])
 
+    return chunks.mapInArrow(ask, "chunk long, gram string").distinct()
 
-def language_spans(docs: DataFrame, train: DataFrame, switch: float = SWITCH) -> DataFrame:
+
+def language_spans(docs: DataFrame, train: DataFrame, switch: float = SWITCH, max_grams: int = MAX_GRAMS, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """doc_id, lang_pred, score and spans: an array of (lang, from_word, to_word, letters).
 
-    score is the share of the text's letters that lie in spans of the predicted language.
+    score is the share of the text's letters that lie in spans of the predicted language. A table of more
+    than ``max_grams`` n-grams or ``max_languages`` languages is not broadcast but joined.
     """
-    held = docs.sparkSession.sparkContext.broadcast(fit_model(train))
+    spark = docs.sparkSession
+    ship(spark)
     schema = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,from_word:int,to_word:int,letters:int>>"
-
-    def label(batches):
-        m: LanguageModel = held.value
-        for pdf in batches:
-            ids, texts = list(pdf["doc_id"]), list(pdf["text"])
-            for lo in range(0, len(texts), 1024):
-                if len(m.number) > m.max_words:
-                    m.reset()
-                yield _label(m, ids[lo : lo + 1024], texts[lo : lo + 1024], switch)
-
-    return docs.select("doc_id", "text").mapInPandas(label, schema)
+    counts = saved(gram_counts(train), "grams")
+    of_script = F.col("gram").startswith("\0")
+    grams = counts.where(~of_script)
+    n_grams, n_langs = grams.select("gram").distinct().count(), counts.select("lang").distinct().count()
+
+    def labelled(m: LanguageModel, pdf: pd.DataFrame):
+        ids, texts = list(pdf["doc_id"]), list(pdf["text"])
+        for lo in range(0, len(texts), m.step):
+            if len(m.number) > m.max_words:
+                m.reset()
+            yield _label(m, ids[lo : lo + m.step], texts[lo : lo + m.step], switch)
+
+    if n_grams <= max_grams and n_langs <= max_languages:
+        model = LanguageModel(counts.toPandas())
+        dropped(spark, counts)
+        held = spark.sparkContext.broadcast(model)
+
+        def label(batches):
+            for pdf in batches:
+                yield from labelled(held.value, pdf)
+
+        return docs.select("doc_id", "text").mapInPandas(label, schema)
+
+    scripts = counts.where(of_script).toPandas()
+    fixed = spark.sparkContext.broadcast((scripts, gram_sums(grams, sorted(scripts["lang"].unique()))))
+    chunks = saved(_chunked(docs, max(64, min(2048, 65_536 // n_langs))), "chunks")
+    answers = _asked(chunks).join(grams, "gram").select("chunk", "lang", "gram", "n")
+
+    def judge(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        names, sums = fixed.value
+        m = LanguageModel(pd.concat([names, found[["lang", "gram", "n"]]], ignore_index=True), sums=sums)
+        parts = list(labelled(m, texts))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"doc_id": [], "lang_pred": [], "score": [], "spans": []})
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(judge, schema)
 
 
 def _label(m: LanguageModel, doc_ids: list, texts: list, switch: float) -> pd.DataFrame:
