@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), with docs as its predecessor left them, and returns a DataFrame;
 all but the last keep the columns of ``documents``. Each result is written to the shared folder and read
-again. The stages take nulls, empty and repeated rows as their operators define it; documents with a
-null doc_id are never near-duplicates of others' account and all stay.
+again. The stages take nulls, empty and repeated rows as their operators define it; the Jaccard stage
+tells rows apart even if they share a doc_id or have none, and keeps all blank ones.
 """
 
 from __future__ import annotations
@@ -35,15 +35,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one with the least doc_id."""
-    found = jaccard.jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    twice = saved(twice, "twice")
-    if not twice.isEmpty():  # rows that share a doc_id: one of them stays
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """Of each group of rows that links join, the one with the least doc_id (a null one last)."""
+    # rows may share a doc_id or have none, so each gets a key of its own
+    keyed = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = saved(jaccard.jaccard_components(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
+    several = found.where("_row <> _group").select("_group").distinct()
+    rows = found.join(several, "_group", "left_semi").join(keyed.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("_place")), "_row")
+    first = rows.groupBy("_group").agg(F.min("_place")["_row"].alias("_first"))
+    gone = rows.join(first, "_group").where("_row <> _first").select("_row")
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -230,6 +230,16 @@ def test_jaccard(docs, none):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    other, third = text(71, 60), text(72, 60)
+    rows = [(1, BASE), (5, NEAR), (5, other), (None, third), (None, third), (7, other + " x"), (None, BASE), (8, None), (8, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r[0], r[1]) for r in corpus_pipeline.keep_one_of_each_group(spark, d, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, BASE), (5, other), (None, third), (8, None), (8, "")], key=str)
+
+
 def test_wide_signatures_lose_no_link():
     rng = np.random.default_rng(5)
     rejected = 0
