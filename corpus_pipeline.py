@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from vellum.llm import jaccard, lines, mixing, packing, toxicity
 from vellum.llm.common import saved
 
-#: SQL cannot express the trained model, the draws or the packing; the tests hold stages against brute force.
+#: SQL cannot express the trained model, the draws or the packing. The tests run the Jaccard stage and hold the operators to known
+#: or brute-force results, but run neither the other stages nor the whole pipeline.
 ORACLE_SQL: str | None = None
 
 
