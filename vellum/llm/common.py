@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "/tmp/checkpoints"  # local sessions, as in tests
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp()  # one machine, as in tests
         spark.sparkContext.setCheckpointDir(base)
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}"
 
 
@@ -57,6 +63,16 @@ def fold_of(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % modulus
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, most: int):
+    """Slices of a batch of about ``most`` bytes of a text column; a longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8; lone surrogates cannot come out of Spark."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

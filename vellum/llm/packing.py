@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .common import byte_slices
 
 SEQUENCE = 2048
 STRIDE = 128
@@ -217,7 +218,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, se
         tok = ChunkTokenizer.of(path, end_id)
         base = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in _parts(batch, block_bytes):
+            for part in byte_slices(batch, 1, block_bytes):
                 ids, doc_ends, sentence_ends = tok.encode(part.column(1))
                 cuts = np.array(best_cuts(*cut_points(doc_ends, sentence_ends, stride), sequence))
                 doc_starts, seq_starts = np.concatenate(([0], doc_ends[:-1])), np.concatenate(([0], cuts[:-1]))
@@ -233,16 +234,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, se
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
-def _parts(batch: pa.RecordBatch, block_bytes: int):
-    """Slices of a batch of about ``block_bytes`` of text; a longer text is a slice of its own."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    lo = 0
-    while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + block_bytes, "right")))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: the pieces with a checksum in place of their ids."""
     out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
