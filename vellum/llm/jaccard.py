@@ -1,15 +1,17 @@
 """N-gram Jaccard join with prefix filters under several global token orders.
 
-Two documents whose shingle sets have a Jaccard similarity of at least num/den share, under any one
-order of all tokens, a token among the first n - ceil(n*num/den) + 1 of each. Candidates come from
-order A; those whose bucket counts leave room for a link must also share prefix tokens under orders B
-and C before their sets are compared. Every
-order puts tokens that a corpus-wide sketch of document counts finds frequent last, so that a passage
-common to many documents makes no candidates. The sketch has a fixed size and only affects speed.
-
-No group of a token is ever expanded into all its pairs at once: its members are first compared with
-one pivot, what links is merged, and only pairs across what is then still apart are compared. Exact
-copies (equal word sequences, by a 64-bit hash) are one node.
+Let two sets of na and nb tokens have a Jaccard similarity of at least num/den. Then they share
+num / (num + den) * (na + nb) tokens or more, and under any one order of all tokens the first one that they
+share has at least as many tokens from it on in each set. Candidates come from order A, by an
+inverted index of prefixes that carries the tokens left; a pair must then pass the same test under
+orders B and C, on prefixes alone, before any whole set travels. Every order puts tokens that a
+corpus-wide sketch of document counts finds frequent last, so that a passage common to many documents
+makes few candidates. The sketch has a fixed size and only affects speed.
+
+Tokens with the same documents are one group of candidates. No group is expanded into all its pairs at
+once: its members are first compared with one pivot of their size, what links is merged, and only pairs
+across what is then still apart are compared. Exact copies (equal word sequences, by a 64-bit hash) are
+one node.
 
 Defined results: null and blank texts have no shingles and are their own component (of their doc_id);
 a text of fewer than ``k`` words is one shingle; repeated rows link to each other; a null doc_id is never
@@ -24,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import broadcast_if_small, components, dropped, gram_hashes, mix64, prefix_hash, saved, span_hash, word_hashes
+from .common import broadcast_if_small, byte_slices, components, dropped, gram_hashes, mix64, prefix_hash, saved, span_hash, word_hashes
 
 K = 5
 NUM, DEN = 75, 100
 SLOT_BITS = 22
-SIGNATURE = 256
 BLOCK_BITS = 17
 STAR_ROUNDS = 2
+SLICE_BYTES = 4_000_000
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -51,12 +53,13 @@ def prefix_size(n: int) -> int:
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, order: int) -> np.ndarray:
-    """The first tokens of a set under an order, frequent tokens being last in every order."""
+    """The first tokens of a set under an order, in order, frequent tokens being last in every order."""
     p = prefix_size(len(s))
     slot = (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
     late = (frequent[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
     key = (mix64(s ^ np.uint64(order)) >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
-    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
+    first = np.argpartition(key, p - 1)[:p]
+    return s[first[np.argsort(key[first])]]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -64,21 +67,31 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+def enough(left: int, sizes: int) -> bool:
+    """Whether so many tokens left in each set leave room for a link of sets of so many tokens together."""
+    return (NUM + DEN) * left >= NUM * sizes
+
+
+def _texts(batches):
+    for batch in batches:
+        yield from byte_slices(batch, 1, SLICE_BYTES)
+
+
 def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(info, bitmap): doc_id, n_shingles, node and signature of each document; and the slots of tokens
-    in far more documents than a slot's share of all tokens, from merged partition sketches."""
-    names = ["doc_id", "n_shingles", "node", "signature", "block"]
+    """(info, bitmap): doc_id, n_shingles and node of each document; and the slots of tokens in far more
+    documents than a slot's share of all tokens, from merged partition sketches."""
+    names = ["doc_id", "n_shingles", "node", "counts", "block"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
-    ddl = "doc_id long, n_shingles long, node long, signature binary, block int"
+    ddl = "doc_id long, n_shingles long, node long, counts binary, block int"
 
     def run(batches):
-        c = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in batches:
+        c = np.zeros(1 << SLOT_BITS, np.int32)
+        for batch in _texts(batches):
             got = [shingles(t.as_py()) for t in batch.column("text")]
-            for lo in range(0, len(got), 1000):
-                s = np.concatenate([x for x, _ in got[lo : lo + 1000]])
-                c += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(([len(s) for s, _ in got], [w for _, w in got], [signature(s) for s, _ in got], [None] * len(got)), types[1:], strict=True))], names=names)
+            slot, times = np.unique(np.concatenate([x for x, _ in got]) >> np.uint64(64 - SLOT_BITS), return_counts=True)
+            c[slot.astype(np.int64)] += times.astype(np.int32)
+            none = [None] * len(got)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(([len(s) for s, _ in got], [w for _, w in got], none, none), types[1:], strict=True))], names=names)
         if c.any():
             parts = np.minimum(c, 255).astype(np.uint8).reshape(-1, 1 << BLOCK_BITS)
             none = [None] * len(parts)
@@ -90,140 +103,112 @@ def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             for counts, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.uint8).astype(np.int64)
         out = [x.astype("<i8").tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(list(sums), pa.int32())], names=["signature", "block"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(list(sums), pa.int32())], names=["counts", "block"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = saved(base.mapInArrow(run, ddl), "info")
     total = np.zeros(1 << SLOT_BITS, np.int64)
-    sketches = both.where("block is not null").select("signature", "block").repartition(1 << (SLOT_BITS - BLOCK_BITS), "block")
-    for r in sketches.mapInArrow(merge, "signature binary, block int").toLocalIterator():  # 2**SLOT_BITS counts in all
-        total[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["signature"], "<i8")
+    sketches = both.where("block is not null").select("counts", "block").repartition(1 << (SLOT_BITS - BLOCK_BITS), "block")
+    for r in sketches.mapInArrow(merge, "counts binary, block int").collect():  # 2**SLOT_BITS counts in all
+        total[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["counts"], "<i8")
     mean = total.mean()
-    return both.where("block is null").drop("block"), np.packbits(total > mean + 6 * np.sqrt(mean) + 8)
-
-
-def signature(s: np.ndarray) -> bytes:
-    """Tokens in each of SIGNATURE buckets; the lesser counts of two sets add up to no less than their intersection."""
-    return np.minimum(np.bincount((s & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 255).astype(np.uint8).tobytes() if len(s) else b""
-
-
-def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether signatures (rows) leave room for a link; a full bucket may hold any number."""
-    least = np.minimum(a, b)
-    most = np.where((least == 255).any(axis=1), np.minimum(na, nb), least.sum(axis=1, dtype=np.int64))
-    most = np.minimum(most, np.minimum(na, nb))
-    return DEN * most >= NUM * (na + nb - most)
+    return both.where("block is null").select("doc_id", "n_shingles", "node"), np.packbits(total > mean + 6 * np.sqrt(mean) + 8)
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, node, n): the first tokens under order A of each node."""
+    """(token, node, n, left): the first tokens under order A of each node, and how many of its n are left from each on."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def tokens(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _texts(batches):
             out, nodes, sizes, reps = [], [], [], []
             for t in batch.column("text"):
                 s, whole = shingles(t.as_py())
                 if not len(s) or whole in seen:
                     continue
-                if len(seen) < 100_000:
+                if len(seen) < 100_000:  # a node that comes again is no harm
                     seen.add(whole)
-                p = prefix(s, frequent, ORDERS[0])
-                out.append(p)
+                out.append(prefix(s, held.value, ORDERS[0]))
                 nodes.append(whole)
                 sizes.append(len(s))
-                reps.append(len(p))
+                reps.append(len(out[-1]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), reps)), pa.array(np.repeat(np.array(sizes, np.int32), reps))], names=["token", "node", "n"])
+                n = np.repeat(np.array(sizes, np.int32), reps)
+                place = np.arange(len(n)) - np.repeat(np.cumsum(reps) - reps, reps)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), reps)), pa.array(n), pa.array((n - place).astype(np.int32))], names=["token", "node", "n", "left"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.mapInArrow(tokens, "token long, node long, n int")
+    return base.mapInArrow(tokens, "token long, node long, n int, left int")
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
-    """Rows of tokens that two nodes or more have, each with a pivot of fitting size from its token's group."""
+    """Rows of tokens that two nodes or more have, each once."""
+    names = ["token", "node", "n", "left"]
 
     def run(batches):
-        last_token, last_node, last_n, pivot, shared = None, None, 0, None, False
+        last: list[np.ndarray] | None = None
+        with_last = False  # whether the row held back has the token of the row before it
         for batch in batches:
-            out: list[tuple] = []
-            tok, node, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(tok):
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            if not len(cols[0]):
                 continue
-            same = np.concatenate(([tok[0] == last_token], tok[1:] == tok[:-1]))
-            # rows next to no row of their token matter to nobody
-            near = same | np.append(same[1:], True)
-            for t, x, m, s in zip(tok[near].tolist(), node[near].tolist(), n[near].tolist(), same[near].tolist(), strict=True):
-                if s and t == last_token:
-                    if x == last_node and m == last_n:
-                        continue
-                    if not shared:
-                        out.append((last_token, last_node, last_n, last_node))
-                        shared = True
-                    if DEN * pivot[1] < NUM * m:
-                        pivot = (x, m)
-                    out.append((t, x, m, pivot[0]))
-                else:
-                    pivot, shared = (x, m), False
-                last_token, last_node, last_n = t, x, m
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["token", "node", "n", "pivot"])
+            if last is not None:
+                cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
+            new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+            cols = [x[new] for x in cols]
+            same = cols[0][1:] == cols[0][:-1]
+            before = np.append(with_last, same)
+            keep = before[:-1] | same
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in cols], names=names)
+            last, with_last = [x[-1:] for x in cols], bool(before[-1])
+        if last is not None and with_last:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
 
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tokens.repartition(parts, "token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "token long, node long, n int, pivot long")
+    return tokens.repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, n int, left int")
 
 
-def _sets(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, tokens): the sets, as sorted 64-bit integers, of the pairs' nodes."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = info.groupBy("node").agg(F.min("doc_id").alias("_id")).join(nodes, "node", "left_semi").select("node", "_id")
+def _groups(shared: DataFrame) -> DataFrame:
+    """(group, node, n, left): tokens of the same nodes are one group, with the most that any of them leaves."""
+    alike = [F.count("*"), F.bit_xor(F.xxhash64("node", F.lit(1))), F.bit_xor(F.xxhash64("node", F.lit(2)))]
+    named = shared.groupBy("token").agg(*(c.alias(f"_{i}") for i, c in enumerate(alike)))
+    named = named.select("token", F.xxhash64("_0", "_1", "_2").alias("group"))
+    return shared.join(named, "token").groupBy("group", "node").agg(F.max("n").alias("n"), F.max("left").alias("left"))
+
+
+def _sets(docs: DataFrame, info: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, tokens): the sets, as sorted 64-bit integers, of the nodes of any group."""
+    need = info.groupBy("node").agg(F.min("doc_id").alias("_id")).join(groups.select("node").distinct(), "node", "left_semi").select("node", "_id")
     need = broadcast_if_small(saved(need, "need"))
 
     def build(batches):
-        for batch in batches:
+        for batch in _texts(batches):
             got = [shingles(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([w for _, w in got], pa.int64()), pa.array([s.tobytes() for s, _ in got], pa.binary())], names=["node", "tokens"])
 
-    have = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(need, F.col("_d").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    have = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(need, F.col("_d").eqNullSafe(F.col("_id")), "left_semi").select("_d", "text")
     # rows that share a doc_id may bring nodes that nobody asked for, and copies
     return have.mapInArrow(build, "node long, tokens binary").dropDuplicates(["node"])
 
 
-def _possible(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """The pairs whose signatures leave room for a link."""
-    one = info.where("n_shingles > 0").groupBy("node").agg(F.min("n_shingles").alias("n"), F.min("signature").alias("s"))
-    one = one.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-    one = saved(one, "signatures")
-    left, right = one.toDF("a", "na", "sa"), one.toDF("b", "nb", "sb")
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 5))
-                ok = may_link(a, b, batch.column(2).to_numpy(), batch.column(4).to_numpy())
-                yield batch.filter(pa.array(ok)).select([0, 1])
-
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb")
-    return saved(both.mapInArrow(run, "a long, b long"), "possible")
+def orders_of(s: np.ndarray, frequent: np.ndarray) -> bytes:
+    """The size of a set and its prefixes under orders B and C, tokens cut to 32 bits."""
+    return b"".join([len(s).to_bytes(4, "little")] + [prefix(s, frequent, o).astype("<u4").tobytes() for o in ORDERS[1:]])
 
 
-def wide_signature(s: np.ndarray) -> bytes:
-    """The size of a set and its tokens in each of so many buckets that two hold a token or so at most."""
-    width = 1 << max(8, (len(s) // 2).bit_length())
-    counts = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width)
-    return np.uint32(len(s)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+def _parsed(x: bytes) -> tuple[int, list[np.ndarray]]:
+    n = int.from_bytes(x[:4], "little")
+    return n, np.split(np.frombuffer(x, "<u4", offset=4), len(ORDERS) - 1)
 
 
-def may_link_wide(a: bytes, b: bytes) -> bool:
-    """Whether two wide signatures leave room for a link; the wider one is folded to the other's width."""
-    (na, nb), (x, y) = ([int.from_bytes(s[:4], "little") for s in (a, b)], [np.frombuffer(s, np.uint8, offset=4) for s in (a, b)])
-    most = min(na, nb)
-    if x.max(initial=0) < 255 and y.max(initial=0) < 255:  # a full bucket may hold any number
-        width = min(len(x), len(y))
-        x, y = (v.reshape(-1, width).sum(axis=0, dtype=np.int64) for v in (x, y))
-        most = min(most, int(np.minimum(x, y).sum()))
-    return DEN * most >= NUM * (na + nb - most)
+def under_orders(a: tuple[int, list[np.ndarray]], b: tuple[int, list[np.ndarray]]) -> list[bool]:
+    """Under each of the orders B and C: whether a token that both prefixes hold leaves room for a link."""
+    out = []
+    for x, y in zip(a[1], b[1], strict=True):
+        _, i, j = np.intersect1d(x, y, return_indices=True)
+        out.append(bool(len(i)) and enough(int(np.minimum(a[0] - i, b[0] - j).max()), a[0] + b[0]))
+    return out
 
 
 def _compared(pairs: DataFrame, held: DataFrame, prepare, test) -> DataFrame:
@@ -234,16 +219,17 @@ def _compared(pairs: DataFrame, held: DataFrame, prepare, test) -> DataFrame:
         key, own = None, None
         for batch in batches:
             out = []
-            for a, salt, b, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for k in range(batch.num_rows):
+                a, salt, b = (batch.column(i)[k].as_py() for i in range(3))
                 if b is None:
-                    key, own = (a, salt), prepare(tokens)
-                elif key == (a, salt) and test(own, tokens):
+                    key, own = (a, salt), prepare(batch.column(3)[k].as_py())
+                elif key == (a, salt) and test(own, batch.column(3)[k].as_py()):
                     out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / 2000)).cast("int")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / 500)).cast("int")
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
     heads = counts.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     rows = dealt.join(held, F.col("b") == F.col("node")).select("a", "salt", "b", "tokens")
@@ -252,69 +238,74 @@ def _compared(pairs: DataFrame, held: DataFrame, prepare, test) -> DataFrame:
     return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def _verify(docs: DataFrame, info: DataFrame, pairs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """The pairs (a, b) that link, saved. Wide signatures, a tenth of the sets' size, go before the sets."""
-
-    def wide(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_signature(np.frombuffer(t, np.uint64)) for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "tokens"])
-
-    def prepare(tokens):
-        s = np.frombuffer(tokens, np.uint64)
-        return s, [prefix(s, frequent, o) for o in ORDERS[1:]]
-
-    def test(own, tokens):
-        (mine, prefixes), s = own, np.frombuffer(tokens, np.uint64)
-        if DEN * min(len(s), len(mine)) < NUM * max(len(s), len(mine)):
-            return False
-        return all(np.isin(prefix(s, frequent, o), p, kind="sort").any() for o, p in zip(ORDERS[1:], prefixes, strict=True)) and linked(mine, s)
-
-    spark = docs.sparkSession
-    possible = _possible(pairs, info)
-    sets = saved(_sets(docs, info, possible), "sets")
-    likely = saved(_compared(possible, sets.mapInArrow(wide, "node long, tokens binary"), bytes, may_link_wide), "likely")
-    links = saved(_compared(likely, sets, prepare, test), "links")
-    for done in (possible, sets, likely):
-        dropped(spark, done)
+def _verify(pairs: DataFrame, sets: DataFrame, orders: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, saved: those that also pass orders B and C are compared set by set."""
+    likely = saved(_compared(pairs, orders, _parsed, lambda own, x: all(under_orders(own, _parsed(x)))), "likely")
+    links = saved(_compared(likely, sets, lambda x: np.frombuffer(x, np.uint64), lambda own, x: linked(own, np.frombuffer(x, np.uint64))), "links")
+    dropped(pairs.sparkSession, likely)
+    dropped(pairs.sparkSession, pairs)
     return links
 
 
-def _apart(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows of tokens whose nodes lie in two components or more, with their components."""
-    rows = shared.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("token", "node", "n", F.coalesce("root", "node").alias("comp"))
-    split = rows.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
-    return rows.join(split, "token", "left_semi")
-
-
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _apart(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of groups whose nodes lie in two components or more, with their components."""
+    rows = groups.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("group", "node", "n", "left", F.coalesce("root", "node").alias("comp"))
+    split = rows.groupBy("group").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("group")
+    return rows.join(split, "group", "left_semi")
+
+
+def _pairs(rows: DataFrame, round_: int) -> DataFrame:
+    """Candidate pairs of rows of _apart(): of each with a pivot of its group and of its size; or, in the last
+    round, of all across components, each group's lesser components with all others."""
+    fits = F.expr(f"{NUM + DEN} * least(left, _left) >= {NUM} * (n + _n) and comp <> _comp")
+    other = lambda df, by: df.select(*by, F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("left").alias("_left"), F.col("comp").alias("_comp"))
+    if round_ < STAR_ROUNDS:
+        by = ["group", "band"]
+        rows = rows.withColumn("band", F.floor(F.log("n") / np.log(DEN / NUM)))
+        first = rows.groupBy(*by).agg(F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n", "left", "comp")).alias("p")).select(*by, "p.*")
+        pairs = rows.join(other(first, by), by).where(fits)
+    else:
+        by = ["group"]
+        sizes = rows.groupBy("group", "comp").agg(F.count("*").alias("c"))
+        major = sizes.groupBy("group").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
+        rows = rows.join(major, "group")
+        minor = other(rows.where("comp <> major"), by)
+        pairs = rows.join(minor, by).where(fits & F.expr("comp = major or _node < node"))
+    return pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, counts: list | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document. A list ``counts`` gets each round's pairs and links."""
     spark = docs.sparkSession
     ship(spark)
     info, frequent = first_pass(docs)
     shared = saved(_shared(_prefixes(docs, frequent)), "shared")
-    pairs = saved(shared.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = _verify(docs, info, pairs, frequent)
-    comp = saved(components(spark, links), "comp")
-    fits = lambda a, b: F.expr(f"{DEN} * least({a}, {b}) >= {NUM} * greatest({a}, {b})")
+    groups = saved(_groups(shared), "groups")
+    dropped(spark, shared)
+    sets = saved(_sets(docs, info, groups), "sets")
+    held = spark.sparkContext.broadcast(frequent)
+
+    def filters(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([orders_of(np.frombuffer(t.as_py(), np.uint64), held.value) for t in batch.column(1)], pa.binary())], names=["node", "tokens"])
+
+    orders = saved(sets.mapInArrow(filters, "node long, tokens binary"), "orders")
+    links = None
+    comp = spark.createDataFrame([], "node long, root long")
     for r in range(STAR_ROUNDS + 1):
-        rows = saved(_apart(shared, comp), "apart")
-        if rows.isEmpty():
-            break
-        if r < STAR_ROUNDS:  # a pivot anew, by another order
-            pivots = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n", "comp")).alias("p"))
-            pairs = rows.join(pivots, "token").where(F.col("comp") != F.col("p.comp")).where(fits("n", "p.n")).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-        else:  # all pairs across components: of each token's lesser components with all others
-            sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
-            major = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
-            rows = rows.join(major, "token")
-            minor = rows.where("comp <> major").select("token", F.col("node").alias("m"), F.col("n").alias("mn"), F.col("comp").alias("mc"))
-            pairs = minor.join(rows, "token").where("comp <> mc and (comp = major or m < node)").where(fits("n", "mn")).select(F.col("m").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = _verify(docs, info, saved(pairs, "pairs"), frequent)
-        if more.isEmpty():
+        rows = saved(_apart(groups, comp), "apart")
+        pairs = saved(_pairs(rows, r), "pairs")
+        n = pairs.count()
+        more = _verify(pairs, sets, orders)
+        dropped(spark, rows)
+        if counts is not None:
+            counts.append((n, more.count()))
+        if not n:
             continue
-        links = links.union(more)
+        links = more if links is None else links.union(more)
         comp = saved(components(spark, links), "comp")
+    for x in (groups, sets, orders):
+        dropped(spark, x)
     least = info.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = least.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     whole = classes.groupBy("root").agg(F.min("least").alias("component_id"))
