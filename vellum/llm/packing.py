@@ -31,8 +31,8 @@ STRIDE = 128
 SENTENCE_PENALTY = 1.0
 INNER_PENALTY = 8.0
 LEAST_GAP = 12
-BLOCK_BYTES = 12_000_000
-CACHE_CHUNKS = 700_000
+BLOCK_BYTES = 4_000_000
+CACHE_BYTES = 48_000_000
 END_ID = 1
 _COLUMNS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 _TOKENIZERS: dict[tuple[str, int], ChunkTokenizer] = {}
@@ -45,18 +45,18 @@ def default_tokenizer() -> str:
 
 
 class ChunkTokenizer:
-    """Ids of texts, chunk by chunk between blanks, with a bounded cache of chunks.
+    """Ids of texts, chunk by chunk between blanks, with a cache of chunks bounded in bytes.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
     chunks in a row. A chunk's ids lie in ``pool`` from ``start`` on; ``length`` is their number and
     ``ends`` says that a sentence may end after them. Entry 0 is the end token.
     """
 
-    def __init__(self, path: str, end_id: int, max_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, end_id: int, max_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.max_chunks = Tokenizer.from_file(path), end_id, max_chunks
+        self.tokenizer, self.end_id, self.max_bytes = Tokenizer.from_file(path), end_id, max_bytes
         self.model = self.tokenizer.model
         codes = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = [b for b in range(256) if b not in codes]
@@ -71,6 +71,7 @@ class ChunkTokenizer:
     def reset(self) -> None:
         self.entry: dict[str, int] = {}
         self.stems: dict[str, list[int]] = {}
+        self.bytes = 0  # a rough sum of what the two hold
         self.pool = np.zeros(1 << 16, np.uint32)
         self.pool[0], self.used, self.count = self.end_id, 1, 1
         self.start, self.length, self.ends = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
@@ -95,6 +96,7 @@ class ChunkTokenizer:
         if ids is None:
             unit = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
             ids = self.stems[low] = [t.id for t in self.model.tokenize(unit)]
+            self.bytes += 220 + len(low) + 8 * len(ids)
         tail = chunk[len(stem) :]
         if tail:
             more = self.stems.get(tail)
@@ -105,7 +107,7 @@ class ChunkTokenizer:
 
     def entries(self, chunks: list[str]) -> np.ndarray:
         """Entry of each of these distinct chunks."""
-        if len(self.entry) > self.max_chunks:
+        if self.bytes > self.max_bytes:
             self.reset()
         get = self.entry.get
         out = [get(c) for c in chunks]
@@ -115,6 +117,7 @@ class ChunkTokenizer:
             if e is None:
                 ids = self._chunk_ids(chunks[k])
                 out[k] = self.entry[chunks[k]] = self.count + len(sizes)
+                self.bytes += 180 + 2 * len(chunks[k]) + 4 * len(ids)
                 flat += ids
                 sizes.append(len(ids))
                 ends.append(bool(ids) and chunks[k][-1] in ".!?")
