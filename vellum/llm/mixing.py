@@ -18,18 +18,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from .common import WORD, broadcast_if_small
+from .common import WORD, broadcast_if_small, byte_slices, saved
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
+SLICE_BYTES = 4_000_000
 _WORD = re.compile(WORD)
 
 
@@ -69,6 +71,26 @@ def _permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _deal(rng: np.random.Generator, here: np.ndarray, left: int) -> np.ndarray:
+    """A draw of ``left`` out of so many of each source, source by source, each given those before it.
+
+    Where all are too many for the exact sampler, the hypergeometric law is drawn by its normal limit,
+    whose error is then far below one block in a thousand.
+    """
+    take, rest = np.zeros_like(here), int(here.sum())
+    for i, n in enumerate(here.tolist()):
+        rest -= n
+        if n + rest < 1_000_000_000:
+            got = int(rng.hypergeometric(n, rest, left)) if n + rest else 0
+        else:
+            share = n / (n + rest)
+            spread = left * share * (1 - share) * (n + rest - left) / (n + rest - 1)
+            got = round(left * share + rng.standard_normal() * spread**0.5)
+        take[i] = got = min(max(got, left - rest, 0), n, left)
+        left -= int(got)
+    return take
+
+
 def _shard_counts(quota: np.ndarray, shards: int, slots: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Per-source counts of one shard and of all shards before it, by halving the shards downwards."""
     lo, hi, here, before = 0, shards, quota.astype(np.int64), np.zeros(len(quota), np.int64)
@@ -76,13 +98,7 @@ def _shard_counts(quota: np.ndarray, shards: int, slots: int, shard: int, seed:
     while hi - lo > 1:
         mid = (lo + hi) // 2
         left = min(total, mid * slots) - lo * slots
-        rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-        if here.sum() < 1_000_000_000:
-            take = rng.multivariate_hypergeometric(here, left, method="marginals")
-        else:  # beyond the sampler's range: rounded shares, exact in total
-            exact = here * (left / here.sum())
-            take = np.floor(exact).astype(np.int64)
-            take[np.argsort(take - exact, kind="stable")[: left - int(take.sum())]] += 1
+        take = _deal(np.random.Generator(np.random.PCG64([seed, lo, hi])), here, left)
         if shard < mid:
             hi, here = mid, take
         else:
@@ -135,7 +151,8 @@ def plan(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=SHARE, mos
     The driver holds one row per source: the sources are the mix's parameters, not its data.
     """
     n_buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = sized(docs).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_buckets)).cast("int"))
+    # by the whole row, so that rows without an id spread too
+    rows = saved(sized(docs).withColumn("bucket", F.pmod(F.xxhash64("row_hash", F.lit(seed)), F.lit(n_buckets)).cast("int")), "sized")
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     w = Window.partitionBy("source").orderBy("bucket")
     starts = totals.select("source", "bucket", (F.sum("bucket_size").over(w) - F.col("bucket_size")).alias("bucket_start"))
@@ -220,26 +237,32 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     hit = keyed.join(takes, ["_k", "_h"])
     # rows alike in id, source and text share one list of all their takes: one of them stands for all
     hit = hit.where("_rows = 1").unionByName(hit.where("_rows > 1").dropDuplicates(["_k", "_h"]))
-    schema = docs.schema
+    names = docs.columns
+    hit = hit.select(*names, "_takes")
+    at_text = names.index("text")
 
     def cut(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                ends = [(m.start(), m.end()) for m in _WORD.finditer(row["text"])]
-                by_row: dict[int, list[tuple[int, int]]] = {}
-                for t in row["_takes"]:
-                    by_row.setdefault(t["start"], []).append((t["from_word"], t["n_words"]))
-                for start in sorted(by_row):
-                    for a, b in _runs(by_row[start]):
-                        new = {c: row[c] for c in schema.names}
-                        new["text"] = row["text"][ends[a][0] : ends[b - 1][1]]
-                        if "n_chars" in new:
-                            new["n_chars"] = len(new["text"])
-                        out.append(new)
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return hit.mapInPandas(cut, schema)
+        for whole in batches:
+            for batch in byte_slices(whole, at_text, SLICE_BYTES):
+                place, texts = [], []
+                for k in range(batch.num_rows):
+                    text = batch.column("text")[k].as_py()
+                    ends = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+                    by_row: dict[int, list[tuple[int, int]]] = {}
+                    for t in batch.column("_takes")[k].as_py():
+                        by_row.setdefault(t["start"], []).append((t["from_word"], t["n_words"]))
+                    for start in sorted(by_row):
+                        for a, b in _runs(by_row[start]):
+                            place.append(k)
+                            texts.append(text[ends[a][0] : ends[b - 1][1]])
+                if place:
+                    # all columns stay Arrow, so that no integer passes through a float
+                    out = batch.select(names).take(pa.array(place))
+                    new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+                    columns = [new[c].cast(out.schema.field(c).type) if c in new else out.column(c) for c in names]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return hit.mapInArrow(cut, docs.schema)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
