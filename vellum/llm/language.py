@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import dropped, fold_of, saved
+from .common import byte_slices, dropped, fold_of, saved
 
 SWITCH = 12.0
+#: Score of a language that a word's script rules out: no sum of scores and switches comes near it.
+EXCLUDED = -1e9
 MAX_GRAMS = 60_000
 MAX_LANGUAGES = 512
 CACHE_WORDS = 300_000
+SLICE_BYTES = 8_000_000
 MIN_SCRIPT_SHARE = 0.02
 # First and last code points of the blocks of a script (Unicode).
 SCRIPTS = {
@@ -173,7 +176,7 @@ class LanguageModel:
         self.codes = codes[order]
         self.table = np.vstack((p[order], np.zeros(len(self.langs))))
         allowed = [self.scripts.get(x) if k else None for k, x in enumerate(_NAMES)]
-        self.off = np.array([np.where(a, 0.0, -50.0) if a is not None and a.any() else np.zeros(len(self.langs)) for a in allowed])
+        self.off = np.array([np.where(a, 0.0, EXCLUDED) if a is not None and a.any() else np.zeros(len(self.langs)) for a in allowed])
         # wide scores: fewer words and texts at a time
         self.max_words = min(max_words, max(1, 20_000_000 // max(1, len(self.langs))))
         self.step = max(16, min(1024, 32_768 // max(1, len(self.langs))))
@@ -334,12 +337,13 @@ def language_spans(docs: DataFrame, train: DataFrame, switch: float = SWITCH, ma
     grams = counts.where(~of_script)
     n_grams, n_langs = grams.select("gram").distinct().count(), counts.select("lang").distinct().count()
 
-    def labelled(m: LanguageModel, pdf: pd.DataFrame):
-        ids, texts = list(pdf["doc_id"]), list(pdf["text"])
-        for lo in range(0, len(texts), m.step):
-            if len(m.number) > m.max_words:
-                m.reset()
-            yield _label(m, ids[lo : lo + m.step], texts[lo : lo + m.step], switch)
+    def labelled(m: LanguageModel, ids: pa.Array, texts: pa.Array):
+        for part in byte_slices(pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"]), 1, SLICE_BYTES):
+            for lo in range(0, part.num_rows, m.step):
+                if len(m.number) > m.max_words:
+                    m.reset()
+                some = part.slice(lo, m.step)
+                yield _label(m, some.column(0), some.column(1).to_pylist(), switch)
 
     if n_grams <= max_grams and n_langs <= max_languages:
         model = LanguageModel(counts.toPandas())
@@ -347,44 +351,48 @@ def language_spans(docs: DataFrame, train: DataFrame, switch: float = SWITCH, ma
         held = spark.sparkContext.broadcast(model)
 
         def label(batches):
-            for pdf in batches:
-                yield from labelled(held.value, pdf)
+            for batch in batches:
+                yield from labelled(held.value, batch.column(0), batch.column(1))
 
-        return docs.select("doc_id", "text").mapInPandas(label, schema)
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label, schema)
 
     scripts = counts.where(of_script).toPandas()
     fixed = spark.sparkContext.broadcast((scripts, gram_sums(grams, sorted(scripts["lang"].unique()))))
     chunks = saved(_chunked(docs, max(64, min(2048, 65_536 // n_langs))), "chunks")
     answers = _asked(chunks).join(grams, "gram").select("chunk", "lang", "gram", "n")
 
-    def judge(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def judge(texts: pa.Table, found: pa.Table) -> pa.Table:
         names, sums = fixed.value
-        m = LanguageModel(pd.concat([names, found[["lang", "gram", "n"]]], ignore_index=True), sums=sums)
-        parts = list(labelled(m, texts))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"doc_id": [], "lang_pred": [], "score": [], "spans": []})
+        m = LanguageModel(pd.concat([names, found.select(["lang", "gram", "n"]).to_pandas()], ignore_index=True), sums=sums)
+        texts = texts.combine_chunks()
+        parts = [p for b in texts.to_batches() for p in labelled(m, b.column("doc_id"), b.column("text"))]
+        return pa.Table.from_batches(parts, _SPANS)
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(judge, schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, schema)
 
 
-def _label(m: LanguageModel, doc_ids: list, texts: list, switch: float) -> pd.DataFrame:
+_SPAN = pa.struct([("lang", pa.string()), ("from_word", pa.int32()), ("to_word", pa.int32()), ("letters", pa.int32())])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(_SPAN))])
+
+
+def _label(m: LanguageModel, doc_ids: pa.Array, texts: list, switch: float) -> pa.RecordBatch:
     if m.langs:
         m.learn_texts(texts)
     rows, words = [], [m.ids(t.split()) if t and m.langs else np.zeros(0, np.int64) for t in texts]
     paths = viterbi([m.scores[w] for w in words], switch)
-    for doc_id, w, path in zip(doc_ids, words, paths, strict=True):
+    for w, path in zip(words, paths, strict=True):
         letters = m.letters[w]
         total = int(letters.sum())
-        doc_id = None if pd.isna(doc_id) else int(doc_id)
         if not total:
-            rows.append((doc_id, "und", 0.0, []))
+            rows.append(("und", 0.0, []))
             continue
         cut = np.concatenate(([0], np.nonzero(np.diff(path))[0] + 1, [len(path)]))
         sums = np.add.reduceat(letters, cut[:-1])
         per = np.bincount(path[cut[:-1]], sums, len(m.langs))
         best = int(per.argmax())
         spans = [{"lang": m.langs[path[a]], "from_word": int(a), "to_word": int(b), "letters": int(n)} for a, b, n in zip(cut[:-1], cut[1:], sums, strict=True)]
-        rows.append((doc_id, m.langs[best], float(per[best] / total), spans))
-    return pd.DataFrame(rows, columns=["doc_id", "lang_pred", "score", "spans"]).astype({"doc_id": "Int64"})
+        rows.append((m.langs[best], float(per[best] / total), spans))
+    return pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SPANS.types[1:], strict=True))], schema=_SPANS)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
