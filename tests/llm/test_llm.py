@@ -59,6 +59,24 @@ def test_mixing(docs, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixed_documents_keep_whole_numbers_and_reruns_agree(spark):
+    rows = [(2**53 + 1, text(1, 40), "a", 2**60 + 1), (None, text(2, 50), "b", None), (-1, text(3, 30), None, 5), (None, text(4, 20), "b", 2**53 + 3), (7, None, "a", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    got = [tuple(r) for r in mixing.mixed_documents(d, block_words=8).collect()]
+    by = {(t, i, s, x) for i, t, s, x in rows}
+    assert got and all(any(r[1] in (t or "") and (r[0], r[2], r[3]) == (i, s, x) for t, i, s, x in by) for r in got)
+    assert sorted(got, key=repr) == sorted((tuple(r) for r in mixing.mixed_documents(d, block_words=8).collect()), key=repr)
+
+
+def test_deal_of_large_numbers():
+    rng = np.random.default_rng(1)
+    here = np.array([3 * 10**9, 10**9, 5 * 10**8], np.int64)
+    got = np.array([mixing._deal(rng, here, 10**6) for _ in range(50)])
+    assert (got.sum(axis=1) == 10**6).all() and len({tuple(x) for x in got}) > 40
+    assert np.abs(got.mean(axis=0) / 10**6 - here / here.sum()).max() < 1e-3
+    assert (mixing._deal(rng, here, int(here.sum())) == here).all()
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 100], [5, 2], 60, 2) == [20, 40]
 
@@ -138,11 +156,15 @@ def test_toxicity_keeps_every_word_and_pair(spark, monkeypatch):
     kinds = d.join(labels, "doc_id").select(F.xxhash64("text").alias("_h"), "text", F.when(common.fold_of("doc_id", 5).between(1, 3), F.col("toxic")).otherwise(2).alias("toxic"))
     tokens = common.saved(toxicity._chunks(kinds), "tokens")
     assert tokens.count() > 4
-    pairs = common.saved(toxicity._pair_sums(toxicity._requests(tokens, True, 64), 64), "pairs")
+    known = spark.sparkContext.broadcast(toxicity._known_pairs(tokens, 320))
+    pairs = common.saved(toxicity._pair_sums(toxicity._requests(tokens, True, 64, known), 64), "pairs")
+    asked = [x for r in toxicity._requests(tokens, True, 64, known).collect() for x in toxicity._unpack_sorted(bytes(r["keys"])).tolist()]
+    every = [x for r in toxicity._requests(tokens, True, 64).collect() for x in toxicity._unpack_sorted(bytes(r["keys"])).tolist()]
+    assert len(asked) < len(every) and set(asked) <= set(every)
     sums = toxicity._word_sums(toxicity._requests(tokens, False, 64).union(pairs.where("chunk < 0"))).collect()
     got = {}
     for row in tokens.collect():
-        words = toxicity._unpack(bytes(row["vocabulary"]), np.uint64)
+        words = toxicity._unpack_sorted(bytes(row["vocabulary"]))
         mine = sorted((r for r in sums if r["chunk"] == row["chunk"]), key=lambda r: r["bucket"])
         got |= dict(zip(words.tolist(), zip(*[np.concatenate([toxicity._unpack(bytes(r[c]), np.int32) for r in mine]).tolist() for c in "abcdefg"], strict=True), strict=True))
     want, after = {}, {}
@@ -164,6 +186,15 @@ def test_toxicity_keeps_every_word_and_pair(spark, monkeypatch):
     assert pair[0] == 0 < pair[1] < pair[2]
 
 
+def test_language_keeps_ids_and_narrows_by_script(spark):
+    train = spark.createDataFrame([("en", "the cat sat on the mat and then it ran away " * 5), ("ru", "кошка сидела на коврике и потом убежала " * 5)], "lang string, text string")
+    rows = [(2**53 + 1, "the mat"), (None, "кошка"), (None, None), (-1, "12 34"), (3, "the cat " + "ж" * 60 + " sat on the mat"), (2**53 + 1, "the mat")]
+    d = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "doc_id long, text string, lang_pred string, score double")
+    got = language.language_spans(d, train).collect()
+    assert Counter((r[0], r[1]) for r in got) == Counter([(2**53 + 1, "en"), (None, "ru"), (None, "und"), (-1, "und"), (3, "ru"), (2**53 + 1, "en")])
+    assert [s["lang"] for r in got if r[0] == 3 for s in r["spans"]] == ["en", "ru", "en"]
+
+
 def test_language(spark, none):
     en, de = "the house and this thing with other words that they have", "der hund und die katze nicht eine auch werden schön"
     train = spark.createDataFrame([(1, en, "en"), (2, de, "de"), (3, None, "de"), (4, "привет мир", "ru")], "doc_id long, text string, lang string")

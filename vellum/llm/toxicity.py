@@ -13,7 +13,8 @@ bounded sample of labelled documents that the counts leave out, makes it a proba
 
 No table is held whole by a task: texts are cut to chunks, each asks once for each of its words and
 bigrams, the hashes of all chunks meet in buckets whose number grows with the corpus, are summed there,
-and the sums go back to the chunks that asked. A hot word is one row of each chunk's list. Words and
+and the sums go back to the chunks that asked. A hot word is one row of each chunk's list. Pairs that a
+bitmap of the labelled texts' pairs rules out are not asked for: their counts are 0. Words and
 bigrams are compared by 64-bit hashes.
 
 Defined results: null, empty and blank texts get the score of no evidence; repeated rows are scored
@@ -38,8 +39,9 @@ WINDOW = 40
 MAX_FIT = 20_000
 DISCOUNT = 0.75
 PRIOR_G = 16.0
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_500_000
+LEAST_BITS, MOST_BITS = 20, 28
 LEAST_BUCKETS = 64
 _STRIP = string.punctuation.encode()
 _EMPTY = word_hashes([b""])[0]
@@ -65,6 +67,15 @@ def _unpack(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, n).T).view(dtype).ravel()
 
 
+def _pack_sorted(a: np.ndarray) -> bytes:
+    """Sorted integers as their differences, whose upper bytes are mostly 0."""
+    return _pack(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def _unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, np.uint64), dtype=np.uint64)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
@@ -87,7 +98,7 @@ def _chunks(kinds: DataFrame) -> DataFrame:
             h = word_hashes(list(number))
             vocabulary, place = np.unique(h, return_inverse=True)
             flat = place.astype(np.int32)[np.concatenate(ids)]
-            row = (task << 32 | n, len(flat), _pack(np.array(texts, np.int64)), _pack(np.array(kind, np.int8)), _pack(np.fromiter(map(len, ids), np.int32, len(ids))), _pack(flat), _pack(vocabulary))
+            row = (task << 32 | n, len(flat), _pack(np.array(texts, np.int64)), _pack(np.array(kind, np.int8)), _pack(np.fromiter(map(len, ids), np.int32, len(ids))), _pack(flat), _pack_sorted(vocabulary))
             return _batch([row], _CHUNK)
 
         for batch in batches:
@@ -115,7 +126,7 @@ class _Chunk:
     """Words, and pairs of words that follow each other in a text; ``pair`` has each pair's place in ``keys``."""
 
     def __init__(self, row: dict):
-        self.vocabulary = _unpack(row["vocabulary"], np.uint64)
+        self.vocabulary = _unpack_sorted(row["vocabulary"])
         self.ids = _unpack(row["ids"], np.int32)
         self.sizes = _unpack(row["sizes"], np.int32)
         self.kinds = _unpack(row["kinds"], np.int8)
@@ -129,17 +140,23 @@ class _Chunk:
         kind, word = self.kinds[seen // size], seen % size
         return [np.bincount(word[kind == k], minlength=size) for k in (1, 0, 2)]
 
-    def pairs(self) -> None:
+    def pairs(self, known: np.ndarray | None = None) -> None:
+        """Find the pairs; with a bitmap of ``known`` slots, only those that a labelled text may hold."""
         size = len(self.vocabulary)
         some = self.vocabulary[self.ids] != _EMPTY
-        self.second = np.nonzero((self.text[1:] == self.text[:-1]) & some[1:] & some[:-1])[0] + 1
-        code, place = np.unique(self.ids[self.second - 1].astype(np.int64) * size + self.ids[self.second], return_inverse=True)
-        first, second = code // size, code % size
-        key = mix64(mix64(self.vocabulary[first]) + self.vocabulary[second])
+        second = np.nonzero((self.text[1:] == self.text[:-1]) & some[1:] & some[:-1])[0] + 1
+        code, place = np.unique(self.ids[second - 1].astype(np.int64) * size + self.ids[second], return_inverse=True)
+        first = code // size
+        key = mix64(mix64(self.vocabulary[first]) + self.vocabulary[code % size])
+        if known is not None:
+            keep = _holds(known, key)
+            here = keep[place]
+            second, place = second[here], (np.cumsum(keep) - 1)[place[here]]
+            key, first = key[keep], first[keep]
         order = np.argsort(key)
         back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order), dtype=np.int32)
-        self.keys, self.first, self.pair = key[order], first[order], back[place]
+        self.second, self.keys, self.first, self.pair = second, key[order], first[order], back[place]
 
     def pair_counts(self) -> list[np.ndarray]:
         """Toxic and ordinary texts with each pair."""
@@ -150,6 +167,47 @@ class _Chunk:
         return [np.bincount(pair[kind == k], minlength=len(self.keys)) for k in (1, 0)]
 
 
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(keys) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _holds(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = _slot(keys, (len(known) * 8 - 1).bit_length())
+    return (known[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+
+
+def _known_pairs(tokens: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of hash slots of the pairs in labelled texts. Pairs in no other slot need not be asked for, as their counts are
+    0. It follows the size of the corpus up to ``MOST_BITS``; when it fills up it only lets more pairs be asked for."""
+    bits = int(np.clip((2 * size).bit_length(), LEAST_BITS, MOST_BITS))
+    block_bits = bits - 6
+
+    def find(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = _Chunk(row)
+                if (c.kinds < 2).any():
+                    c.pairs()
+                    t, o = c.pair_counts()
+                    slot = np.unique(_slot(c.keys[t + o > 0], bits)).astype(np.uint64)
+                    cuts = np.searchsorted(slot >> np.uint64(block_bits), np.arange(65, dtype=np.uint64))
+                    rows = [(b, _pack_sorted(slot[lo:hi])) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
+                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "slots"])
+
+    def merge(batches):
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.setdefault(b, np.zeros(1 << block_bits, bool))[_unpack_sorted(x).astype(np.int64) & ((1 << block_bits) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x).tobytes() for x in seen.values()], pa.binary())], names=["block", "slots"])
+
+    ddl = "block int, slots binary"
+    out, step = np.zeros(1 << (bits - 3), np.uint8), 1 << (block_bits - 3)
+    for r in tokens.mapInArrow(find, ddl).repartition(64, "block").mapInArrow(merge, ddl).collect():  # 2**MOST_BITS bits at most
+        out[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["slots"], np.uint8)
+    return out
+
+
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Ends of the buckets in sorted keys: equal ranges of the hashes' upper halves."""
     of = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -165,16 +223,18 @@ def _lists(keys: np.ndarray, counts: list[np.ndarray], buckets: int, chunk: int,
             packed = [_pack(c[lo:hi].astype(np.int32)) for c in counts]
             if more is not None:
                 packed.append(_pack(more[lo:hi][counts[0][lo:hi] + counts[1][lo:hi] > 0]))
-            yield (k, chunk, _pack(keys[lo:hi]), *packed, *[None] * (len(_COUNTS) - len(packed)))
+            yield (k, chunk, _pack_sorted(keys[lo:hi]), *packed, *[None] * (len(_COUNTS) - len(packed)))
 
 
-def _requests(tokens: DataFrame, pairs: bool, buckets: int) -> DataFrame:
+def _requests(tokens: DataFrame, pairs: bool, buckets: int, known=None) -> DataFrame:
+    """Lists of words, or of pairs that the broadcast bitmap ``known`` may hold."""
+
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 c = _Chunk(row)
                 if pairs:
-                    c.pairs()
+                    c.pairs(known and known.value)
                     rows = _lists(c.keys, c.pair_counts(), buckets, row["chunk"], c.vocabulary[c.first])
                 else:
                     rows = _lists(c.vocabulary, c.words(), buckets, row["chunk"])
@@ -192,7 +252,7 @@ def _pair_sums(requests: DataFrame, buckets: int) -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        lists = [_unpack(r["keys"], np.uint64) for r in rows]
+        lists = [_unpack_sorted(r["keys"]) for r in rows]
         counts = [[_unpack(r[c], np.int32) for r in rows] for c in "ab"]
         keys, place = np.unique(np.concatenate(lists), return_inverse=True)
         t, o = (_sums(place, c, len(keys)) for c in counts)
@@ -218,11 +278,11 @@ def _word_sums(requests: DataFrame) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         asked, firsts = [r for r in rows if r["chunk"] >= 0], [r for r in rows if r["chunk"] < 0]
-        lists = [_unpack(r["keys"], np.uint64) for r in asked]
+        lists = [_unpack_sorted(r["keys"]) for r in asked]
         keys, place = np.unique(np.concatenate(lists), return_inverse=True)
         values = [_sums(place, [_unpack(r[c], np.int32) for r in asked], len(keys)) for c in "abc"]
         if firsts:
-            of = np.searchsorted(keys, np.concatenate([_unpack(r["keys"], np.uint64) for r in firsts]))
+            of = np.searchsorted(keys, np.concatenate([_unpack_sorted(r["keys"]) for r in firsts]))
             values += [_sums(of, [_unpack(r[c], np.int32) for r in firsts], len(keys)) for c in "abcd"]
         else:
             values += [np.zeros(len(keys), np.int64)] * 4
@@ -278,7 +338,7 @@ def pair_ratios(counts: list[np.ndarray], contexts: list[np.ndarray], lower: lis
     return word + sure * (np.log(p[0] / p[1]) - word)
 
 
-def _features(tokens: DataFrame, answers: DataFrame, totals: np.ndarray) -> DataFrame:
+def _features(tokens: DataFrame, answers: DataFrame, totals: np.ndarray, known=None) -> DataFrame:
     """Of each text: length-normalised log-likelihood ratio of the whole, and the greatest of a window."""
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -286,7 +346,7 @@ def _features(tokens: DataFrame, answers: DataFrame, totals: np.ndarray) -> Data
         out = []
         for row in left.to_pylist():
             c = _Chunk(row)
-            c.pairs()
+            c.pairs(known and known.value)
             join = lambda col, word: np.concatenate([_unpack(r[col], np.int32) for r in rows if r["word"] == word] or [np.zeros(0, np.int32)])
             values = [join(x, True) for x in _COUNTS]
             chances = word_chances(values[:3], totals)
@@ -339,12 +399,15 @@ def text_features(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) ->
     joined = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), fold.alias("_fold")).join(known, F.col("doc_id") == F.col("_id"), "left")
     trains = F.col("_fold").between(1, 3) & F.col("toxic").isin(0, 1)
     tokens = saved(_chunks(joined.where("text is not null").select("_h", "text", F.when(trains, F.col("toxic")).otherwise(F.lit(2)).alias("toxic"))), "tokens")
-    buckets = max(LEAST_BUCKETS, -(-(tokens.agg(F.sum("tokens")).first()[0] or 0) // BUCKET_TOKENS))
-    pairs = saved(_pair_sums(_requests(tokens, True, buckets), buckets), "pairs")
+    size = tokens.agg(F.sum("tokens")).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_TOKENS))
+    known_pairs = spark.sparkContext.broadcast(_known_pairs(tokens, size))
+    pairs = saved(_pair_sums(_requests(tokens, True, buckets, known_pairs), buckets), "pairs")
     words = saved(_word_sums(_requests(tokens, False, buckets).union(pairs.where("chunk < 0"))), "words")
     totals = sum((_unpack(bytes(r[0]), np.int64) for r in words.where("chunk < 0").select("a").toLocalIterator()), np.zeros(6, np.int64))
     answers = words.withColumn("word", F.lit(True)).union(pairs.withColumn("word", F.lit(False))).where("chunk >= 0").drop("keys")
-    features = saved(_features(tokens, answers, totals), "features")
+    features = saved(_features(tokens, answers, totals, known_pairs), "features")
+    known_pairs.unpersist()
     for x in (tokens, pairs, words):
         dropped(spark, x)
     fits = joined.where((F.col("_fold") == 4) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic", "_h", F.xxhash64("doc_id", F.lit(5)).alias("_order"))
