@@ -4,8 +4,10 @@ A store is a folder: ``data/`` holds immutable Parquet shards, ``manifest/v<N>.j
 shards of version N. Arrivals are appended as small shards. Compaction groups live shards of one size
 tier (powers of ``FAN_IN`` above ``MIN_BYTES``), oldest first, into runs of up to the target size, and
 rewrites each run as one shard: a union of one-partition reads, so no row is shuffled. A version becomes
-visible by one rename that fails if the version exists; a loser plans anew. Data files are written before
-the manifest names them, so a job that dies leaves only files that no version names; vacuum() removes them.
+visible by one rename that fails if the version exists (as on HDFS and local disks; an object store needs
+a committer with a conditional put); a loser plans anew. Data files are written before the manifest names
+them, so a job that dies leaves only files that no version names; vacuum() removes them once they are old.
+Every version stays readable until vacuum() drops it.
 
 Defined results: an empty table makes a store without shards; repeated rows, nulls and extra columns are
 kept as they are. The driver holds one manifest entry per shard, never rows.
@@ -16,18 +18,22 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import broadcast_if_small, shared_dir
 
 MIN_BYTES = 1 << 20
 FAN_IN = 4
 TARGET_BYTES = 48 << 20
-MAX_UNION = 48
+LEAST_UNION = 48
 ARRIVALS = 8
+FULL = 0.75
+KEEP_VERSIONS = 16
+LEAST_AGE_S = 86_400.0
 
 
 class CommitConflict(RuntimeError):
@@ -125,13 +131,13 @@ class ShardStore:
     def tier(self, size: int) -> int:
         return 0 if size <= self.least else 1 + int(math.log(size / self.least, self.fan_in))
 
-    def plan(self, shards: list[dict], force: bool = False) -> list[list[dict]]:
-        """Runs of similarly sized shards to merge: ``fan_in`` or more (two, if forced), up to the target size."""
+    def plan(self, shards: list[dict]) -> list[list[dict]]:
+        """Runs of shards of one tier to merge, up to the target size: ``fan_in`` or more, or enough to fill a shard."""
         tiers: dict[int, list[dict]] = {}
         for s in shards:
-            if s["bytes"] < 0.75 * self.target:
-                tiers.setdefault(-1 if force else self.tier(s["bytes"]), []).append(s)
-        runs = []
+            if s["bytes"] < FULL * self.target:
+                tiers.setdefault(self.tier(s["bytes"]), []).append(s)
+        runs: list[list[dict]] = []
         for _, members in sorted(tiers.items()):
             run, size = [], 0
             for s in members:
@@ -140,13 +146,14 @@ class ShardStore:
                     run, size = [], 0
                 run, size = [*run, s], size + s["bytes"]
             runs.append(run)
-        return [r for r in runs if len(r) >= (2 if force else self.fan_in)]
+        return [r for r in runs if len(r) >= self.fan_in or len(r) > 1 and sum(s["bytes"] for s in r) >= FULL * self.target]
 
-    def compact(self, force: bool = False, retries: int = 5) -> dict:
+    def compact(self, retries: int = 5) -> dict:
         """Merge until no tier holds enough similar shards; each round is one version."""
-        for _ in range(64):
+        most = max(LEAST_UNION, 2 * self.spark.sparkContext.defaultParallelism)
+        while True:  # each round leaves fewer shards
             base = self.manifest()
-            runs = self.plan(base["shards"], force)[:MAX_UNION]
+            runs = self.plan(base["shards"])[:most]
             if not runs:
                 return base
             schema = _schema(base["schema"])
@@ -165,26 +172,32 @@ class ShardStore:
                 retries -= 1
                 if not retries:
                     raise
-        return self.manifest()
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version."""
+        if version is not None and version not in self.versions():
+            raise LookupError(f"version {version} is not there, or no longer")
         m = self.manifest(version)
         schema = _schema(m["schema"]) if m["schema"] else "doc_id long"
         if not m["shards"]:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[s["path"] for s in m["shards"]])
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete data files that none of the last versions names; returns how many."""
-        live = {re.sub(r"^file:/+", "/", s["path"]) for v in self.versions()[-keep_versions:] for s in self.manifest(v)["shards"]}
+    def vacuum(self, keep_versions: int = KEEP_VERSIONS, least_age_s: float = LEAST_AGE_S) -> int:
+        """Drop all but the last versions, and data files that no version left names; returns how many.
+
+        A file younger than ``least_age_s`` stays: a writer may be about to name it.
+        """
+        for v in self.versions()[:-keep_versions]:
+            self.fs.delete(self._path(f"manifest/v{v}.json"), False)
+        live = {re.sub(r"^file:/+", "/", s["path"]) for v in self.versions() for s in self.manifest(v)["shards"]}
         todo, gone = [self._path("data")] if self.fs.exists(self._path("data")) else [], 0
         while todo:
             for s in self.fs.listStatus(todo.pop()):
                 p = s.getPath()
                 if s.isDirectory():
                     todo.append(p)
-                elif p.getName().endswith(".parquet") and re.sub(r"^file:/+", "/", p.toString()) not in live:
+                elif p.getName().endswith(".parquet") and s.getModificationTime() / 1000 <= time.time() - least_age_s and re.sub(r"^file:/+", "/", p.toString()) not in live:
                     gone += bool(self.fs.delete(p, False))
         return gone
 
@@ -202,8 +215,6 @@ def shard_documents(docs: DataFrame, path: str | None = None, arrivals: int = AR
     batch = "_vellum_arrival"
     store.append_batches(docs.withColumn(batch, F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(arrivals)).cast("int")), batch)
     store.compact()
-    store.compact(force=True)
-    store.vacuum()
     return store
 
 
@@ -214,5 +225,4 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda p: p.rsplit("/", 1)[1]
     shards = spark.createDataFrame([(name(s["path"]), i, s["rows"], store.tier(s["bytes"])) for i, s in enumerate(m["shards"])], "_file string, shard_id int, shard_rows long, tier int")
     rows = store.read().select("doc_id", F.col("_metadata.file_name").alias("_file")) if m["shards"] else store.read().select("doc_id", F.lit("").alias("_file"))
-    # one manifest entry per shard: bounded by total bytes over the target
-    return rows.join(F.broadcast(shards), "_file").select("doc_id", "shard_id", "shard_rows", "tier", F.lit(m["version"]).cast("long").alias("version"))
+    return rows.join(broadcast_if_small(shards), "_file").select("doc_id", "shard_id", "shard_rows", "tier", F.lit(m["version"]).cast("long").alias("version"))
