@@ -11,9 +11,10 @@ quantisation error of the coded vector leaves possible, and candidates are compa
 
 A tile gives counts for each class and a spanning forest of its links, never all its pairs.
 
-Defined results: null or zero vectors, and those with null or non-finite components or a dimension
-other than most vectors of the sample, link with nothing and are kept; so are those with a null label.
-Repeated rows are vectors of their own. Extra columns are ignored.
+Vectors of each dimension have an index of their own, as those of different dimensions cannot link.
+
+Defined results: null or zero vectors, and those with null or non-finite components, link with nothing and
+are kept; so are those with a null label. Repeated rows are vectors of their own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import components, saved
 THRESHOLD = 0.93
 MAX_FIT = 20_000
 PER_LIST = 300
-MAX_LISTS = 1024
+MAX_LISTS = 2048
 SUBSPACES = 8
 CODES = 64
 MARGIN = 0.2
@@ -56,6 +57,8 @@ class Quantiser:
         self.dim = sample.shape[1]
         self.centroids = _kmeans(sample, lists, rng)
         r = sample - self.centroids[self.nearest(sample)]
+        norm = (self.centroids**2).sum(1)
+        self.apart = np.sqrt(np.maximum(norm[:, None] + norm[None] - 2 * self.centroids @ self.centroids.T, 1e-12))
         self.cuts = np.array_split(np.arange(self.dim), min(subspaces, self.dim))
         self.books = [_kmeans(r[:, c], codes, rng) for c in self.cuts]
 
@@ -69,8 +72,7 @@ class Quantiser:
         """(own list, lists of lesser number whose border is within the margin) of each vector."""
         d = self.distances(x)
         own = d.argmin(1)
-        apart = np.sqrt(np.maximum(((self.centroids[:, None] - self.centroids[None]) ** 2).sum(2), 1e-12)) if len(self.centroids) <= MAX_LISTS else None
-        gap = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart[own])
+        gap = (d - d[np.arange(len(x)), own][:, None]) / (2 * self.apart[own])
         near = (gap <= margin) & (np.arange(len(self.centroids))[None] < own[:, None])
         return own, [np.nonzero(row)[0] for row in near]
 
@@ -99,16 +101,21 @@ def classes_of(embeddings: DataFrame) -> DataFrame:
     return out.withColumn("key", F.when(F.col("vector").isNotNull(), F.sha2(F.concat_ws("|", "label", text), 256)))
 
 
-def fit(rows: DataFrame) -> Quantiser | None:
-    least = rows.where("vector is not null").select(F.xxhash64("vec_id", F.lit(3)).alias("h"), "vector").orderBy("h", "vector").limit(MAX_FIT).collect()
-    n = rows.where("vector is not null").count()
-    if not least:
-        return None
-    sizes = pd.Series([len(r["vector"]) for r in least]).mode()
-    x = np.array([r["vector"] for r in least if len(r["vector"]) == sizes[0]])
+def fit(rows: DataFrame) -> dict[int, Quantiser]:
+    """A quantiser for each dimension, on MAX_FIT vectors at most in all (64 for a rare dimension)."""
+    valid = rows.where("vector is not null").select(F.size("vector").alias("dim"), F.xxhash64("vec_id", F.lit(3)).alias("h"), "vector")
+    counts = {r["dim"]: r["count"] for r in valid.groupBy("dim").count().collect()}
+    total, out = sum(counts.values()), {}
+    for dim, n in sorted(counts.items()):
+        least = valid.where(F.col("dim") == dim).orderBy("h", "vector").limit(max(64, MAX_FIT * n // total)).collect()
+        x = _unit(np.array([r["vector"] for r in least], float))
+        out[dim] = Quantiser(np.unique(x, axis=0), int(np.clip(n // PER_LIST, 1 if n < 8 * PER_LIST else 8, MAX_LISTS)))
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    return Quantiser(np.unique(x, axis=0), int(np.clip(n // PER_LIST, 8, MAX_LISTS)))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _tile(rows: pd.DataFrame, q: Quantiser, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -162,34 +169,30 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, margin: fl
     rows = saved(classes_of(embeddings), "vectors")
     q = fit(rows)
     single = rows.select("vec_id", "key")
-    if q is None:
+    if not q:
         return single.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    held = spark.sparkContext.broadcast(q)  # MAX_LISTS centroids and SUBSPACES * CODES codewords at most
+    held = spark.sparkContext.broadcast(q)  # for each dimension MAX_LISTS centroids and SUBSPACES * CODES codewords at most
     classes = rows.where("key is not null").groupBy("key", "label").agg(F.first("vector").alias("vector"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = classes.withColumn("cid", F.xxhash64("key"))
 
     def place(batches):
-        m = held.value
-        for pdf in batches:
-            pdf = pdf[pdf["vector"].map(len) == m.dim]
-            if not len(pdf):
-                continue
-            x = np.array(pdf["vector"].tolist(), float)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            for lo in range(0, len(x), 512):
-                part, u = pdf.iloc[lo : lo + 512], x[lo : lo + 512]
-                own, probes = m.lists(u, margin)
-                out = part[["cid", "label", "copies"]].assign(unit=[r.tobytes() for r in u], list=own, home=True)
-                at = np.repeat(np.arange(len(part)), [len(p) for p in probes])
-                yield out
-                if len(at):
-                    yield out.iloc[at].assign(list=np.concatenate(probes), home=False)
-
-    placed = saved(classes.select("cid", "label", "copies", "vector").mapInPandas(place, "cid long, label string, copies long, unit binary, list int, home boolean"), "placed")
-    sizes = placed.groupBy("label", "list").agg(F.sum(F.col("home").cast("int")).alias("nh"), F.count("*").alias("na"))
+        for whole in batches:
+            for dim, pdf in whole.groupby(whole["vector"].map(len)):
+                m = held.value[dim]
+                x = _unit(np.array(pdf["vector"].tolist(), float))
+                for lo in range(0, len(x), 512):
+                    part, u = pdf.iloc[lo : lo + 512], x[lo : lo + 512]
+                    own, probes = m.lists(u, margin)
+                    out = part[["cid", "label", "copies"]].assign(unit=[r.tobytes() for r in u], dim=dim, list=own, home=True)
+                    at = np.repeat(np.arange(len(part)), [len(p) for p in probes])
+                    yield out
+                    if len(at):
+                        yield out.iloc[at].assign(list=np.concatenate(probes), home=False)
+
+    placed = saved(classes.select("cid", "label", "copies", "vector").mapInPandas(place, "cid long, label string, copies long, unit binary, dim int, list int, home boolean"), "placed")
+    sizes = placed.groupBy("label", "dim", "list").agg(F.sum(F.col("home").cast("int")).alias("nh"), F.count("*").alias("na"))
     sizes = sizes.withColumn("bh", F.greatest(F.lit(1), F.ceil(F.col("nh") / TILE)).cast("int")).withColumn("bp", F.greatest(F.lit(1), F.ceil((F.col("na") - F.col("nh")) / TILE)).cast("int"))
-    dealt = placed.join(sizes, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.when(F.col("home"), F.col("bh")).otherwise(F.col("bp"))).cast("int"))
+    dealt = placed.join(sizes, ["label", "dim", "list"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.when(F.col("home"), F.col("bh")).otherwise(F.col("bp"))).cast("int"))
     # tiles: home block i with home block j >= i, and probe block p with each home block
     others = F.sequence(F.lit(0), F.col("bh") - 1)
     tiles = F.when(
@@ -199,13 +202,13 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, margin: fl
             F.when(F.col("na") > F.col("nh"), F.transform(F.sequence(F.lit(0), F.col("bp") - 1), lambda p: F.struct((-1 - p).alias("i"), F.col("block").alias("j"), F.lit(0).alias("side")))).otherwise(F.array()),
         ),
     ).otherwise(F.transform(others, lambda j: F.struct((-1 - F.col("block")).alias("i"), j.alias("j"), F.lit(1).alias("side"))))
-    work = dealt.select("cid", "label", "list", "copies", "unit", F.explode(tiles).alias("t")).select("cid", "label", "list", "copies", "unit", "t.i", "t.j", "t.side")
+    work = dealt.select("cid", "label", "dim", "list", "copies", "unit", F.explode(tiles).alias("t")).select("cid", "label", "dim", "list", "copies", "unit", "t.i", "t.j", "t.side")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "cid"], ignore_index=True)
         if pdf["i"].iloc[0] >= 0 and pdf["i"].iloc[0] != pdf["j"].iloc[0]:
             pdf["side"] = np.where(pdf["side"] == 2, 1, 0)
-        counts, edges = _tile(pdf, held.value, threshold)
+        counts, edges = _tile(pdf, held.value[int(pdf["dim"].iloc[0])], threshold)
         cid = pdf["cid"].to_numpy()
         k = np.nonzero(counts)[0]
         out = [pd.DataFrame({"a": cid[k], "b": cid[k], "n": counts[k]})]
@@ -214,7 +217,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, margin: fl
             out.append(pd.DataFrame({"a": cid[u], "b": cid[v], "n": 0}))
         return pd.concat(out, ignore_index=True).astype({"a": "int64", "b": "int64", "n": "int64"})
 
-    found = saved(work.groupBy("label", "list", "i", "j").applyInPandas(compare, "a long, b long, n long"), "links")
+    found = saved(work.groupBy("label", "dim", "list", "i", "j").applyInPandas(compare, "a long, b long, n long"), "links")
     counts = found.where("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
     comp = components(spark, found.where("a <> b").select("a", "b"))
     named = classes.select("cid", "key", "least", "copies").join(counts, "cid", "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
