@@ -235,18 +235,45 @@ def test_viterbi_is_best():
 
 
 def test_shards(spark, docs, none, tmp_path):
-    store = shards.ShardStore(spark, str(tmp_path / "s"), min_bytes=100, target_bytes=100_000)
+    store = shards.ShardStore(spark, str(tmp_path / "s"), min_bytes=100_000, target_bytes=1_000_000)
+    key = F.coalesce("doc_id", F.lit(0))
     for i in range(5):
-        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == i).coalesce(1))
+        store.append(docs.where(F.pmod(key, F.lit(5)) == i).coalesce(1))
     before = store.manifest()
-    store.compact(force=True)
-    assert len(store.manifest()["shards"]) == 1 and store.vacuum() >= 1
+    assert len(before["shards"]) == 5
+    store.compact()
+    assert len(store.manifest()["shards"]) == 1 and store.vacuum() == 0
     assert store.read().exceptAll(docs).isEmpty() and docs.exceptAll(store.read()).isEmpty()
+    # old versions stay readable, until they are vacuumed
+    assert store.read(1).count() == before["shards"][0]["rows"] and store.read(5).exceptAll(docs).isEmpty()
     with pytest.raises(shards.CommitConflict):
         store.commit(before, [], None, "late")
+    # what another writer has written and not yet named stays
+    docs.coalesce(1).write.parquet(str(tmp_path / "s" / "data" / "unnamed"))
+    assert store.vacuum(keep_versions=1) == 0 and store.versions() == [6]
+    with pytest.raises(LookupError):
+        store.read(1)
+    assert store.vacuum(keep_versions=1, least_age_s=-60.0) >= 6 and store.read().count() == docs.count()
     assert shards.shard_documents(none).read().count() == 0
 
 
+def test_shard_tiers():
+    store = shards.ShardStore.__new__(shards.ShardStore)
+    store.target, store.fan_in, store.least = 1000, 4, 10
+    plan = lambda *sizes: [[s["bytes"] for s in run] for run in store.plan([{"bytes": n} for n in sizes])]
+    assert plan(5, 5, 5) == [] and plan(5, 700, 5, 9, 10) == [[5, 5, 9, 10]]
+    assert plan(*[50] * 5, 7, 7) == [[50] * 5] and plan(450, 450, 450) == [[450, 450]]
+    assert plan(900, 800, 760) == []
+
+
+def test_shards_of_rows_without_ids(spark):
+    rows = [(None, "a"), (None, "a"), (3, None), (3, "b"), (-1, "c")]
+    d = spark.createDataFrame([(*r, "f", 1) for r in rows], "doc_id long, text string, _file string, tier int")
+    store = shards.shard_documents(d)
+    assert sorted(map(repr, store.read().collect())) == sorted(map(repr, d.collect()))
+    assert sum(s["rows"] for s in store.manifest()["shards"]) == len(rows)
+
+
 def test_lines(docs, none):
     got = {r["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
     assert got[11]["text"] == "x.\nA line that is long enough to count.\nshort\nshort"
@@ -316,6 +343,14 @@ def test_neighbours(spark, monkeypatch):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905))
 
 
+def test_neighbours_of_several_dimensions(spark):
+    rows = [(1, [1.0, 1.0], 0), (2, [1.0, 1.01], 0), (3, [1.0, 1.0], 1), (4, [1.0], 0), (5, [2.0], 0), (6, [1.0, 1.0, 1.0], 0), (7, [1.0, 1.0, 1.1], 0), (7, [1.0, 1.0, 1.1], 0), (8, [-1.0], 0)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 2, 6), (7, 2, 6), (7, 2, 6), (8, 0, 8)]
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>, label int")
+    assert neighbours.near_vectors(none).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i != 14] + [(40, 40)], "a long, b long")
     got = {r["node"]: r["root"] for r in common.components(spark, edges).collect()}

@@ -116,13 +116,13 @@ def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, node, n, left): the first tokens under order A of each node, and how many of its n are left from each on."""
+    """(token, node, place): the first tokens under order A of each node."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def tokens(batches):
         seen: set[int] = set()
         for batch in _texts(batches):
-            out, nodes, sizes, reps = [], [], [], []
+            out, nodes = [], []
             for t in batch.column("text"):
                 s, whole = shingles(t.as_py())
                 if not len(s) or whole in seen:
@@ -131,26 +131,24 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     seen.add(whole)
                 out.append(prefix(s, held.value, ORDERS[0]))
                 nodes.append(whole)
-                sizes.append(len(s))
-                reps.append(len(out[-1]))
             if out:
-                n = np.repeat(np.array(sizes, np.int32), reps)
-                place = np.arange(len(n)) - np.repeat(np.cumsum(reps) - reps, reps)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), reps)), pa.array(n), pa.array((n - place).astype(np.int32))], names=["token", "node", "n", "left"])
+                reps = np.fromiter(map(len, out), np.int64, len(out))
+                place = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), reps)), pa.array(place.astype(np.int32))], names=["token", "node", "place"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.mapInArrow(tokens, "token long, node long, n int, left int")
+    return base.mapInArrow(tokens, "token long, node long, place int")
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
     """Rows of tokens that two nodes or more have, each once."""
-    names = ["token", "node", "n", "left"]
+    names = ["token", "node", "place"]
 
     def run(batches):
         last: list[np.ndarray] | None = None
         with_last = False  # whether the row held back has the token of the row before it
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
+            cols = [batch.column(i).to_numpy() for i in range(3)]
             if not len(cols[0]):
                 continue
             if last is not None:
@@ -166,21 +164,25 @@ def _shared(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
 
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tokens.repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, n int, left int")
+    return tokens.repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, place int")
 
 
-def _groups(shared: DataFrame) -> DataFrame:
-    """(group, node, n, left): tokens of the same nodes are one group, with the most that any of them leaves."""
+def _groups(shared: DataFrame, info: DataFrame) -> DataFrame:
+    """(group, node, n, left): tokens of the same nodes are one group; left is how many of a node's n tokens stand
+    from the first of them on."""
     alike = [F.count("*"), F.bit_xor(F.xxhash64("node", F.lit(1))), F.bit_xor(F.xxhash64("node", F.lit(2)))]
     named = shared.groupBy("token").agg(*(c.alias(f"_{i}") for i, c in enumerate(alike)))
     named = named.select("token", F.xxhash64("_0", "_1", "_2").alias("group"))
-    return shared.join(named, "token").groupBy("group", "node").agg(F.max("n").alias("n"), F.max("left").alias("left"))
+    first = shared.join(named, "token").groupBy("group", "node").agg(F.min("place").alias("place"))
+    sizes = info.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").cast("int").alias("n"))
+    return first.join(sizes, "node").select("group", "node", "n", (F.col("n") - F.col("place")).alias("left"))
 
 
-def _sets(docs: DataFrame, info: DataFrame, groups: DataFrame) -> DataFrame:
-    """(node, tokens): the sets, as sorted 64-bit integers, of the nodes of any group."""
-    need = info.groupBy("node").agg(F.min("doc_id").alias("_id")).join(groups.select("node").distinct(), "node", "left_semi").select("node", "_id")
-    need = broadcast_if_small(saved(need, "need"))
+def _sets(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, tokens): the sets, as sorted 64-bit integers, of the pairs' nodes."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    need = saved(info.groupBy("node").agg(F.min("doc_id").alias("_id")).join(nodes, "node", "left_semi").select("node", "_id"), "need")
+    need = broadcast_if_small(need)
 
     def build(batches):
         for batch in _texts(batches):
@@ -188,8 +190,8 @@ def _sets(docs: DataFrame, info: DataFrame, groups: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([w for _, w in got], pa.int64()), pa.array([s.tobytes() for s, _ in got], pa.binary())], names=["node", "tokens"])
 
     have = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(need, F.col("_d").eqNullSafe(F.col("_id")), "left_semi").select("_d", "text")
-    # rows that share a doc_id may bring nodes that nobody asked for, and copies
-    return have.mapInArrow(build, "node long, tokens binary").dropDuplicates(["node"])
+    # rows that share a doc_id may bring nodes that nobody asked for, and a node twice: pairs are then compared twice
+    return have.mapInArrow(build, "node long, tokens binary").join(need.select("node"), "node", "left_semi")
 
 
 def orders_of(s: np.ndarray, frequent: np.ndarray) -> bytes:
@@ -238,13 +240,19 @@ def _compared(pairs: DataFrame, held: DataFrame, prepare, test) -> DataFrame:
     return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, orders: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, saved: those that also pass orders B and C are compared set by set."""
+def _verify(docs: DataFrame, info: DataFrame, pairs: DataFrame, held) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that pass orders B and C, and of them those that link by their whole sets; saved."""
+
+    def filters(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([orders_of(np.frombuffer(t.as_py(), np.uint64), held.value) for t in batch.column(1)], pa.binary())], names=["node", "tokens"])
+
+    sets = saved(_sets(docs, info, pairs), "sets")
+    orders = sets.mapInArrow(filters, "node long, tokens binary")
     likely = saved(_compared(pairs, orders, _parsed, lambda own, x: all(under_orders(own, _parsed(x)))), "likely")
-    links = saved(_compared(likely, sets, lambda x: np.frombuffer(x, np.uint64), lambda own, x: linked(own, np.frombuffer(x, np.uint64))), "links")
-    dropped(pairs.sparkSession, likely)
-    dropped(pairs.sparkSession, pairs)
-    return links
+    links = saved(_compared(likely, sets, lambda x: np.frombuffer(x, np.uint64), lambda own, x: linked(own, np.frombuffer(x, np.uint64))).distinct(), "links")
+    dropped(pairs.sparkSession, sets)
+    return likely, links
 
 
 def _apart(groups: DataFrame, comp: DataFrame) -> DataFrame:
@@ -275,37 +283,30 @@ def _pairs(rows: DataFrame, round_: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, counts: list | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document. A list ``counts`` gets each round's pairs and links."""
+    """doc_id, n_shingles and component_id of every document. A list ``counts`` gets each round's pairs under order A, those left under B and C, and links."""
     spark = docs.sparkSession
     ship(spark)
     info, frequent = first_pass(docs)
     shared = saved(_shared(_prefixes(docs, frequent)), "shared")
-    groups = saved(_groups(shared), "groups")
+    groups = saved(_groups(shared, info), "groups")
     dropped(spark, shared)
-    sets = saved(_sets(docs, info, groups), "sets")
     held = spark.sparkContext.broadcast(frequent)
-
-    def filters(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([orders_of(np.frombuffer(t.as_py(), np.uint64), held.value) for t in batch.column(1)], pa.binary())], names=["node", "tokens"])
-
-    orders = saved(sets.mapInArrow(filters, "node long, tokens binary"), "orders")
     links = None
     comp = spark.createDataFrame([], "node long, root long")
     for r in range(STAR_ROUNDS + 1):
         rows = saved(_apart(groups, comp), "apart")
         pairs = saved(_pairs(rows, r), "pairs")
-        n = pairs.count()
-        more = _verify(pairs, sets, orders)
         dropped(spark, rows)
-        if counts is not None:
-            counts.append((n, more.count()))
-        if not n:
+        if pairs.isEmpty():
             continue
+        likely, more = _verify(docs, info, pairs, held)
+        if counts is not None:
+            counts.append((pairs.count(), likely.count(), more.count()))
+        dropped(spark, pairs)
+        dropped(spark, likely)
         links = more if links is None else links.union(more)
         comp = saved(components(spark, links), "comp")
-    for x in (groups, sets, orders):
-        dropped(spark, x)
+    dropped(spark, groups)
     least = info.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = least.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     whole = classes.groupBy("root").agg(F.min("least").alias("component_id"))
