@@ -97,22 +97,23 @@ def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             none = [None] * len(parts)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, none, [x.tobytes() for x in parts], range(len(parts))), types, strict=True)], names=names)
 
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = saved(base.mapInArrow(run, ddl), "info")
+    mean = (both.agg(F.sum("n_shingles")).first()[0] or 0) / (1 << SLOT_BITS)
+    most = mean + 6 * mean**0.5 + 8
+
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for counts, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.uint8).astype(np.int64)
-        out = [x.astype("<i8").tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(list(sums), pa.int32())], names=["counts", "block"])
+            for counts, block in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_buffer(), np.uint8).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(x > most).tobytes() for x in sums.values()], pa.binary()), pa.array(list(sums), pa.int32())], names=["counts", "block"])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = saved(base.mapInArrow(run, ddl), "info")
-    total = np.zeros(1 << SLOT_BITS, np.int64)
+    frequent, size = np.zeros(1 << (SLOT_BITS - 3), np.uint8), 1 << (BLOCK_BITS - 3)
     sketches = both.where("block is not null").select("counts", "block").repartition(1 << (SLOT_BITS - BLOCK_BITS), "block")
-    for r in sketches.mapInArrow(merge, "counts binary, block int").collect():  # 2**SLOT_BITS counts in all
-        total[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["counts"], "<i8")
-    mean = total.mean()
-    return both.where("block is null").select("doc_id", "n_shingles", "node"), np.packbits(total > mean + 6 * np.sqrt(mean) + 8)
+    for r in sketches.mapInArrow(merge, "counts binary, block int").collect():  # 2**SLOT_BITS bits in all
+        frequent[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["counts"], np.uint8)
+    return both.where("block is null").select("doc_id", "n_shingles", "node"), frequent
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
