@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from vellum.plans import registry
+from vellum.plans import catalogue as registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"

@@ -14,34 +14,71 @@ class Refused(ValueError):
     """The tables contradict each other; an estimate from them would be wrong."""
 
 
+def repeated_pages(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc", "page").agg(F.count("*").alias("times")).where("times > 1")
+
+
+def stray_pages(rows: DataFrame, sample: DataFrame) -> DataFrame:
+    """Rows of pages that the sample does not hold."""
+    return rows.join(sample.select("doc", "page").distinct(), ["doc", "page"], "left_anti")
+
+
+def uncovered(sample: DataFrame, census: DataFrame) -> DataFrame:
+    """Sampled documents that the census lacks or gives fewer pages than were sampled; (doc, sampled, pages)."""
+    per = sample.groupBy("doc").agg(F.count("*").alias("sampled"))
+    return per.join(census.select("doc", "pages"), "doc", "left").where("pages is null or sampled > pages")
+
+
+def read_census(rows: DataFrame, prefix: str = "testdocs/") -> DataFrame:
+    """(doc, pages) of (path, pages) cells: a path without its prefix, a whole number of pages."""
+    cells = rows.select(F.when(F.col("path").startswith(prefix), F.expr(f"substring(path, {len(prefix) + 1})")).otherwise(F.col("path")).alias("doc"), F.trim("pages").try_cast("bigint").alias("pages"))
+    if not cells.groupBy("doc").count().where("count > 1").isEmpty():
+        raise Refused("the census names a document twice")
+    if not cells.where("pages is null").isEmpty():
+        raise Refused("a number of pages is not a whole number")
+    return cells
+
+
 def check_sample(rows: DataFrame, sample: DataFrame, census: DataFrame) -> None:
     """Refuse repeated pages, rows outside the sample, and samples that the census doesn't cover."""
-    if not rows.groupBy("doc", "page").count().where("count > 1").isEmpty():
-        raise Refused("a page is listed twice")
-    if not rows.join(sample, ["doc", "page"], "left_anti").isEmpty():
+    if not repeated_pages(sample).isEmpty():
+        raise Refused("a page is sampled twice")
+    if not stray_pages(rows, sample).isEmpty():
         raise Refused("a row lies outside the sample")
-    per = sample.groupBy("doc").agg(F.count("*").alias("n"))
-    if not per.join(census, "doc", "left").where("pages is null or n > pages").isEmpty():
+    if not uncovered(sample, census).isEmpty():
         raise Refused("the census does not cover the sample")
 
 
-def stratified_estimate(hits: DataFrame, sample: DataFrame, census: DataFrame) -> DataFrame:
-    """Hits and their value, scaled by each document's share of sampled pages; and the pooled estimate."""
-    sampled = sample.groupBy("doc").agg(F.count("*").alias("sampled"))
+def stratified_estimate(hits: DataFrame, sample: DataFrame, census: DataFrame, allow_empty: bool = False) -> DataFrame:
+    """Pages hit and their value, scaled by each document's share of sampled pages; and the pooled estimate.
+
+    ``documents`` counts documents with a hit, and the exact subtotals are of those sampled whole. Refuses a
+    hit without a value, and no hit at all.
+    """
+    if not hits.where("value is null").isEmpty():
+        raise Refused("a selected page has no value")
+    if not allow_empty and hits.isEmpty():
+        raise Refused("the selection is empty")
+    per = sample.groupBy("doc").agg(F.count("*").alias("sampled")).join(census.select("doc", "pages"), "doc")
     found = hits.groupBy("doc").agg(F.count("*").alias("hits"), F.sum("value").alias("value"))
-    per = sampled.join(census, "doc").join(found, "doc", "left").na.fill(0, ["hits"]).na.fill(0.0, ["value"])
-    factor = F.col("pages") / F.col("sampled")
+    per = per.join(found, "doc", "left")
+    factor, whole = F.col("pages") / F.col("sampled"), F.col("pages") == F.col("sampled")
+    zero = lambda c: F.coalesce(c, F.lit(0))
     out = per.agg(
-        F.count("*").alias("documents"),
-        F.sum((F.col("pages") == F.col("sampled")).cast("long")).alias("exact_documents"),
-        F.sum("sampled").alias("sample_pages"),
-        F.sum("hits").alias("sample_hits"),
-        F.sum(F.col("hits") * factor).alias("hits"),
-        F.sum(F.col("value") * factor).alias("value"),
-        F.sum("pages").alias("sampled_documents_pages"),
+        F.count("hits").alias("documents"),
+        zero(F.sum("hits")).alias("sampled_hits"),
+        zero(F.sum("value")).alias("sampled_value"),
+        zero(F.sum(F.col("hits") * factor)).alias("hits"),
+        zero(F.sum(F.col("value") * factor)).alias("value"),
+        F.count(F.when(whole, F.col("hits"))).alias("exact_documents"),
+        zero(F.sum(F.when(whole, F.col("hits")))).alias("exact_hits"),
+        zero(F.sum(F.when(whole, F.col("value")))).alias("exact_value"),
+        F.count_if(whole).alias("whole_documents"),
+        zero(F.sum("sampled")).alias("sample_pages"),
     )
-    total = census.agg(F.sum("pages").alias("corpus_pages"))
-    return out.crossJoin(total).withColumn("pooled_hits", F.col("sample_hits") * F.col("corpus_pages") / F.col("sample_pages"))
+    total = census.agg(F.sum("pages").alias("corpus_pages"), F.count("*").alias("census_documents"))
+    share = F.col("corpus_pages") / F.col("sample_pages")
+    return out.crossJoin(total).withColumns({"pooled_hits": F.col("sampled_hits") * share, "pooled_value": F.col("sampled_value") * share})
 
 
 def library(items: DataFrame, attachments: DataFrame, types: DataFrame, dates: DataFrame, parentless: bool = False) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 # Geometry of the text layer.
 BASELINE_SHARE, SAME_LINE, LEAST_GAP, ROOM_SHARE, LEAST_OVERLAP = 0.22, 0.4, 0.5, 1.5, 1.0
 HYPHENS = "-‐‑­"
-NEXT_SHARED_WIDTH, NEXT_DROP = 0.6, 2.5
 
 PAGE = ["doc", "page"]
 
@@ -24,22 +23,23 @@ def usable(lines: DataFrame, least_confidence: float = 0.0) -> DataFrame:
     return out.where(F.col("confidence") >= least_confidence) if least_confidence > 0 else out
 
 
-def without_doubles(lines: DataFrame) -> DataFrame:
+def without_doubles(lines: DataFrame, page_width: float = 612.0, page_height: float = 792.0) -> DataFrame:
     """Of lines with one text whose boxes nearly coincide, the first; compared with kept lines only, in order.
 
     Only lines of one text on one page can be doubles, so the ordered fold runs over those.
     """
-    box = F.struct("pos", "x", "y", "height")
-    groups = lines.groupBy(*PAGE, "text").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    rest = [c for c in lines.columns if c not in (*PAGE, "text")]
+    order = ["pos", *(c for c in rest if c != "pos")]
+    groups = lines.groupBy(*PAGE, "text").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("boxes"))
 
     def keep(kept: Column, b: Column) -> Column:
-        h = F.greatest(b["height"], F.lit(0.0))
-        double = F.exists(kept, lambda k: (F.abs(k["x"] - b["x"]) < h) & (F.abs(k["y"] - b["y"]) < 0.3 * h))
+        h = F.greatest(b["height"] * page_height, F.lit(1.0))
+        double = F.exists(kept, lambda k: (F.abs(k["x"] - b["x"]) * page_width < h) & (F.abs(k["y"] - b["y"]) * page_height < 0.3 * h))
         return F.when(double, kept).otherwise(F.concat(kept, F.array(b)))
 
     none = F.slice(F.col("boxes"), 1, 0)
-    kept = groups.select(*PAGE, F.explode(F.aggregate("boxes", none, keep)).alias("b")).select(*PAGE, F.col("b.pos").alias("pos"))
-    return lines.join(kept, [*PAGE, "pos"], "left_semi")
+    kept = groups.select(*PAGE, "text", F.explode(F.aggregate("boxes", none, keep)).alias("b"))
+    return kept.select(*[c if c in (*PAGE, "text") else F.col(f"b.{c}").alias(c) for c in lines.columns])
 
 
 def shared_width(ax: Column, aw: Column, bx: Column, bw: Column) -> Column:
@@ -52,26 +52,13 @@ def baseline(y: Column, height: Column, page_height: Column | float) -> Column:
     return (1 - y - height + BASELINE_SHARE * height) * page_height
 
 
-def join_hyphenated(lines: DataFrame) -> DataFrame:
-    """A line that ends in a hyphenated letter takes the leading letters of the next line, which is not shortened."""
-    w = Window.partitionBy(*PAGE).orderBy("pos")
-    nxt = F.lead(F.struct("x", "y", "width", "height", "text")).over(w)
-    out = lines.withColumn("_next", nxt)
-    drop = F.col("_next.y") - F.col("y")
-    head = F.regexp_extract("text", rf"^(.*\p{{L}})[{HYPHENS}]$", 1)
-    tail = F.regexp_extract("_next.text", r"^(\p{Ll}\p{L}*)", 1)
-    fits = (head != "") & (tail != "") & (drop > SAME_LINE * F.col("height")) & (drop < NEXT_DROP * F.col("height"))
-    fits = fits & (shared_width(F.col("x"), F.col("width"), F.col("_next.x"), F.col("_next.width")) >= NEXT_SHARED_WIDTH)
-    return out.withColumn("joined", F.when(F.coalesce(fits, F.lit(False)), F.concat(head, tail)).otherwise(F.col("text"))).drop("_next")
-
-
 def headroom(lines: DataFrame, page_height: float = 792.0, page_width: float = 612.0) -> DataFrame:
-    """Room above each line: the least gap to a baseline above among lines that overlap it, over 1.5; null if none."""
+    """Room of each line: the least distance to a baseline among lines that overlap it, over 1.5; null if none."""
     base = lines.select(*PAGE, "pos", "height", "x", "width", baseline(F.col("y"), F.col("height"), page_height).alias("base"))
     a, b = base.alias("a"), base.alias("b")
     overlap = (F.least(F.col("a.x") + F.col("a.width"), F.col("b.x") + F.col("b.width")) - F.greatest("a.x", "b.x")) * page_width
-    gap = F.col("b.base") - F.col("a.base")
-    same = F.abs(gap) < SAME_LINE * F.least("a.height", "b.height") * page_height
+    gap = F.abs(F.col("b.base") - F.col("a.base"))
+    same = gap < SAME_LINE * F.least("a.height", "b.height") * page_height
     hit = (F.col("a.doc") == F.col("b.doc")) & (F.col("a.page") == F.col("b.page")) & (F.col("a.pos") != F.col("b.pos"))
     room = a.join(b, hit & (overlap > LEAST_OVERLAP) & (gap > LEAST_GAP) & ~same, "left")
     return room.groupBy(F.col("a.doc").alias("doc"), F.col("a.page").alias("page"), F.col("a.pos").alias("pos")).agg((F.min(gap) / ROOM_SHARE).alias("room"))

@@ -1,4 +1,4 @@
-"""Registered queries of the library's own operators, with the SQL that checks them.
+"""Registered queries of pages, layouts and rasters, with the SQL that checks them; catalogue.py has all.
 
 The inputs are deterministic stand-ins made from the test tables: lines of documents with made-up boxes,
 embeddings as 8 x 8 grey rasters, orders as documents whose line items are sampled pages.
@@ -60,26 +60,6 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("img", "cast(k div 8 as long) as y", "cast(k % 8 as long) as x", "cast(least(255, greatest(0, floor((cast(e as double) + 0.5D) * 255))) as long) as v")
 
 
-def sampled_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(hits, sample, census)."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page")).agg(F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("value"))
-    per = rows.groupBy("doc").agg(F.count("*").alias("n"))
-    census = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc")).distinct().join(per, "doc", "left").selectExpr("doc", "coalesce(n, 0) + doc % 3 as pages")
-    return pages.where_all(rows, ["q:ge:25"]).select("doc", "page", F.col("value").cast("double").alias("value")), rows.select("doc", "page"), census
-
-
-@query("stratified_estimate", """
-WITH r AS (SELECT l_orderkey AS doc, l_linenumber AS page, max(l_quantity) AS q, max(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2),
-s AS (SELECT doc, count(*) AS n, count(*) FILTER (q >= 25) AS hits, coalesce(sum(CAST(value AS DOUBLE)) FILTER (q >= 25), 0) AS value FROM r GROUP BY doc),
-c AS (SELECT o.doc, coalesce(n, 0) + o.doc % 3 AS pages FROM (SELECT DISTINCT o_orderkey AS doc FROM orders) o LEFT JOIN s ON o.doc = s.doc)
-SELECT count(*) AS documents, CAST(sum(CASE WHEN pages = n THEN 1 ELSE 0 END) AS BIGINT) AS exact_documents, CAST(sum(n) AS BIGINT) AS sample_pages, CAST(sum(hits) AS BIGINT) AS sample_hits,
-  round(sum(hits * pages / n), 4) AS hits, round(sum(value * pages / n), 0) AS value, CAST(sum(pages) AS BIGINT) AS sampled_documents_pages,
-  (SELECT CAST(sum(pages) AS BIGINT) FROM c) AS corpus_pages, round(sum(hits) * (SELECT sum(pages) FROM c) / sum(n), 4) AS pooled_hits FROM s JOIN c USING (doc)""")
-def stratified(spark, sf_dir):
-    out = corpus.stratified_estimate(*sampled_orders(spark, sf_dir))
-    return out.withColumns({"hits": F.round("hits", 4), "value": F.round("value", 0), "pooled_hits": F.round("pooled_hits", 4)})
-
-
 @query("pages_where", f"WITH {PAGES_SQL} SELECT doc, page, CAST(chars AS BIGINT) AS chars FROM pg WHERE chars >= 2000 AND dpi < 300")
 def pages_where(spark, sf_dir):
     return pages.where_all(page_table(spark, sf_dir), ["chars:ge:2000", "dpi:lt:300"]).select("doc", "page", "chars")
@@ -97,11 +77,6 @@ def page_routes(spark, sf_dir):
     return p.select("doc", "page", pages.is_scanned_image(F.col("px"), F.col("dpi")).alias("scanned"), pages.rebuild_dpi(F.col("dpi"), F.col("px")).cast("double").alias("rebuild"), verdict.alias("verdict"), picture.alias("picture"))
 
 
-@query("digital_documents", f"WITH {PAGES_SQL} SELECT doc, 2 * count(*) FILTER (chars >= 120 AND NOT (px >= 900 AND dpi BETWEEN 72 AND 1400)) > count(*) AS digital FROM pg GROUP BY doc")
-def digital(spark, sf_dir):
-    return pages.digital_documents(page_table(spark, sf_dir))
-
-
 @query("missing_pages", f"WITH {PAGES_SQL}, n AS (SELECT doc, max(page) + doc % 3 AS n FROM pg GROUP BY doc) SELECT doc, p AS page FROM n, range(1, 1000) AS r(p) WHERE p <= n AND NOT EXISTS (SELECT 1 FROM pg WHERE pg.doc = n.doc AND pg.page = p)")
 def missing(spark, sf_dir):
     p = page_table(spark, sf_dir)
@@ -162,17 +137,9 @@ def usable_lines(spark, sf_dir):
     return layout.usable(observations(spark, sf_dir), 0.3).select("doc", "page", "pos")
 
 
-@query("hyphen_joins", f"""WITH {OBS_SQL}, n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(width) OVER w AS nw, lead(text) OVER w AS nt FROM obs WINDOW w AS (PARTITION BY doc, page ORDER BY pos)),
-h AS (SELECT *, regexp_extract(text, '^(.*\\p{{L}})-$', 1) AS head, regexp_extract(nt, '^(\\p{{Ll}}\\p{{L}}*)', 1) AS tail FROM n)
-SELECT doc, page, pos, CASE WHEN head <> '' AND tail <> '' AND ny - y > 0.4 * height AND ny - y < 2.5 * height
-  AND (least(x + width, nx + nw) - greatest(x, nx)) / least(width, nw) >= 0.6 THEN head || tail ELSE text END AS joined FROM h""")
-def hyphen_joins(spark, sf_dir):
-    return layout.join_hyphenated(observations(spark, sf_dir)).select("doc", "page", "pos", "joined")
-
-
 @query("headroom", f"""WITH {OBS_SQL}, b AS (SELECT *, (1 - CAST(y AS DOUBLE) - CAST(height AS DOUBLE) + 0.22 * CAST(height AS DOUBLE)) * 792 AS base FROM obs)
-SELECT a.doc, a.page, a.pos, round(min(b.base - a.base) / 1.5, 6) AS room FROM b a LEFT JOIN b ON a.doc = b.doc AND a.page = b.page AND a.pos <> b.pos
-  AND (least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * 612 > 1 AND b.base - a.base > 0.5 AND NOT abs(b.base - a.base) < 0.4 * least(a.height, b.height) * 792 GROUP BY 1, 2, 3""")
+SELECT a.doc, a.page, a.pos, round(min(abs(b.base - a.base)) / 1.5, 6) AS room FROM b a LEFT JOIN b ON a.doc = b.doc AND a.page = b.page AND a.pos <> b.pos
+  AND (least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * 612 > 1 AND abs(b.base - a.base) > 0.5 AND NOT abs(b.base - a.base) < 0.4 * least(a.height, b.height) * 792 GROUP BY 1, 2, 3""")
 def headroom(spark, sf_dir):
     return layout.headroom(observations(spark, sf_dir)).withColumn("room", F.round("room", 6))
 
@@ -190,11 +157,6 @@ def extract_text(spark, sf_dir):
     return layout.extract_text(observations(spark, sf_dir))
 
 
-@query("without_doubles")
-def without_doubles(spark, sf_dir):
-    return layout.without_doubles(observations(spark, sf_dir)).select("doc", "page", "pos")
-
-
 @query("page_json", f"WITH {PAGES_SQL} SELECT '{{\"chars\":' || CAST(chars AS BIGINT) || ',\"doc\":' || doc || ',\"page\":' || page || '}}' AS value FROM pg")
 def page_json(spark, sf_dir):
     return sinks.to_json_lines(page_table(spark, sf_dir).select("doc", "page", "chars"))
@@ -238,8 +200,3 @@ def local_threshold(spark, sf_dir):
 def newer_versions(spark, sf_dir):
     k = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "concat_ws('.', o_orderkey % 4, o_orderkey % 10, o_orderkey % 3) as a", "concat_ws('.', o_orderkey % 3, o_orderkey % 7) as b")
     return k.select("o_orderkey", scalars.is_newer(F.col("a"), F.col("b")).alias("newer"), scalars.percent(F.expr("o_orderkey % 17"), F.expr("o_orderkey % 23")).alias("share"))
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stratified page estimate."""
-    return stratified(spark, sf_dir)
