@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import corpus, layout, pages, raster
+from ..operators import corpus, layout, pages
 from ..sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,11 +55,6 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc", "page", "chars", "300 + (doc * 37 + page * 101) % 1500 as px", "50 + (doc * 11 + page * 7) % 400 as dpi")
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), F.posexplode("embedding").alias("k", "e"))
-    return out.selectExpr("img", "cast(k div 8 as long) as y", "cast(k % 8 as long) as x", "cast(least(255, greatest(0, floor((cast(e as double) + 0.5D) * 255))) as long) as v")
-
-
 @query("pages_where", f"WITH {PAGES_SQL} SELECT doc, page, CAST(chars AS BIGINT) AS chars FROM pg WHERE chars >= 2000 AND dpi < 300")
 def pages_where(spark, sf_dir):
     return pages.where_all(page_table(spark, sf_dir), ["chars:ge:2000", "dpi:lt:300"]).select("doc", "page", "chars")
@@ -168,34 +163,6 @@ o AS (SELECT img, v, round(CASE WHEN n > n0 THEN CAST(n0 AS DOUBLE) * CAST(n - n
 t AS (SELECT img, CAST(least(greatest(arg_min(v, {'b': -b, 'v': v}), 90), 230) AS BIGINT) AS threshold FROM o GROUP BY img)"""
 
 
-@query("otsu_ink_tone", f"WITH {OTSU_SQL} SELECT img, threshold, round(avg(CASE WHEN v < threshold THEN 1.0 ELSE 0 END), 6) AS ink, round(avg(CASE WHEN abs(v - threshold) < 45 THEN 1.0 ELSE 0 END), 6) AS tone FROM px JOIN t USING (img) GROUP BY img, threshold")
-def otsu_ink_tone(spark, sf_dir):
-    p = pixels(spark, sf_dir)
-    return raster.ink_and_tone(p, raster.otsu(p)).withColumns({"ink": F.round("ink", 6), "tone": F.round("tone", 6)})
-
-
-@query("downsample", f"WITH {PIXELS_SQL} SELECT img, y // 3 AS y, x // 3 AS x, CAST(sum(v) // count(*) AS BIGINT) AS v FROM px GROUP BY 1, 2, 3")
-def downsample(spark, sf_dir):
-    return raster.downsample(pixels(spark, sf_dir), 3)
-
-
-@query("psnr", f"WITH {PIXELS_SQL}, m AS (SELECT img, avg(pow(CAST(v - v // 16 * 16 AS DOUBLE), 2)) AS m FROM px GROUP BY img) SELECT img, round(CASE WHEN m > 0 THEN 10 * log10(65025.0 / m) END, 6) AS psnr FROM m")
-def psnr(spark, sf_dir):
-    p = pixels(spark, sf_dir)
-    return raster.psnr(p, p.withColumn("v", F.expr("v div 16 * 16"))).withColumn("psnr", F.round("psnr", 6))
-
-
-@query("dark_cells", f"WITH {PIXELS_SQL} SELECT img, y // 2 AS r, x // 2 AS c, round(avg(255 - v), 6) AS dark FROM px GROUP BY 1, 2, 3")
-def dark_cells(spark, sf_dir):
-    return raster.dark_cells(pixels(spark, sf_dir), 4, 4, 8, 8).withColumn("dark", F.round("dark", 6))
-
-
-@query("local_threshold", f"""WITH {PIXELS_SQL}, n AS (SELECT a.img, a.y, a.x, a.v, avg(CAST(b.v AS DOUBLE)) AS m, avg(CAST(b.v * b.v AS DOUBLE)) AS q FROM px a JOIN px b ON a.img = b.img AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY 1, 2, 3, 4)
-SELECT img, y, x, v < m * (1 + 0.34 * (sqrt(greatest(0, q - m * m)) / 128 - 1)) AS mark FROM n""")
-def local_threshold(spark, sf_dir):
-    return raster.local_threshold(pixels(spark, sf_dir), 2)
-
-
 @query("newer_versions", "SELECT o_orderkey, (o_orderkey % 4, o_orderkey % 10, o_orderkey % 3) > (o_orderkey % 3, o_orderkey % 7, 0) AS newer, CAST(floor(100.0 * (o_orderkey % 17) / nullif(o_orderkey % 23, 0)) AS BIGINT) AS share FROM orders")
 def newer_versions(spark, sf_dir):
     k = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "concat_ws('.', o_orderkey % 4, o_orderkey % 10, o_orderkey % 3) as a", "concat_ws('.', o_orderkey % 3, o_orderkey % 7) as b")
