@@ -61,4 +61,4 @@ def test_near_copies_of_many_kinds(spark):
     counts: list = []
     got = [tuple(r) for r in jaccard.jaccard_components(df, counts).collect()]
     assert sorted(got, key=repr) == sorted(brute(rows), key=repr)
-    assert 1 <= len(counts) <= jaccard.STAR_ROUNDS + 1 and all(a >= b >= c for a, b, c in counts) and counts[0][2]
+    assert 1 <= len(counts) <= len(jaccard.PIVOTS) + 1 and all(a >= b >= c for a, b, c in counts) and counts[0][2]

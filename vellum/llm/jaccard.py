@@ -9,7 +9,7 @@ corpus-wide sketch of document counts finds frequent last, so that a passage com
 makes few candidates. The sketch has a fixed size and only affects speed.
 
 Tokens with the same documents are one group of candidates. No group is expanded into all its pairs at
-once: its members are first compared with one pivot of their size, what links is merged, and only pairs
+once: its members are first compared with a few pivots of their size, what links is merged, and only pairs
 across what is then still apart are compared. Exact copies (equal word sequences, by a 64-bit hash) are
 one node.
 
@@ -32,8 +32,9 @@ K = 5
 NUM, DEN = 75, 100
 SLOT_BITS = 22
 BLOCK_BITS = 17
-STAR_ROUNDS = 2
-SLICE_BYTES = 4_000_000
+#: Pivots of each group and size in the rounds before the last; more of them once few rows are left.
+PIVOTS = (1, 6, 6)
+SLICE_BYTES = 2_000_000
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -264,14 +265,15 @@ def _apart(groups: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, round_: int) -> DataFrame:
-    """Candidate pairs of rows of _apart(): of each with a pivot of its group and of its size; or, in the last
+    """Candidate pairs of rows of _apart(): of each with pivots of its group and of its size; or, in the last
     round, of all across components, each group's lesser components with all others."""
     fits = F.expr(f"{NUM + DEN} * least(left, _left) >= {NUM} * (n + _n) and comp <> _comp")
     other = lambda df, by: df.select(*by, F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("left").alias("_left"), F.col("comp").alias("_comp"))
-    if round_ < STAR_ROUNDS:
+    if round_ < len(PIVOTS):
         by = ["group", "band"]
         rows = rows.withColumn("band", F.floor(F.log("n") / np.log(DEN / NUM)))
-        first = rows.groupBy(*by).agg(F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n", "left", "comp")).alias("p")).select(*by, "p.*")
+        least = [F.min(F.struct(F.xxhash64("node", F.lit(round_), F.lit(k)).alias("h"), "node", "n", "left", "comp")).alias(f"p{k}") for k in range(PIVOTS[round_])]
+        first = rows.groupBy(*by).agg(*least).select(*by, F.explode(F.array(*(f"p{k}" for k in range(PIVOTS[round_])))).alias("p")).select(*by, "p.node", "p.n", "p.left", "p.comp").distinct()
         pairs = rows.join(other(first, by), by).where(fits)
     else:
         by = ["group"]
@@ -294,7 +296,7 @@ def jaccard_components(docs: DataFrame, counts: list | None = None) -> DataFrame
     held = spark.sparkContext.broadcast(frequent)
     links = None
     comp = spark.createDataFrame([], "node long, root long")
-    for r in range(STAR_ROUNDS + 1):
+    for r in range(len(PIVOTS) + 1):
         rows = saved(_apart(groups, comp), "apart")
         pairs = saved(_pairs(rows, r), "pairs")
         dropped(spark, rows)
