@@ -388,3 +388,12 @@ def colour_signals(images: DataFrame, floor: float = 0.3) -> DataFrame:
         yield float(s.mean()), float((s > floor).mean())
 
     return per_image(images, ["red", "green", "blue", "width", "height"], work, "img long, saturation double, saturated double")
+
+
+def footprint(a: np.ndarray, b: np.ndarray, at: tuple[slice, slice], least: int = 12) -> tuple[float, float, float]:
+    """(coverage, x, y): the share of pixels of a box that a mark changed, and their centre as shares of the box."""
+    changed = np.abs(a[at].astype(int) - b[at].astype(int)) > least
+    if not changed.any():
+        return 0.0, 0.0, 0.0
+    y, x = np.nonzero(changed)
+    return float(changed.mean()), float(x.mean() / changed.shape[1]), float(y.mean() / changed.shape[0])

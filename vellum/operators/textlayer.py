@@ -202,7 +202,8 @@ def separation(lines: DataFrame, extracted: DataFrame) -> DataFrame:
     down = Window.partitionBy(*PAGE).orderBy(F.desc("baseline"), "line")
     longest = F.max(F.length("text")).over(Window.partitionBy(*PAGE))
     out = out.withColumns({"_b": F.lead(F.struct("left", "right", "home")).over(down), "_longest": longest, "_first": F.row_number().over(down) == 1})
-    column = F.coalesce(F.least("right", "_b.right") - F.greatest("left", "_b.left") > 0.02, F.lit(False))
+    # least() and greatest() pass over nulls: the lowest line has none below it
+    column = F.col("_b").isNotNull() & (F.least("right", "_b.right") - F.greatest("left", "_b.left") > 0.02)
     known = F.col("home").isNotNull() & F.col("_b.home").isNotNull()
     chars = lambda keep: F.aggregate(F.filter("_e.text", keep), F.lit(0), lambda n, t: n + F.length(t))
     once = lambda c: F.sum(F.when(F.col("_first"), c).otherwise(0)).cast("long")
@@ -216,7 +217,7 @@ def tight_pairs(lines: DataFrame) -> DataFrame:
     """Of each page: neighbours from the top down that overlap in x, and those less than 0.6 of a height apart."""
     down = Window.partitionBy(*PAGE).orderBy("y", "pos")
     out = lines.withColumn("_b", F.lead(F.struct("x", "y", "width")).over(down))
-    over = F.coalesce(F.least(F.col("x") + F.col("width"), F.col("_b.x") + F.col("_b.width")) - F.greatest("x", "_b.x") > 0.02, F.lit(False))
+    over = F.col("_b").isNotNull() & (F.least(F.col("x") + F.col("width"), F.col("_b.x") + F.col("_b.width")) - F.greatest("x", "_b.x") > 0.02)
     return out.groupBy(*PAGE).agg(F.count_if(over).alias("pairs"), F.count_if(over & (F.col("_b.y") - F.col("y") < 0.6 * F.col("height"))).alias("tight"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import image_queries, page_queries, report_queries, structure_queries, text_queries  # noqa: F401  (they register their queries)
+from . import control_queries, image_queries, page_queries, report_queries, structure_queries, text_queries  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES  # noqa: F401
 
 

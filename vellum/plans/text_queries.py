@@ -150,8 +150,8 @@ def line_anchors(spark, sf_dir):
 @query("line_separation", f"""WITH RECURSIVE {ANCHOR_SQL}, hm AS (SELECT an.doc, an.page, line, CASE WHEN count(*) = 1 THEN min(spot) END AS home FROM an JOIN ex ON an.doc = ex.doc AND an.page = ex.page AND contains(ex.text, anchor) GROUP BY 1, 2, 3),
 lh AS (SELECT vl.doc, vl.page, vl.line, baseline, lft, rgt, text, home FROM vl LEFT JOIN hm ON vl.doc = hm.doc AND vl.page = hm.page AND vl.line = hm.line),
 nx AS (SELECT *, lead(lft) OVER w AS l2, lead(rgt) OVER w AS r2, lead(home) OVER w AS h2 FROM lh WINDOW w AS (PARTITION BY doc, page ORDER BY baseline DESC, line)),
-pp AS (SELECT doc, count(*) AS visual_lines, count(*) FILTER (least(rgt, r2) - greatest(lft, l2) > 0.02 AND home IS NOT NULL AND h2 IS NOT NULL) AS judged,
-  count(*) FILTER (least(rgt, r2) - greatest(lft, l2) > 0.02 AND (home IS NULL OR h2 IS NULL)) AS skipped, count(*) FILTER (least(rgt, r2) - greatest(lft, l2) > 0.02 AND home = h2) AS merged, max(length(text)) AS longest_visual FROM nx GROUP BY doc),
+pp AS (SELECT doc, count(*) AS visual_lines, count(*) FILTER (l2 IS NOT NULL AND least(rgt, r2) - greatest(lft, l2) > 0.02 AND home IS NOT NULL AND h2 IS NOT NULL) AS judged,
+  count(*) FILTER (l2 IS NOT NULL AND least(rgt, r2) - greatest(lft, l2) > 0.02 AND (home IS NULL OR h2 IS NULL)) AS skipped, count(*) FILTER (l2 IS NOT NULL AND least(rgt, r2) - greatest(lft, l2) > 0.02 AND home = h2) AS merged, max(length(text)) AS longest_visual FROM nx GROUP BY doc),
 lg AS (SELECT doc, page, max(length(text)) AS m FROM vl GROUP BY doc, page),
 ch AS (SELECT ex.doc, coalesce(sum(length(text)) FILTER (length(text) > m), 0) AS runaway_chars, sum(length(text)) AS total_chars FROM ex JOIN lg ON ex.doc = lg.doc AND ex.page = lg.page GROUP BY ex.doc)
 SELECT pp.doc, visual_lines, judged, skipped, merged, CAST(runaway_chars AS BIGINT) AS runaway_chars, CAST(total_chars AS BIGINT) AS total_chars, longest_visual FROM pp JOIN ch ON pp.doc = ch.doc""")
@@ -187,7 +187,7 @@ def interleaving(spark, sf_dir):
 
 
 @query("tight_pairs", f"""WITH {LINES_SQL}, n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(width) OVER w AS nw FROM o WINDOW w AS (PARTITION BY doc, page ORDER BY y, pos))
-SELECT doc, page, count(*) FILTER (least(x + width, nx + nw) - greatest(x, nx) > 0.02) AS pairs, count(*) FILTER (least(x + width, nx + nw) - greatest(x, nx) > 0.02 AND ny - y < 0.6 * height) AS tight FROM n GROUP BY doc, page""")
+SELECT doc, page, count(*) FILTER (nx IS NOT NULL AND least(x + width, nx + nw) - greatest(x, nx) > 0.02) AS pairs, count(*) FILTER (nx IS NOT NULL AND least(x + width, nx + nw) - greatest(x, nx) > 0.02 AND ny - y < 0.6 * height) AS tight FROM n GROUP BY doc, page""")
 def tight_pairs(spark, sf_dir):
     return textlayer.tight_pairs(observations(spark, sf_dir))
 
