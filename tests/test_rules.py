@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import scalars
 from vellum.operators import corpus, imaging, pages, reports, structure, textlayer
+from vellum.sources import tables
+from vellum.streaming import landing
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -61,6 +63,23 @@ def test_versions(spark):
     assert all(r["got"] == r["want"] for r in got)
 
 
+def test_tables_and_landing(spark, tmp_path):
+    path = tmp_path / "t.tsv"
+    path.write_text("# bar\n\na\tb\n1\t2\na\tb\n3\n# x\n4\t5\t6\n")
+    assert [tuple(r) for r in tables.read_tsv(spark, str(path), ["a"]).collect()] == [("1", "2"), ("a", "b"), ("3", ""), ("4", "5")]
+    with pytest.raises(ValueError):
+        tables.read_tsv(spark, str(path), ["c"])
+    (tmp_path / "in").mkdir()
+    stream = lambda: landing.landed(spark, str(tmp_path / "in"), "doc long, page long, n_pages long")
+    for k, records in enumerate(([(1, 1), (1, 2)], [(1, 2), (2, 1), (2, 1)])):
+        (tmp_path / "in" / f"{k}.json").write_text("".join(f'{{"doc": {d}, "page": {p}, "n_pages": 2}}\n' for d, p in records))
+        landing.publish(stream(), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["doc"], r["page"]) for r in out.collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert [r["doc"] for r in landing.complete_documents(out).collect()] == [1]
+    assert spark.range(1).select(scalars.stamp(F.lit(86_399))).first()[0] == "1970-01-01 23.59.59"
+
+
 def test_extracted_pages_refuse(spark):
     have = rows(spark, [(1, 1), (1, 2)], "doc int, page int")
     for wanted in ([(1, 1, 0), (1, 1, 1)], [(1, 3, 0)]):

@@ -73,3 +73,14 @@ def same_words(a: Column, b: Column) -> Column:
     """Whether two texts differ in white space at most."""
     words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
     return words(a) == words(b)
+
+
+def natural_key(text: Column) -> Column:
+    """A key by which numbers in texts sort as numbers and letters whatever their case."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(F.lower(x))), "")
+
+
+def stamp(seconds: Column) -> Column:
+    """A date for names of files, without characters that file systems refuse."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH.mm.ss")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import control, imaging, reports
+from ..sources import tables
 from .image_queries import images
 from .registry import OBS_SQL, PIXELS_SQL, observations, query, table
 from .report_queries import LOG_SQL, log
@@ -150,3 +152,33 @@ def footprints(spark, sf_dir):
 def layered_documents(spark, sf_dir):
     totals = reports.layer_choice(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc", "l_partkey as layered", "l_suppkey * 15 as single"))
     return totals.selectExpr("doc", "layered < single as layered", "least(layered, single) as bytes")
+
+
+@query("tsv_rows", "SELECT c_custkey AS n, c_name AS a, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS b FROM customer WHERE c_custkey > 2 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0")
+def tsv_rows(spark, sf_dir):
+    lines = table(spark, sf_dir, "customer").selectExpr("c_custkey as n", "case when c_custkey = 1 then '# bar' when c_custkey = 2 then 'a\\tb' when c_custkey % 7 = 0 then '#' || c_name when c_custkey % 11 = 0 then '  ' when c_custkey % 4 = 0 then c_name when c_custkey % 5 = 0 then c_name || '\\t' || c_nationkey || '\\tmore' else c_name || '\\t' || c_nationkey end as value")
+    return tables.tsv_rows(lines, *tables.tsv_header(lines, ["b"]))
+
+
+@query("strict_rows", "SELECT c_custkey AS n, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS a, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(c_nationkey AS VARCHAR) END AS b, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS bad FROM customer")
+def strict_rows(spark, sf_dir):
+    lines = table(spark, sf_dir, "customer").selectExpr("c_custkey as n", "if(c_custkey % 3 = 0, c_name, c_name || '\\t' || c_nationkey) as value")
+    rows, bad = tables.strict_rows(lines, ["a", "b"])
+    return rows.withColumn("bad", F.lit(None).cast("string")).unionByName(bad.selectExpr("n", "cast(null as string) as a", "cast(null as string) as b", "value as bad"))
+
+
+@query("natural_order", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 40, c_custkey) AS place FROM customer")
+def natural_order(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    names = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_nationkey", "if(c_custkey % 2 = 0, 'Page ', 'page ') || c_custkey % 40 || '/' || c_custkey as name")
+    return names.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(scalars.natural_key(F.col("name")))).alias("place"))
+
+
+@query("scalars", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE CAST(trunc(o_custkey / 7.0) AS BIGINT) END AS whole,
+  CASE WHEN o_orderkey % 9000 >= 3600 THEN o_orderkey % 9000 // 3600 || 'h ' || lpad(CAST(o_orderkey % 9000 % 3600 // 60 AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || 's' WHEN o_orderkey % 9000 >= 60 THEN o_orderkey % 9000 % 3600 // 60 || 'm ' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || 's' ELSE o_orderkey % 9000 % 60 || 's' END AS took,
+  CASE WHEN o_orderkey % 3 = 0 THEN '(a ' || chr(92) || '(' || o_orderkey || chr(92) || ') ' || chr(92) || chr(92) || ')' ELSE '<FEFF00E9' || CASE WHEN o_orderkey % 2 = 0 THEN '0041' ELSE '0042' END || '>' END AS pdf FROM orders""")
+def scalar_functions(spark, sf_dir):
+    text = F.when(F.expr("o_orderkey % 3 = 0"), F.concat(F.lit("a ("), F.col("o_orderkey").cast("string"), F.lit(") \\"))).when(F.expr("o_orderkey % 2 = 0"), "éA").otherwise("éB")
+    whole = F.expr("case when o_orderkey % 10 = 0 then cast('NaN' as double) when o_orderkey % 5 = 0 then cast('Infinity' as double) else o_custkey / 7D end")
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.safe_int(whole).alias("whole"), scalars.duration(F.expr("o_orderkey % 9000")).alias("took"), scalars.pdf_string(text).alias("pdf"))

@@ -6,26 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.scalars import natural_key
+
 # File types that are taken as input.
 INPUT_TYPES = ("pdf", "png", "jpg", "jpeg", "heic", "heif", "tiff", "tif", "bmp", "gif", "webp")
 BOX = "struct<x:double,y:double,width:double,height:double>"
 PAGES_SCHEMA = f"array<struct<page:int,observations:array<struct<boundingBox:{BOX},text:string,confidence:double>>>>"
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, bad lines) of a tab-separated file: comments and blank lines are skipped, the header must hold
-    the columns, and a row is bad unless it has exactly the header's number of fields. ``-`` is null."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    header = lines.first()
-    if header is None:
+def tsv_rows(lines: DataFrame, names: list[str], head: int) -> DataFrame:
+    """(n, cells by name) of the lines (n, value) after the header's number: comments and blank lines are passed over, a short
+    row is padded with empty cells, as a torn last row is short, and what a long one has too many is cut off."""
+    data = lines.where((F.col("n") > head) & ~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("_c", F.split("value", "\t", -1))
+    return data.select("n", *(F.coalesce(F.get("_c", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)))
+
+
+def tsv_header(lines: DataFrame, columns: list[str]) -> tuple[list[str], int]:
+    """(names, number) of the header, the first line that is no comment and not blank; it must name the columns."""
+    first = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).orderBy("n").limit(1).collect()
+    if not first:
         raise ValueError("a table without a header")
-    names = header["value"].split("\t")
+    names = first[0]["value"].split("\t")
     if missing := [c for c in columns if c not in names]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    cells = lines.where(F.col("value") != header["value"]).withColumn("cells", F.split("value", "\t", -1))
-    fine = F.size("cells") == len(names)
-    rows = cells.where(fine).select(*[F.expr(f"nullif(cells[{i}], '-')").alias(c) for i, c in enumerate(names)])
-    return rows, cells.where(~fine).select("value")
+    return names, first[0]["n"]
+
+
+def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Rows of one tab-separated file, in a session that reads its splits in order."""
+    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+    return tsv_rows(lines, *tsv_header(lines, columns)).drop("n")
+
+
+def strict_rows(lines: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad) of lines without a header: a row has exactly the columns' number of fields, any other line is bad."""
+    cells = lines.withColumn("_c", F.split("value", "\t", -1))
+    fine = F.size("_c") == len(columns)
+    keep = [c for c in lines.columns if c != "value"]
+    return cells.where(fine).select(*keep, *(F.get("_c", F.lit(i)).alias(c) for i, c in enumerate(columns))), cells.where(~fine).select(*keep, "value")
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
@@ -36,9 +54,13 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def collect_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Input files below a folder by extension, each once; ``binaryFile`` without its content reads no bytes."""
+    """Input files below a folder by extension, each once, with a key of their natural order; hidden files are passed over.
+
+    ``binaryFile`` without its content reads no bytes.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
-    return found.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).where(F.col("ext").isin(*INPUT_TYPES)).dropDuplicates(["path"])
+    found = found.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).where(F.col("ext").isin(*INPUT_TYPES))
+    return found.dropDuplicates(["path"]).withColumn("order", natural_key(F.col("path")))
 
 
 def need_columns(df: DataFrame, schema: StructType) -> None:
