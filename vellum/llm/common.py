@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -43,6 +44,25 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(work):
+    """``work`` over batches, after which the worker gives free memory back, as it may idle beside other stages."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete what saved() wrote, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
@@ -50,6 +70,7 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()  # lets Spark remove the shuffle files of plans that nobody holds any more
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import broadcast_if_small, byte_slices, components, dropped, gram_hashes, mix64, prefix_hash, saved, span_hash, word_hashes
+from .common import broadcast_if_small, byte_slices, components, dropped, freed, gram_hashes, mix64, prefix_hash, saved, span_hash, word_hashes
 
 K = 5
 NUM, DEN = 75, 100
@@ -99,7 +99,7 @@ def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, none, [x.tobytes() for x in parts], range(len(parts))), types, strict=True)], names=names)
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = saved(base.mapInArrow(run, ddl), "info")
+    both = saved(base.mapInArrow(freed(run), ddl), "info")
     mean = (both.agg(F.sum("n_shingles")).first()[0] or 0) / (1 << SLOT_BITS)
     most = mean + 6 * mean**0.5 + 8
 
@@ -139,7 +139,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), reps)), pa.array(place.astype(np.int32))], names=["token", "node", "place"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.mapInArrow(tokens, "token long, node long, place int")
+    return base.mapInArrow(freed(tokens), "token long, node long, place int")
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def _shared(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
 
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tokens.repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(run, "token long, node long, place int")
+    return tokens.repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(freed(run), "token long, node long, place int")
 
 
 def _groups(shared: DataFrame, info: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def _sets(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
 
     have = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(need, F.col("_d").eqNullSafe(F.col("_id")), "left_semi").select("_d", "text")
     # rows that share a doc_id may bring nodes that nobody asked for, and a node twice: pairs are then compared twice
-    return have.mapInArrow(build, "node long, tokens binary").join(need.select("node"), "node", "left_semi")
+    return have.mapInArrow(freed(build), "node long, tokens binary").join(need.select("node"), "node", "left_semi")
 
 
 def orders_of(s: np.ndarray, frequent: np.ndarray) -> bytes:
@@ -239,7 +239,7 @@ def _compared(pairs: DataFrame, held: DataFrame, prepare, test) -> DataFrame:
     rows = dealt.join(held, F.col("b") == F.col("node")).select("a", "salt", "b", "tokens")
     rows = rows.unionByName(heads.join(held, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens"))
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(freed(run), "a long, b long")
 
 
 def _verify(docs: DataFrame, info: DataFrame, pairs: DataFrame, held) -> tuple[DataFrame, DataFrame]:
@@ -250,7 +250,7 @@ def _verify(docs: DataFrame, info: DataFrame, pairs: DataFrame, held) -> tuple[D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([orders_of(np.frombuffer(t.as_py(), np.uint64), held.value) for t in batch.column(1)], pa.binary())], names=["node", "tokens"])
 
     sets = saved(_sets(docs, info, pairs), "sets")
-    orders = sets.mapInArrow(filters, "node long, tokens binary")
+    orders = sets.mapInArrow(freed(filters), "node long, tokens binary")
     likely = saved(_compared(pairs, orders, _parsed, lambda own, x: all(under_orders(own, _parsed(x)))), "likely")
     links = saved(_compared(likely, sets, lambda x: np.frombuffer(x, np.uint64), lambda own, x: linked(own, np.frombuffer(x, np.uint64))).distinct(), "links")
     dropped(pairs.sparkSession, sets)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from .common import WORD, broadcast_if_small, byte_slices, saved
+from .common import WORD, broadcast_if_small, byte_slices, freed, saved
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -262,7 +262,7 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
                     columns = [new[c].cast(out.schema.field(c).type) if c in new else out.column(c) for c in names]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return hit.mapInArrow(cut, docs.schema)
+    return hit.mapInArrow(freed(cut), docs.schema)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

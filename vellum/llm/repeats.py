@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import byte_slices, mix64, prefix_hash, saved, span_hash, word_hashes, words_of
+from .common import byte_slices, freed, mix64, prefix_hash, saved, span_hash, word_hashes, words_of
 
 WINDOW = 35
 GRAM = 8
@@ -119,7 +119,7 @@ def sketch(docs: DataFrame, bits: int) -> tuple[np.ndarray, ...]:
         yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["row", "block", "codes"]), schema=_CODES, preserve_index=False)
 
     ddl = "row int, block int, codes binary"
-    parts = docs.select("text").mapInArrow(count, ddl).repartition(ROWS << BLOCKS_LOG2, "row", "block").mapInArrow(merge, ddl)
+    parts = docs.select("text").mapInArrow(freed(count), ddl).repartition(ROWS << BLOCKS_LOG2, "row", "block").mapInArrow(freed(merge), ddl)
     maps = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
     size = 1 << (block_bits - 3)
     for r in parts.collect():  # at most ROWS bitmaps of 2**MOST_BITS bits
@@ -167,7 +167,7 @@ def stretches(docs: DataFrame, maps) -> DataFrame:
                 if found:
                     yield _rows(batch, found, _STRETCH, 2)
 
-    return keyed(docs).mapInArrow(find, "anchor long, stretch long, doc_id long, text_hash long, text_length int, run long")
+    return keyed(docs).mapInArrow(freed(find), "anchor long, stretch long, doc_id long, text_hash long, text_length int, run long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                     yield _rows(batch, out, _WINDOW, 1)
 
     asking = _with(docs, ask, "asked", "inner")
-    single = saved(asking.mapInArrow(windows, "window long, doc_id long, text_hash long, text_length int, start long, alone boolean"), "windows")
+    single = saved(asking.mapInArrow(freed(windows), "window long, doc_id long, text_hash long, text_length int, start long, alone boolean"), "windows")
     # a place that stands for many asks for windows known to be repeated, however often its row is there
     twice = single.groupBy("window").agg(F.count("*").alias("n"), F.max("alone").alias("any")).where("n > 1 and any").select("window")
     hits = single.where("alone").join(twice, "window", "left_semi").select(*DOC, (64 * F.col("start")).alias("run"))
@@ -244,7 +244,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     out.append((len(w) + removed, removed, kept.decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=names)
 
-    return every.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_words string, kept_sha256 string")
+    return every.mapInArrow(freed(cut), "doc_id long, n_words long, n_removed long, kept_words string, kept_sha256 string")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ No table is held whole by a task: texts are cut to chunks, each asks once for ea
 bigrams, the hashes of all chunks meet in buckets whose number grows with the corpus, are summed there,
 and the sums go back to the chunks that asked. A hot word is one row of each chunk's list. Pairs that a
 bitmap of the labelled texts' pairs rules out are not asked for: their counts are 0. Words and
-bigrams are compared by 64-bit hashes.
+bigrams are compared by hashes of 14 bits more than the corpus's tokens are counted by, 64 at most, so that
+fewer than one in 16,000 meets another.
 
 Defined results: null, empty and blank texts get the score of no evidence; repeated rows are scored
 alike; with no labelled documents every score is 0.5 less an epsilon; conflicting labels of one
@@ -33,18 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import broadcast_if_small, dropped, fold_of, mix64, saved, word_hashes, words_of
+from .common import broadcast_if_small, dropped, fold_of, freed, give_back, mix64, saved, word_hashes, words_of
 
 WINDOW = 40
 MAX_FIT = 20_000
 DISCOUNT = 0.75
 PRIOR_G = 16.0
-CHUNK_TOKENS = 1_000_000
-BUCKET_TOKENS = 1_500_000
+CHUNK_TOKENS = 600_000
+BUCKET_TOKENS = 800_000
 LEAST_BITS, MOST_BITS = 20, 28
+SPARE_BITS = 14
 LEAST_BUCKETS = 64
 _STRIP = string.punctuation.encode()
-_EMPTY = word_hashes([b""])[0]
+_EMPTY = word_hashes([b""])[0]  # cut to the bits in use where compared
 _COUNTS = ("a", "b", "c", "d", "e", "f", "g")
 _LISTS = "bucket long, chunk long, keys binary, " + ", ".join(f"{c} binary" for c in _COUNTS)
 
@@ -80,12 +82,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64())] + [(c, pa.binary()) for c in ("texts", "kinds", "sizes", "ids", "vocabulary")])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("bits", pa.int32())] + [(c, pa.binary()) for c in ("texts", "kinds", "sizes", "ids", "vocabulary")])
 _LIST = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary())] + [(c, pa.binary()) for c in _COUNTS])
 _FEATURES = pa.schema([("_h", pa.int64()), ("_whole", pa.float64()), ("_window", pa.float64())])
 
 
-def _chunks(kinds: DataFrame) -> DataFrame:
+def _chunks(kinds: DataFrame, bits: int = 64) -> DataFrame:
     """Texts of (_h, text, toxic) as places in a sorted list of their words' hashes, many texts a row."""
 
     def cut(batches):
@@ -95,10 +97,10 @@ def _chunks(kinds: DataFrame) -> DataFrame:
         size = 0
 
         def out():
-            h = word_hashes(list(number))
+            h = word_hashes(list(number)) >> np.uint64(64 - bits)
             vocabulary, place = np.unique(h, return_inverse=True)
             flat = place.astype(np.int32)[np.concatenate(ids)]
-            row = (task << 32 | n, len(flat), _pack(np.array(texts, np.int64)), _pack(np.array(kind, np.int8)), _pack(np.fromiter(map(len, ids), np.int32, len(ids))), _pack(flat), _pack_sorted(vocabulary))
+            row = (task << 32 | n, len(flat), bits, _pack(np.array(texts, np.int64)), _pack(np.array(kind, np.int8)), _pack(np.fromiter(map(len, ids), np.int32, len(ids))), _pack(flat), _pack_sorted(vocabulary))
             return _batch([row], _CHUNK)
 
         for batch in batches:
@@ -118,14 +120,15 @@ def _chunks(kinds: DataFrame) -> DataFrame:
         if ids:
             yield out()
 
-    schema = "chunk long, tokens long, texts binary, kinds binary, sizes binary, ids binary, vocabulary binary"
-    return kinds.mapInArrow(cut, schema)
+    schema = "chunk long, tokens long, bits int, texts binary, kinds binary, sizes binary, ids binary, vocabulary binary"
+    return kinds.mapInArrow(freed(cut), schema)
 
 
 class _Chunk:
     """Words, and pairs of words that follow each other in a text; ``pair`` has each pair's place in ``keys``."""
 
     def __init__(self, row: dict):
+        self.bits = row["bits"]
         self.vocabulary = _unpack_sorted(row["vocabulary"])
         self.ids = _unpack(row["ids"], np.int32)
         self.sizes = _unpack(row["sizes"], np.int32)
@@ -143,20 +146,18 @@ class _Chunk:
     def pairs(self, known: np.ndarray | None = None) -> None:
         """Find the pairs; with a bitmap of ``known`` slots, only those that a labelled text may hold."""
         size = len(self.vocabulary)
-        some = self.vocabulary[self.ids] != _EMPTY
+        some = self.vocabulary[self.ids] != _EMPTY >> np.uint64(64 - self.bits)
         second = np.nonzero((self.text[1:] == self.text[:-1]) & some[1:] & some[:-1])[0] + 1
         code, place = np.unique(self.ids[second - 1].astype(np.int64) * size + self.ids[second], return_inverse=True)
         first = code // size
-        key = mix64(mix64(self.vocabulary[first]) + self.vocabulary[code % size])
+        key = mix64(mix64(self.vocabulary[first]) + self.vocabulary[code % size]) >> np.uint64(64 - self.bits)
         if known is not None:
             keep = _holds(known, key)
             here = keep[place]
             second, place = second[here], (np.cumsum(keep) - 1)[place[here]]
             key, first = key[keep], first[keep]
-        order = np.argsort(key)
-        back = np.empty(len(order), np.int32)
-        back[order] = np.arange(len(order), dtype=np.int32)
-        self.second, self.keys, self.first, self.pair = second, key[order], first[order], back[place]
+        self.keys, at, back = np.unique(key, return_index=True, return_inverse=True)
+        self.second, self.first, self.pair = second, first[at], back.astype(np.int32)[place]
 
     def pair_counts(self) -> list[np.ndarray]:
         """Toxic and ordinary texts with each pair."""
@@ -203,20 +204,20 @@ def _known_pairs(tokens: DataFrame, size: int) -> np.ndarray:
 
     ddl = "block int, slots binary"
     out, step = np.zeros(1 << (bits - 3), np.uint8), 1 << (block_bits - 3)
-    for r in tokens.mapInArrow(find, ddl).repartition(64, "block").mapInArrow(merge, ddl).collect():  # 2**MOST_BITS bits at most
+    for r in tokens.mapInArrow(freed(find), ddl).repartition(64, "block").mapInArrow(freed(merge), ddl).collect():  # 2**MOST_BITS bits at most
         out[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["slots"], np.uint8)
     return out
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Ends of the buckets in sorted keys: equal ranges of the hashes' upper halves."""
-    of = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Ends of the buckets in sorted keys: equal ranges of the hashes' upper 32 bits."""
+    of = (keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
     return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _lists(keys: np.ndarray, counts: list[np.ndarray], buckets: int, chunk: int, more: np.ndarray | None = None):
+def _lists(keys: np.ndarray, counts: list[np.ndarray], buckets: int, chunk: int, bits: int, more: np.ndarray | None = None):
     """Rows of _LIST; more: values of those keys whose first two counts are not both 0."""
-    cuts = _cuts(keys, buckets)
+    cuts = _cuts(keys, buckets, bits)
     for k in range(buckets):
         lo, hi = cuts[k], cuts[k + 1]
         if lo < hi:
@@ -235,19 +236,19 @@ def _requests(tokens: DataFrame, pairs: bool, buckets: int, known=None) -> DataF
                 c = _Chunk(row)
                 if pairs:
                     c.pairs(known and known.value)
-                    rows = _lists(c.keys, c.pair_counts(), buckets, row["chunk"], c.vocabulary[c.first])
+                    rows = _lists(c.keys, c.pair_counts(), buckets, row["chunk"], c.bits, c.vocabulary[c.first])
                 else:
-                    rows = _lists(c.vocabulary, c.words(), buckets, row["chunk"])
+                    rows = _lists(c.vocabulary, c.words(), buckets, row["chunk"], c.bits)
                 yield _batch(list(rows), _LIST)
 
-    return tokens.mapInArrow(ask, _LISTS)
+    return tokens.mapInArrow(freed(ask), _LISTS)
 
 
 def _sums(place: np.ndarray, parts: list[np.ndarray], size: int) -> np.ndarray:
     return np.bincount(place, np.concatenate(parts), size).astype(np.int64)
 
 
-def _pair_sums(requests: DataFrame, buckets: int) -> DataFrame:
+def _pair_sums(requests: DataFrame, buckets: int, bits: int = 64) -> DataFrame:
     """Toxic and ordinary texts with each pair asked for; for chunk -1, by first word: pairs' texts and distinct pairs of each class."""
 
     def add(table: pa.Table) -> pa.Table:
@@ -266,13 +267,13 @@ def _pair_sums(requests: DataFrame, buckets: int) -> DataFrame:
         known = t + o > 0
         words, of = np.unique(first[known], return_inverse=True)
         by = [np.bincount(of, x[known], len(words)).astype(np.int64) for x in (t, o, t > 0, o > 0)]
-        out += _lists(words, by, buckets, -1)
+        out += _lists(words, by, buckets, -1, bits)
         return pa.Table.from_batches([_batch(out, _LIST)])
 
     return requests.groupBy("bucket").applyInArrow(add, _LISTS)
 
 
-def _word_sums(requests: DataFrame) -> DataFrame:
+def _word_sums(requests: DataFrame, bits: int = 64) -> DataFrame:
     """Texts of each kind with each word asked for, and its sums as a pair's first; for chunk -1, totals."""
 
     def add(table: pa.Table) -> pa.Table:
@@ -291,7 +292,7 @@ def _word_sums(requests: DataFrame) -> DataFrame:
             here = place[at : at + len(own)]
             at += len(own)
             out.append((r["bucket"], r["chunk"], None, *[_pack(v[here].astype(np.int32)) for v in values]))
-        t, o, other = (v[keys != _EMPTY] for v in values[:3])
+        t, o, other = (v[keys != _EMPTY >> np.uint64(64 - bits)] for v in values[:3])
         totals = np.array([t.sum(), o.sum(), (t > 0).sum(), (o > 0).sum(), (t + o + other).sum(), len(t)], np.int64)
         out.append((rows[0]["bucket"], -1, None, _pack(totals), *[None] * 6))
         return pa.Table.from_batches([_batch(out, _LIST)])
@@ -350,7 +351,7 @@ def _features(tokens: DataFrame, answers: DataFrame, totals: np.ndarray, known=N
             join = lambda col, word: np.concatenate([_unpack(r[col], np.int32) for r in rows if r["word"] == word] or [np.zeros(0, np.int32)])
             values = [join(x, True) for x in _COUNTS]
             chances = word_chances(values[:3], totals)
-            word = np.where(c.vocabulary == _EMPTY, 0.0, word_ratios(values[:2], chances, totals))
+            word = np.where(c.vocabulary == _EMPTY >> np.uint64(64 - c.bits), 0.0, word_ratios(values[:2], chances, totals))
             # each distinct pair by one of the places where it stands
             at = np.zeros(len(c.keys), np.int64)
             at[c.pair] = c.second
@@ -363,6 +364,7 @@ def _features(tokens: DataFrame, answers: DataFrame, totals: np.ndarray, known=N
                 s = np.concatenate(([0.0], np.cumsum(x[end - n : end])))
                 w = min(WINDOW, n)
                 out.append((h, float(s[-1] / n), float((s[w:] - s[:-w]).max() / max(w, 10))))
+        give_back()
         return pa.Table.from_batches([_batch(out, _FEATURES)])
 
     both = tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(measure, "_h long, _whole double, _window double")
@@ -398,12 +400,13 @@ def text_features(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) ->
     fold = fold_of("doc_id", 5)
     joined = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), fold.alias("_fold")).join(known, F.col("doc_id") == F.col("_id"), "left")
     trains = F.col("_fold").between(1, 3) & F.col("toxic").isin(0, 1)
-    tokens = saved(_chunks(joined.where("text is not null").select("_h", "text", F.when(trains, F.col("toxic")).otherwise(F.lit(2)).alias("toxic"))), "tokens")
+    bits = min(64, max(32, int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5).bit_length() + SPARE_BITS))
+    tokens = saved(_chunks(joined.where("text is not null").select("_h", "text", F.when(trains, F.col("toxic")).otherwise(F.lit(2)).alias("toxic")), bits), "tokens")
     size = tokens.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_TOKENS))
     known_pairs = spark.sparkContext.broadcast(_known_pairs(tokens, size))
-    pairs = saved(_pair_sums(_requests(tokens, True, buckets, known_pairs), buckets), "pairs")
-    words = saved(_word_sums(_requests(tokens, False, buckets).union(pairs.where("chunk < 0"))), "words")
+    pairs = saved(_pair_sums(_requests(tokens, True, buckets, known_pairs), buckets, bits), "pairs")
+    words = saved(_word_sums(_requests(tokens, False, buckets).union(pairs.where("chunk < 0")), bits), "words")
     totals = sum((_unpack(bytes(r[0]), np.int64) for r in words.where("chunk < 0").select("a").toLocalIterator()), np.zeros(6, np.int64))
     answers = words.withColumn("word", F.lit(True)).union(pairs.withColumn("word", F.lit(False))).where("chunk >= 0").drop("keys")
     features = saved(_features(tokens, answers, totals, known_pairs), "features")
