@@ -4,7 +4,7 @@ Let two sets of na and nb tokens have a Jaccard similarity of at least num/den.
 num / (num + den) * (na + nb) tokens or more, and under any one order of all tokens the first one that they
 share has at least as many tokens from it on in each set. Candidates come from order A, by an
 inverted index of prefixes that carries the tokens left; a pair must then pass the same test under
-orders B and C, on prefixes alone, before any whole set travels. Every order puts tokens that a
+orders B and C, on prefixes alone, and leave room for a link in counts by bucket, before any whole set travels. Every order puts tokens that a
 corpus-wide sketch of document counts finds frequent last, so that a passage common to many documents
 makes few candidates. The sketch has a fixed size and only affects speed.
 
@@ -197,22 +197,32 @@ def _sets(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def orders_of(s: np.ndarray, frequent: np.ndarray) -> bytes:
-    """The size of a set and its prefixes under orders B and C, tokens cut to 32 bits."""
-    return b"".join([len(s).to_bytes(4, "little")] + [prefix(s, frequent, o).astype("<u4").tobytes() for o in ORDERS[1:]])
+    """The size of a set, its prefixes under orders B and C, tokens cut to 32 bits, and its tokens in each of so many
+    buckets that two hold a token or so at most."""
+    width = 1 << max(8, (len(s) // 2).bit_length())
+    counts = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return b"".join([len(s).to_bytes(4, "little")] + [prefix(s, frequent, o).astype("<u4").tobytes() for o in ORDERS[1:]] + [np.minimum(counts, 255).astype(np.uint8).tobytes()])
 
 
-def _parsed(x: bytes) -> tuple[int, list[np.ndarray]]:
+def _parsed(x: bytes) -> tuple[int, list[np.ndarray], np.ndarray]:
     n = int.from_bytes(x[:4], "little")
-    return n, np.split(np.frombuffer(x, "<u4", offset=4), len(ORDERS) - 1)
+    end = 4 + 4 * prefix_size(n) * (len(ORDERS) - 1)
+    return n, np.split(np.frombuffer(x[4:end], "<u4"), len(ORDERS) - 1), np.frombuffer(x[end:], np.uint8)
 
 
-def under_orders(a: tuple[int, list[np.ndarray]], b: tuple[int, list[np.ndarray]]) -> list[bool]:
-    """Under each of the orders B and C: whether a token that both prefixes hold leaves room for a link."""
+def under_orders(a: tuple, b: tuple) -> list[bool]:
+    """Under each of the orders B and C: whether a token that both prefixes hold leaves room for a link; and whether the
+    buckets do, whose lesser counts add up to no less than what the sets share."""
     out = []
     for x, y in zip(a[1], b[1], strict=True):
         _, i, j = np.intersect1d(x, y, return_indices=True)
         out.append(bool(len(i)) and enough(int(np.minimum(a[0] - i, b[0] - j).max()), a[0] + b[0]))
-    return out
+    most = min(a[0], b[0])
+    if a[2].max() < 255 and b[2].max() < 255:  # a full bucket may hold any number
+        width = min(len(a[2]), len(b[2]))
+        x, y = (v.reshape(-1, width).sum(axis=0, dtype=np.int64) for v in (a[2], b[2]))
+        most = min(most, int(np.minimum(x, y).sum()))
+    return [*out, enough(most, a[0] + b[0])]
 
 
 def _compared(pairs: DataFrame, held: DataFrame, prepare, test) -> DataFrame:
