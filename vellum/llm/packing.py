@@ -32,7 +32,7 @@ SENTENCE_PENALTY = 1.0
 INNER_PENALTY = 8.0
 LEAST_GAP = 12
 BLOCK_BYTES = 4_000_000
-CACHE_BYTES = 48_000_000
+CACHE_BYTES = 96_000_000
 END_ID = 1
 _COLUMNS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 _TOKENIZERS: dict[tuple[str, int], ChunkTokenizer] = {}
