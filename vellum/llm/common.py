@@ -19,6 +19,7 @@ WORD_SQL = r"([^\\x20\\x09-\\x0D]+)"
 
 _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -37,10 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str = "part") -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back. Survives lost executors."""
+    """Cut lineage: write ``df`` to the shared folder and read it back. Survives lost executors. The shuffle files of the
+    write go at once, as nothing reads them any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

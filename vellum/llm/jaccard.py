@@ -4,7 +4,10 @@ Let two sets of na and nb tokens have a Jaccard similarity of at least num/den.
 num / (num + den) * (na + nb) tokens or more, and under any one order of all tokens the first one that they
 share has at least as many tokens from it on in each set. Candidates come from order A, by an
 inverted index of prefixes that carries the tokens left; a pair must then pass the same test under
-orders B and C, on prefixes alone, and leave room for a link in counts by bucket, before any whole set travels. Every order puts tokens that a
+orders B and C, on prefixes alone, and leave room for a link in counts by bucket, before any whole set travels. Before
+all that, ``MARKS`` parities of each set, gathered once, rule out most pairs where candidates are joined: a bit in which they differ
+stands for a token or more that one set lacks, so that no link is lost. Parities by the set's size do the same to what is
+left. Every order puts tokens that a
 corpus-wide sketch of document counts finds frequent last, so that a passage common to many documents
 makes few candidates. The sketch has a fixed size and only affects speed.
 
@@ -35,6 +38,8 @@ BLOCK_BITS = 17
 #: Pivots of each group and size in the rounds before the last; more of them once few rows are left.
 PIVOTS = (1, 6, 6)
 SLICE_BYTES = 2_000_000
+#: Parities of a set; more of them tell larger sets apart.
+MARKS = 512
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -73,17 +78,40 @@ def enough(left: int, sizes: int) -> bool:
     return (NUM + DEN) * left >= NUM * sizes
 
 
+def marks_of(sets: list[np.ndarray]) -> pa.Array:
+    """Of each set, whether an odd number of its tokens falls into each of MARKS buckets, as a list of longs."""
+    at = np.repeat(np.arange(len(sets)) * MARKS, [len(s) for s in sets]) + (np.concatenate(sets) & np.uint64(MARKS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(sets) * MARKS).astype(np.uint8) & 1
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (MARKS // 64)), pa.array(np.packbits(odd).view(np.int64)))
+
+
+def parities(s: np.ndarray) -> bytes:
+    """The size of a set, and as marks_of() parities in two to four buckets a token."""
+    width = max(MARKS, 1 << (2 * len(s)).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return len(s).to_bytes(4, "little") + np.packbits(odd).tobytes()
+
+
+def may_link(a: bytes, b: bytes) -> bool:
+    """Whether the parities of two sets leave room for a link."""
+    x, y = (v[4:] for v in (a, b))
+    width = min(len(x), len(y))
+    x, y = (v if len(v) == width else np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, width)).tobytes() for v in (x, y))
+    lacking = (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+    return (NUM + DEN) * lacking <= (DEN - NUM) * (int.from_bytes(a[:4], "little") + int.from_bytes(b[:4], "little"))
+
+
 def _texts(batches):
     for batch in batches:
         yield from byte_slices(batch, 1, SLICE_BYTES)
 
 
 def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(info, bitmap): doc_id, n_shingles and node of each document; and the slots of tokens in far more
+    """(info, bitmap): doc_id, n_shingles, node, marks and parities of each document; and the slots of tokens in far more
     documents than a slot's share of all tokens, from merged partition sketches."""
-    names = ["doc_id", "n_shingles", "node", "counts", "block"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
-    ddl = "doc_id long, n_shingles long, node long, counts binary, block int"
+    names = ["doc_id", "n_shingles", "node", "marks", "parities", "counts", "block"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32()]
+    ddl = "doc_id long, n_shingles long, node long, marks array<long>, parities binary, counts binary, block int"
 
     def run(batches):
         c = np.zeros(1 << SLOT_BITS, np.int32)
@@ -92,11 +120,11 @@ def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             slot, times = np.unique(np.concatenate([x for x, _ in got]) >> np.uint64(64 - SLOT_BITS), return_counts=True)
             c[slot.astype(np.int64)] += times.astype(np.int32)
             none = [None] * len(got)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(([len(s) for s, _ in got], [w for _, w in got], none, none), types[1:], strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(([len(s) for s, _ in got], [w for _, w in got]), types[1:3], strict=True)), marks_of([s for s, _ in got]), pa.array([parities(s) for s, _ in got], pa.binary()), *(pa.array(none, t) for t in types[5:])], names=names)
         if c.any():
             parts = np.minimum(c, 255).astype(np.uint8).reshape(-1, 1 << BLOCK_BITS)
             none = [None] * len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, none, [x.tobytes() for x in parts], range(len(parts))), types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, none, none, none, [x.tobytes() for x in parts], range(len(parts))), types, strict=True)], names=names)
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = saved(base.mapInArrow(freed(run), ddl), "info")
@@ -114,7 +142,7 @@ def first_pass(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     sketches = both.where("block is not null").select("counts", "block").repartition(1 << (SLOT_BITS - BLOCK_BITS), "block")
     for r in sketches.mapInArrow(merge, "counts binary, block int").collect():  # 2**SLOT_BITS bits in all
         frequent[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["counts"], np.uint8)
-    return both.where("block is null").select("doc_id", "n_shingles", "node"), frequent
+    return both.where("block is null").select("doc_id", "n_shingles", "node", "marks", "parities"), frequent
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -252,18 +280,21 @@ def _compared(pairs: DataFrame, held: DataFrame, prepare, test) -> DataFrame:
     return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(freed(run), "a long, b long")
 
 
-def _verify(docs: DataFrame, info: DataFrame, pairs: DataFrame, held) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) that pass orders B and C, and of them those that link by their whole sets; saved."""
+def _verify(docs: DataFrame, info: DataFrame, marks: DataFrame, pairs: DataFrame, held) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that pass their parities and orders B and C, and of them those that link by their whole sets; saved."""
 
     def filters(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([orders_of(np.frombuffer(t.as_py(), np.uint64), held.value) for t in batch.column(1)], pa.binary())], names=["node", "tokens"])
 
+    spark = pairs.sparkSession
+    pairs = saved(_compared(pairs, marks.select("node", F.col("parities").alias("tokens")), lambda own: own, may_link), "pairs")
     sets = saved(_sets(docs, info, pairs), "sets")
     orders = sets.mapInArrow(freed(filters), "node long, tokens binary")
     likely = saved(_compared(pairs, orders, _parsed, lambda own, x: all(under_orders(own, _parsed(x)))), "likely")
     links = saved(_compared(likely, sets, lambda x: np.frombuffer(x, np.uint64), lambda own, x: linked(own, np.frombuffer(x, np.uint64))).distinct(), "links")
-    dropped(pairs.sparkSession, sets)
+    dropped(spark, sets)
+    dropped(spark, pairs)
     return likely, links
 
 
@@ -274,24 +305,27 @@ def _apart(groups: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(split, "group", "left_semi")
 
 
-def _pairs(rows: DataFrame, round_: int) -> DataFrame:
+def _pairs(rows: DataFrame, marks: DataFrame, round_: int) -> DataFrame:
     """Candidate pairs of rows of _apart(): of each with pivots of its group and of its size; or, in the last
-    round, of all across components, each group's lesser components with all others."""
-    fits = F.expr(f"{NUM + DEN} * least(left, _left) >= {NUM} * (n + _n) and comp <> _comp")
-    other = lambda df, by: df.select(*by, F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("left").alias("_left"), F.col("comp").alias("_comp"))
+    round, of all across components, each group's lesser components with all others. Pairs whose marks, of (node, marks, parities), leave
+    no room for a link are never rows."""
+    apart = " + ".join(f"bit_count(get(marks, {i}) ^ get(_marks, {i}))" for i in range(MARKS // 64))
+    fits = F.expr(f"{NUM + DEN} * least(left, _left) >= {NUM} * (n + _n) and comp <> _comp and {NUM + DEN} * ({apart}) <= {DEN - NUM} * (n + _n)")
+    marked = lambda df: df.join(marks.select("node", "marks"), "node")
+    other = lambda df, by: marked(df).select(*by, F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("left").alias("_left"), F.col("comp").alias("_comp"), F.col("marks").alias("_marks"))
     if round_ < len(PIVOTS):
         by = ["group", "band"]
         rows = rows.withColumn("band", F.floor(F.log("n") / np.log(DEN / NUM)))
         least = [F.min(F.struct(F.xxhash64("node", F.lit(round_), F.lit(k)).alias("h"), "node", "n", "left", "comp")).alias(f"p{k}") for k in range(PIVOTS[round_])]
         first = rows.groupBy(*by).agg(*least).select(*by, F.explode(F.array(*(f"p{k}" for k in range(PIVOTS[round_])))).alias("p")).select(*by, "p.node", "p.n", "p.left", "p.comp").distinct()
-        pairs = rows.join(other(first, by), by).where(fits)
+        pairs = marked(rows).join(other(first, by), by).where(fits)
     else:
         by = ["group"]
         sizes = rows.groupBy("group", "comp").agg(F.count("*").alias("c"))
         major = sizes.groupBy("group").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
         rows = rows.join(major, "group")
         minor = other(rows.where("comp <> major"), by)
-        pairs = rows.join(minor, by).where(fits & F.expr("comp = major or _node < node"))
+        pairs = marked(rows).join(minor, by).where(fits & F.expr("comp = major or _node < node"))
     return pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
@@ -303,16 +337,17 @@ def jaccard_components(docs: DataFrame, counts: list | None = None) -> DataFrame
     shared = saved(_shared(_prefixes(docs, frequent)), "shared")
     groups = saved(_groups(shared, info), "groups")
     dropped(spark, shared)
+    marks = saved(info.join(groups.select("node").distinct(), "node", "left_semi").select("node", "marks", "parities").dropDuplicates(["node"]), "marks")
     held = spark.sparkContext.broadcast(frequent)
     links = None
     comp = spark.createDataFrame([], "node long, root long")
     for r in range(len(PIVOTS) + 1):
         rows = saved(_apart(groups, comp), "apart")
-        pairs = saved(_pairs(rows, r), "pairs")
+        pairs = saved(_pairs(rows, marks, r), "pairs")
         dropped(spark, rows)
         if pairs.isEmpty():
             continue
-        likely, more = _verify(docs, info, pairs, held)
+        likely, more = _verify(docs, info, marks, pairs, held)
         if counts is not None:
             counts.append((pairs.count(), likely.count(), more.count()))
         dropped(spark, pairs)
@@ -320,6 +355,7 @@ def jaccard_components(docs: DataFrame, counts: list | None = None) -> DataFrame
         links = more if links is None else links.union(more)
         comp = saved(components(spark, links), "comp")
     dropped(spark, groups)
+    dropped(spark, marks)
     least = info.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = least.join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     whole = classes.groupBy("root").agg(F.min("least").alias("component_id"))
