@@ -25,6 +25,7 @@ document each count; extra columns are ignored. doc_id, lang and source never en
 
 from __future__ import annotations
 
+import functools
 import string
 
 import numpy as np
@@ -45,6 +46,8 @@ BUCKET_TOKENS = 800_000
 LEAST_BITS, MOST_BITS = 20, 28
 SPARE_BITS = 14
 LEAST_BUCKETS = 64
+#: The requests and the features are made in so many shares each, whose shuffles are on disk one at a time.
+PAIR_SHARES, WORD_SHARES, FEATURE_SHARES = 2, 3, 8
 _STRIP = string.punctuation.encode()
 _EMPTY = word_hashes([b""])[0]  # cut to the bits in use where compared
 _COUNTS = ("a", "b", "c", "d", "e", "f", "g")
@@ -82,13 +85,14 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("bits", pa.int32())] + [(c, pa.binary()) for c in ("texts", "kinds", "sizes", "ids", "vocabulary")])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("bits", pa.int32())] + [(c, pa.binary()) for c in ("texts", "kinds", "sizes", "ids", "ranked", "vocabulary")])
 _LIST = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary())] + [(c, pa.binary()) for c in _COUNTS])
 _FEATURES = pa.schema([("_h", pa.int64()), ("_whole", pa.float64()), ("_window", pa.float64())])
 
 
 def _chunks(kinds: DataFrame, bits: int = 64) -> DataFrame:
-    """Texts of (_h, text, toxic) as places in a sorted list of their words' hashes, many texts a row."""
+    """Texts of (_h, text, toxic) as places in a sorted list of their words' hashes, many texts a row. On disk a place is its
+    rank by frequency, as small numbers compress better."""
 
     def cut(batches):
         task, n = TaskContext.get().partitionId(), 0
@@ -100,7 +104,10 @@ def _chunks(kinds: DataFrame, bits: int = 64) -> DataFrame:
             h = word_hashes(list(number)) >> np.uint64(64 - bits)
             vocabulary, place = np.unique(h, return_inverse=True)
             flat = place.astype(np.int32)[np.concatenate(ids)]
-            row = (task << 32 | n, len(flat), bits, _pack(np.array(texts, np.int64)), _pack(np.array(kind, np.int8)), _pack(np.fromiter(map(len, ids), np.int32, len(ids))), _pack(flat), _pack_sorted(vocabulary))
+            ranked = np.argsort(-np.bincount(flat, minlength=len(vocabulary)), kind="stable").astype(np.int32)
+            rank = np.empty_like(ranked)
+            rank[ranked] = np.arange(len(ranked), dtype=np.int32)
+            row = (task << 32 | n, len(flat), bits, _pack(np.array(texts, np.int64)), _pack(np.array(kind, np.int8)), _pack(np.fromiter(map(len, ids), np.int32, len(ids))), _pack(rank[flat]), _pack(ranked), _pack_sorted(vocabulary))
             return _batch([row], _CHUNK)
 
         for batch in batches:
@@ -120,7 +127,7 @@ def _chunks(kinds: DataFrame, bits: int = 64) -> DataFrame:
         if ids:
             yield out()
 
-    schema = "chunk long, tokens long, bits int, texts binary, kinds binary, sizes binary, ids binary, vocabulary binary"
+    schema = "chunk long, tokens long, bits int, texts binary, kinds binary, sizes binary, ids binary, ranked binary, vocabulary binary"
     return kinds.mapInArrow(freed(cut), schema)
 
 
@@ -130,7 +137,7 @@ class _Chunk:
     def __init__(self, row: dict):
         self.bits = row["bits"]
         self.vocabulary = _unpack_sorted(row["vocabulary"])
-        self.ids = _unpack(row["ids"], np.int32)
+        self.ids = _unpack(row["ranked"], np.int32)[_unpack(row["ids"], np.int32)]
         self.sizes = _unpack(row["sizes"], np.int32)
         self.kinds = _unpack(row["kinds"], np.int8)
         self.texts = _unpack(row["texts"], np.int64)
@@ -143,16 +150,20 @@ class _Chunk:
         kind, word = self.kinds[seen // size], seen % size
         return [np.bincount(word[kind == k], minlength=size) for k in (1, 0, 2)]
 
-    def pairs(self, known: np.ndarray | None = None) -> None:
-        """Find the pairs; with a bitmap of ``known`` slots, only those that a labelled text may hold."""
+    def pairs(self, known: np.ndarray | None = None, within: tuple[int, int, int] | None = None) -> None:
+        """Find the pairs; with a bitmap of ``known`` slots, only those that a labelled text may hold; ``within``
+        (buckets, lo, hi), only those of buckets lo to hi."""
         size = len(self.vocabulary)
         some = self.vocabulary[self.ids] != _EMPTY >> np.uint64(64 - self.bits)
         second = np.nonzero((self.text[1:] == self.text[:-1]) & some[1:] & some[:-1])[0] + 1
         code, place = np.unique(self.ids[second - 1].astype(np.int64) * size + self.ids[second], return_inverse=True)
         first = code // size
         key = mix64(mix64(self.vocabulary[first]) + self.vocabulary[code % size]) >> np.uint64(64 - self.bits)
-        if known is not None:
-            keep = _holds(known, key)
+        if known is not None or within is not None:
+            keep = np.ones(len(key), bool) if known is None else _holds(known, key)
+            if within is not None:
+                of = _bucket_of(key, within[0], self.bits)
+                keep &= (of >= np.uint64(within[1])) & (of < np.uint64(within[2]))
             here = keep[place]
             second, place = second[here], (np.cumsum(keep) - 1)[place[here]]
             key, first = key[keep], first[keep]
@@ -204,21 +215,27 @@ def _known_pairs(tokens: DataFrame, size: int) -> np.ndarray:
 
     ddl = "block int, slots binary"
     out, step = np.zeros(1 << (bits - 3), np.uint8), 1 << (block_bits - 3)
-    for r in tokens.mapInArrow(freed(find), ddl).repartition(64, "block").mapInArrow(freed(merge), ddl).collect():  # 2**MOST_BITS bits at most
+    blocks = saved(tokens.mapInArrow(freed(find), ddl).repartition(64, "block").mapInArrow(freed(merge), ddl), "known")
+    for r in blocks.collect():  # 2**MOST_BITS bits at most
         out[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["slots"], np.uint8)
+    dropped(tokens.sparkSession, blocks)
     return out
 
 
+def _bucket_of(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Equal ranges of the hashes' upper 32 bits."""
+    return (keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
+
+
 def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    """Ends of the buckets in sorted keys: equal ranges of the hashes' upper 32 bits."""
-    of = (keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
-    return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+    """Ends of the buckets in sorted keys."""
+    return np.searchsorted(_bucket_of(keys, buckets, bits), np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _lists(keys: np.ndarray, counts: list[np.ndarray], buckets: int, chunk: int, bits: int, more: np.ndarray | None = None):
-    """Rows of _LIST; more: values of those keys whose first two counts are not both 0."""
+def _lists(keys: np.ndarray, counts: list[np.ndarray], buckets: int, chunk: int, bits: int, more: np.ndarray | None = None, lo_hi: tuple[int, int] | None = None):
+    """Rows of _LIST, of buckets lo to hi if given; more: values of those keys whose first two counts are not both 0."""
     cuts = _cuts(keys, buckets, bits)
-    for k in range(buckets):
+    for k in range(*(lo_hi or (0, buckets))):
         lo, hi = cuts[k], cuts[k + 1]
         if lo < hi:
             packed = [_pack(c[lo:hi].astype(np.int32)) for c in counts]
@@ -227,18 +244,19 @@ def _lists(keys: np.ndarray, counts: list[np.ndarray], buckets: int, chunk: int,
             yield (k, chunk, _pack_sorted(keys[lo:hi]), *packed, *[None] * (len(_COUNTS) - len(packed)))
 
 
-def _requests(tokens: DataFrame, pairs: bool, buckets: int, known=None) -> DataFrame:
-    """Lists of words, or of pairs that the broadcast bitmap ``known`` may hold."""
+def _requests(tokens: DataFrame, pairs: bool, buckets: int, known=None, lo: int = 0, hi: int | None = None) -> DataFrame:
+    """Lists of words, or of pairs that the broadcast bitmap ``known`` may hold, for buckets lo to hi."""
+    hi = buckets if hi is None else hi
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 c = _Chunk(row)
                 if pairs:
-                    c.pairs(known and known.value)
-                    rows = _lists(c.keys, c.pair_counts(), buckets, row["chunk"], c.bits, c.vocabulary[c.first])
+                    c.pairs(known and known.value, (buckets, lo, hi))
+                    rows = _lists(c.keys, c.pair_counts(), buckets, row["chunk"], c.bits, c.vocabulary[c.first], (lo, hi))
                 else:
-                    rows = _lists(c.vocabulary, c.words(), buckets, row["chunk"], c.bits)
+                    rows = _lists(c.vocabulary, c.words(), buckets, row["chunk"], c.bits, lo_hi=(lo, hi))
                 yield _batch(list(rows), _LIST)
 
     return tokens.mapInArrow(freed(ask), _LISTS)
@@ -367,8 +385,7 @@ def _features(tokens: DataFrame, answers: DataFrame, totals: np.ndarray, known=N
         give_back()
         return pa.Table.from_batches([_batch(out, _FEATURES)])
 
-    both = tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(measure, "_h long, _whole double, _window double")
-    return both.groupBy("_h").agg(F.max("_whole").alias("_whole"), F.max("_window").alias("_window"))
+    return tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(measure, "_h long, _whole double, _window double")
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -405,13 +422,18 @@ def text_features(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) ->
     size = tokens.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_TOKENS))
     known_pairs = spark.sparkContext.broadcast(_known_pairs(tokens, size))
-    pairs = saved(_pair_sums(_requests(tokens, True, buckets, known_pairs), buckets, bits), "pairs")
-    words = saved(_word_sums(_requests(tokens, False, buckets).union(pairs.where("chunk < 0")), bits), "words")
+    split = lambda n: [(buckets * k // n, buckets * (k + 1) // n) for k in range(n)]
+    pairs = functools.reduce(DataFrame.union, [saved(_pair_sums(_requests(tokens, True, buckets, known_pairs, *x), buckets, bits), "pairs") for x in split(PAIR_SHARES)])
+    firsts = lambda lo, hi: pairs.where(f"chunk < 0 and bucket >= {lo} and bucket < {hi}")
+    words = functools.reduce(DataFrame.union, [saved(_word_sums(_requests(tokens, False, buckets, None, *x).union(firsts(*x)), bits), "words") for x in split(WORD_SHARES)])
     totals = sum((_unpack(bytes(r[0]), np.int64) for r in words.where("chunk < 0").select("a").toLocalIterator()), np.zeros(6, np.int64))
     answers = words.withColumn("word", F.lit(True)).union(pairs.withColumn("word", F.lit(False))).where("chunk >= 0").drop("keys")
-    features = saved(_features(tokens, answers, totals, known_pairs), "features")
+    of = F.pmod(F.xxhash64("chunk"), F.lit(FEATURE_SHARES))
+    shares = [saved(_features(tokens.where(of == k), answers.where(of == k), totals, known_pairs), "features") for k in range(FEATURE_SHARES)]
+    both = functools.reduce(DataFrame.union, shares)
+    features = saved(both.groupBy("_h").agg(F.max("_whole").alias("_whole"), F.max("_window").alias("_window")), "features")
     known_pairs.unpersist()
-    for x in (tokens, pairs, words):
+    for x in (tokens, pairs, words, *shares):
         dropped(spark, x)
     fits = joined.where((F.col("_fold") == 4) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic", "_h", F.xxhash64("doc_id", F.lit(5)).alias("_order"))
     fits = fits.orderBy("_order", "doc_id", "toxic", "_h").limit(max_fit)
