@@ -109,18 +109,31 @@ class ChunkTokenizer:
         """Entry of each of these distinct chunks."""
         if self.bytes > self.max_bytes:
             self.reset()
-        get = self.entry.get
-        out = [get(c) for c in chunks]
+        out = list(map(self.entry.get, chunks))
         flat: list[int] = []
         sizes, ends = [], []
-        for k, e in enumerate(out):
-            if e is None:
-                ids = self._chunk_ids(chunks[k])
-                out[k] = self.entry[chunks[k]] = self.count + len(sizes)
-                self.bytes += 180 + 2 * len(chunks[k]) + 4 * len(ids)
-                flat += ids
-                sizes.append(len(ids))
-                ends.append(bool(ids) and chunks[k][-1] in ".!?")
+        stems, tokenize, plain, letters, size = self.stems, self.model.tokenize, self.plain, self.letters.__getitem__, 0
+        for k in [k for k, e in enumerate(out) if e is None]:
+            chunk = chunks[k]
+            stem = chunk.rstrip(".,")
+            # as _chunk_ids() does, but only tails are held besides the chunks
+            if plain and stem.isalpha() and (stem.isascii() or max(stem) < "\u0130"):
+                low = stem.lower()
+                unit = low if low.isascii() else "".join(map(letters, low.encode()))
+                ids = [t.id for t in tokenize(unit)]
+                if len(stem) < len(chunk):
+                    tail = chunk[len(stem) :]
+                    if tail not in stems:
+                        stems[tail] = self._ids(tail)
+                    ids = ids + stems[tail]
+            else:
+                ids = self._chunk_ids(chunk)
+            out[k] = self.entry[chunk] = self.count + len(sizes)
+            size += 180 + 2 * len(chunk) + 4 * len(ids)
+            flat += ids
+            sizes.append(len(ids))
+            ends.append(bool(ids) and chunk[-1] in ".!?")
+        self.bytes += size
         if sizes:
             n, m = len(sizes), len(flat)
             self.pool = _room(self.pool, self.used + m)
@@ -134,7 +147,10 @@ class ChunkTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end token; where each text ends; where sentences end)."""
-        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        if self.plain:  # the normalizer lower-cases anyway, and fewer chunks differ
+            texts = pc.ascii_lower(texts)
+        parts = pc.split_pattern(texts, " ")
         words = parts.flatten().dictionary_encode()
         entry = self.entries(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
         last = parts.offsets.to_numpy().astype(np.int64)[1:] - parts.offsets[0].as_py()
