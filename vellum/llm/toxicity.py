@@ -43,7 +43,7 @@ DISCOUNT = 0.75
 PRIOR_G = 16.0
 CHUNK_TOKENS = 600_000
 BUCKET_TOKENS = 800_000
-LEAST_BITS, MOST_BITS = 20, 28
+LEAST_BITS, MOST_BITS, BLOCK_BITS = 20, 28, 6
 SPARE_BITS = 14
 LEAST_BUCKETS = 64
 #: The requests and the features are made in so many shares each, whose shuffles are on disk one at a time.
@@ -150,26 +150,29 @@ class _Chunk:
         kind, word = self.kinds[seen // size], seen % size
         return [np.bincount(word[kind == k], minlength=size) for k in (1, 0, 2)]
 
-    def pairs(self, known: np.ndarray | None = None, within: tuple[int, int, int] | None = None) -> None:
-        """Find the pairs; with a bitmap of ``known`` slots, only those that a labelled text may hold; ``within``
-        (buckets, lo, hi), only those of buckets lo to hi."""
+    def pairs(self, within: tuple[int, int, int] | None = None) -> None:
+        """Find the pairs; ``within`` (buckets, lo, hi), only those of buckets lo to hi."""
         size = len(self.vocabulary)
         some = self.vocabulary[self.ids] != _EMPTY >> np.uint64(64 - self.bits)
         second = np.nonzero((self.text[1:] == self.text[:-1]) & some[1:] & some[:-1])[0] + 1
         code, place = np.unique(self.ids[second - 1].astype(np.int64) * size + self.ids[second], return_inverse=True)
         first = code // size
         key = mix64(mix64(self.vocabulary[first]) + self.vocabulary[code % size]) >> np.uint64(64 - self.bits)
-        if known is not None or within is not None:
-            keep = np.ones(len(key), bool) if known is None else _holds(known, key)
-            if within is not None:
-                of = _bucket_of(key, within[0], self.bits)
-                keep &= (of >= np.uint64(within[1])) & (of < np.uint64(within[2]))
+        if within is not None:
+            of = _bucket_of(key, within[0], self.bits)
+            keep = (of >= np.uint64(within[1])) & (of < np.uint64(within[2]))
             here = keep[place]
             second, place = second[here], (np.cumsum(keep) - 1)[place[here]]
             key, first = key[keep], first[keep]
         self.keys, at, back = np.unique(key, return_index=True, return_inverse=True)
         self.second, self.first, self.pair = second, first[at], back.astype(np.int32)[place]
 
+    def only(self, asked: np.ndarray) -> None:
+        """Leave the pairs whose keys are asked for."""
+        here = asked[self.pair]
+        self.second, self.pair = self.second[here], (np.cumsum(asked, dtype=np.int32) - 1)[self.pair[here]]
+        self.keys, self.first = self.keys[asked], self.first[asked]
+
     def pair_counts(self) -> list[np.ndarray]:
         """Toxic and ordinary texts with each pair."""
         labelled = self.kinds[self.text[self.second]] < 2
@@ -179,20 +182,23 @@ class _Chunk:
         return [np.bincount(pair[kind == k], minlength=len(self.keys)) for k in (1, 0)]
 
 
-def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(keys) >> np.uint64(64 - bits)).astype(np.int64)
+def _slot(keys: np.ndarray, slot_bits: int, bits: int) -> np.ndarray:
+    """The hashes' upper bits, so that a range of buckets has its slots side by side."""
+    return (keys >> np.uint64(bits - slot_bits)).astype(np.int64)
 
 
-def _holds(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = _slot(keys, (len(known) * 8 - 1).bit_length())
-    return (known[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+def _holds(known: tuple[int, int, np.ndarray], keys: np.ndarray, bits: int) -> np.ndarray:
+    """Which keys have their slots in a bitmap of _bitmap(), which must reach as far as they do."""
+    slot = _slot(keys, known[0], bits) - known[1]
+    return (known[2][slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _known_pairs(tokens: DataFrame, size: int) -> np.ndarray:
-    """A bitmap of hash slots of the pairs in labelled texts. Pairs in no other slot need not be asked for, as their counts are
-    0. It follows the size of the corpus up to ``MOST_BITS``; when it fills up it only lets more pairs be asked for."""
+def _known_blocks(tokens: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """A bitmap of hash slots of the pairs in labelled texts, saved in blocks, and its bits. Pairs in no other slot need not be
+    asked for, as their counts are 0. It follows the size of the corpus up to ``MOST_BITS``; when it fills up it only lets more
+    pairs be asked for."""
     bits = int(np.clip((2 * size).bit_length(), LEAST_BITS, MOST_BITS))
-    block_bits = bits - 6
+    block_bits = bits - BLOCK_BITS
 
     def find(batches):
         for batch in batches:
@@ -201,8 +207,8 @@ def _known_pairs(tokens: DataFrame, size: int) -> np.ndarray:
                 if (c.kinds < 2).any():
                     c.pairs()
                     t, o = c.pair_counts()
-                    slot = np.unique(_slot(c.keys[t + o > 0], bits)).astype(np.uint64)
-                    cuts = np.searchsorted(slot >> np.uint64(block_bits), np.arange(65, dtype=np.uint64))
+                    slot = np.unique(_slot(c.keys[t + o > 0], bits, c.bits)).astype(np.uint64)
+                    cuts = np.searchsorted(slot >> np.uint64(block_bits), np.arange((1 << BLOCK_BITS) + 1, dtype=np.uint64))
                     rows = [(b, _pack_sorted(slot[lo:hi])) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "slots"])
 
@@ -214,10 +220,25 @@ def _known_pairs(tokens: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x).tobytes() for x in seen.values()], pa.binary())], names=["block", "slots"])
 
     ddl = "block int, slots binary"
-    out, step = np.zeros(1 << (bits - 3), np.uint8), 1 << (block_bits - 3)
-    blocks = saved(tokens.mapInArrow(freed(find), ddl).repartition(64, "block").mapInArrow(freed(merge), ddl), "known")
-    for r in blocks.collect():  # 2**MOST_BITS bits at most
-        out[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["slots"], np.uint8)
+    return saved(tokens.mapInArrow(freed(find), ddl).repartition(1 << BLOCK_BITS, "block").mapInArrow(freed(merge), ddl), "known"), bits
+
+
+def _bitmap(blocks: DataFrame, bits: int, buckets: int = 1, lo: int = 0, hi: int = 1) -> tuple[int, int, np.ndarray]:
+    """Its bits, first slot and bytes, of the blocks that keys of buckets lo to hi have their slots in. The driver gets the
+    blocks a partition at a time."""
+    start, end = (lo << BLOCK_BITS) // buckets, -((-hi << BLOCK_BITS) // buckets)
+    step = 1 << (bits - BLOCK_BITS - 3)
+    out = np.zeros((end - start) * step, np.uint8)
+    for r in blocks.where(f"block >= {start} and block < {end}").toLocalIterator():
+        at = (r["block"] - start) * step
+        out[at : at + step] = np.frombuffer(r["slots"], np.uint8)
+    return bits, start << (bits - BLOCK_BITS), out
+
+
+def _known_pairs(tokens: DataFrame, size: int) -> tuple[int, int, np.ndarray]:
+    """The whole bitmap."""
+    blocks, bits = _known_blocks(tokens, size)
+    out = _bitmap(blocks, bits)
     dropped(tokens.sparkSession, blocks)
     return out
 
@@ -232,8 +253,9 @@ def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.searchsorted(_bucket_of(keys, buckets, bits), np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _lists(keys: np.ndarray, counts: list[np.ndarray], buckets: int, chunk: int, bits: int, more: np.ndarray | None = None, lo_hi: tuple[int, int] | None = None):
-    """Rows of _LIST, of buckets lo to hi if given; more: values of those keys whose first two counts are not both 0."""
+def _lists(keys: np.ndarray, counts: list[np.ndarray], buckets: int, chunk: int, bits: int, more: np.ndarray | None = None, lo_hi: tuple[int, int] | None = None, masks: list[np.ndarray] | None = None):
+    """Rows of _LIST, of buckets lo to hi if given; more: values of those keys whose first two counts are not both 0; masks:
+    a bitmap for each bucket."""
     cuts = _cuts(keys, buckets, bits)
     for k in range(*(lo_hi or (0, buckets))):
         lo, hi = cuts[k], cuts[k + 1]
@@ -241,11 +263,14 @@ def _lists(keys: np.ndarray, counts: list[np.ndarray], buckets: int, chunk: int,
             packed = [_pack(c[lo:hi].astype(np.int32)) for c in counts]
             if more is not None:
                 packed.append(_pack(more[lo:hi][counts[0][lo:hi] + counts[1][lo:hi] > 0]))
+            if masks is not None:
+                packed.append(_pack(np.packbits(masks[k])))
             yield (k, chunk, _pack_sorted(keys[lo:hi]), *packed, *[None] * (len(_COUNTS) - len(packed)))
 
 
 def _requests(tokens: DataFrame, pairs: bool, buckets: int, known=None, lo: int = 0, hi: int | None = None) -> DataFrame:
-    """Lists of words, or of pairs that the broadcast bitmap ``known`` may hold, for buckets lo to hi."""
+    """Lists of words, or of pairs that the broadcast bitmap ``known`` may hold, for buckets lo to hi; with pairs, which of the
+    chunk's pairs in the bucket these are."""
     hi = buckets if hi is None else hi
 
     def ask(batches):
@@ -253,8 +278,11 @@ def _requests(tokens: DataFrame, pairs: bool, buckets: int, known=None, lo: int
             for row in batch.to_pylist():
                 c = _Chunk(row)
                 if pairs:
-                    c.pairs(known and known.value, (buckets, lo, hi))
-                    rows = _lists(c.keys, c.pair_counts(), buckets, row["chunk"], c.bits, c.vocabulary[c.first], (lo, hi))
+                    c.pairs((buckets, lo, hi))
+                    asked = np.ones(len(c.keys), bool) if known is None else _holds(known.value, c.keys, c.bits)
+                    masks = np.split(asked, _cuts(c.keys, buckets, c.bits)[1:-1])
+                    c.only(asked)
+                    rows = _lists(c.keys, c.pair_counts(), buckets, row["chunk"], c.bits, c.vocabulary[c.first], (lo, hi), masks)
                 else:
                     rows = _lists(c.vocabulary, c.words(), buckets, row["chunk"], c.bits, lo_hi=(lo, hi))
                 yield _batch(list(rows), _LIST)
@@ -267,7 +295,8 @@ def _sums(place: np.ndarray, parts: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def _pair_sums(requests: DataFrame, buckets: int, bits: int = 64) -> DataFrame:
-    """Toxic and ordinary texts with each pair asked for; for chunk -1, by first word: pairs' texts and distinct pairs of each class."""
+    """Toxic and ordinary texts with each pair asked for, and which those are; for chunk -1, by first word: pairs' texts and
+    distinct pairs of each class."""
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -281,7 +310,7 @@ def _pair_sums(requests: DataFrame, buckets: int, bits: int = 64) -> DataFrame:
             here = place[at : at + len(lists[i])]
             at += len(here)
             first[here[counts[0][i] + counts[1][i] > 0]] = _unpack(r["c"], np.uint64)
-            out.append((r["bucket"], r["chunk"], None, _pack(t[here].astype(np.int32)), _pack(o[here].astype(np.int32)), *[None] * 5))
+            out.append((r["bucket"], r["chunk"], None, _pack(t[here].astype(np.int32)), _pack(o[here].astype(np.int32)), r["d"], *[None] * 4))
         known = t + o > 0
         words, of = np.unique(first[known], return_inverse=True)
         by = [np.bincount(of, x[known], len(words)).astype(np.int64) for x in (t, o, t > 0, o > 0)]
@@ -357,7 +386,17 @@ def pair_ratios(counts: list[np.ndarray], contexts: list[np.ndarray], lower: lis
     return word + sure * (np.log(p[0] / p[1]) - word)
 
 
-def _features(tokens: DataFrame, answers: DataFrame, totals: np.ndarray, known=None) -> DataFrame:
+def _asked(keys: np.ndarray, rows: list[dict], buckets: int, bits: int) -> np.ndarray:
+    """Which keys of a chunk the rows of _pair_sums() answer."""
+    out = np.zeros(len(keys), bool)
+    cuts = _cuts(keys, buckets, bits)
+    for r in rows:
+        lo, hi = cuts[r["bucket"]], cuts[r["bucket"] + 1]
+        out[lo:hi] = np.unpackbits(_unpack(r["c"], np.uint8), count=hi - lo)
+    return out
+
+
+def _features(tokens: DataFrame, answers: DataFrame, totals: np.ndarray, buckets: int) -> DataFrame:
     """Of each text: length-normalised log-likelihood ratio of the whole, and the greatest of a window."""
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -365,7 +404,8 @@ def _features(tokens: DataFrame, answers: DataFrame, totals: np.ndarray, known=N
         out = []
         for row in left.to_pylist():
             c = _Chunk(row)
-            c.pairs(known and known.value)
+            c.pairs()
+            c.only(_asked(c.keys, [r for r in rows if not r["word"]], buckets, c.bits))
             join = lambda col, word: np.concatenate([_unpack(r[col], np.int32) for r in rows if r["word"] == word] or [np.zeros(0, np.int32)])
             values = [join(x, True) for x in _COUNTS]
             chances = word_chances(values[:3], totals)
@@ -421,18 +461,26 @@ def text_features(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) ->
     tokens = saved(_chunks(joined.where("text is not null").select("_h", "text", F.when(trains, F.col("toxic")).otherwise(F.lit(2)).alias("toxic")), bits), "tokens")
     size = tokens.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_TOKENS))
-    known_pairs = spark.sparkContext.broadcast(_known_pairs(tokens, size))
+    blocks, slot_bits = _known_blocks(tokens, size)
     split = lambda n: [(buckets * k // n, buckets * (k + 1) // n) for k in range(n)]
-    pairs = functools.reduce(DataFrame.union, [saved(_pair_sums(_requests(tokens, True, buckets, known_pairs, *x), buckets, bits), "pairs") for x in split(PAIR_SHARES)])
+
+    def pair_share(lo: int, hi: int) -> DataFrame:
+        # only its part of the bitmap, a copy of which takes memory and disk on the driver and on each executor
+        known = spark.sparkContext.broadcast(_bitmap(blocks, slot_bits, buckets, lo, hi))
+        out = saved(_pair_sums(_requests(tokens, True, buckets, known, lo, hi), buckets, bits), "pairs")
+        known.destroy(blocking=True)
+        return out
+
+    pairs = functools.reduce(DataFrame.union, [pair_share(*x) for x in split(PAIR_SHARES)])
+    dropped(spark, blocks)
     firsts = lambda lo, hi: pairs.where(f"chunk < 0 and bucket >= {lo} and bucket < {hi}")
     words = functools.reduce(DataFrame.union, [saved(_word_sums(_requests(tokens, False, buckets, None, *x).union(firsts(*x)), bits), "words") for x in split(WORD_SHARES)])
     totals = sum((_unpack(bytes(r[0]), np.int64) for r in words.where("chunk < 0").select("a").toLocalIterator()), np.zeros(6, np.int64))
     answers = words.withColumn("word", F.lit(True)).union(pairs.withColumn("word", F.lit(False))).where("chunk >= 0").drop("keys")
     of = F.pmod(F.xxhash64("chunk"), F.lit(FEATURE_SHARES))
-    shares = [saved(_features(tokens.where(of == k), answers.where(of == k), totals, known_pairs), "features") for k in range(FEATURE_SHARES)]
+    shares = [saved(_features(tokens.where(of == k), answers.where(of == k), totals, buckets), "features") for k in range(FEATURE_SHARES)]
     both = functools.reduce(DataFrame.union, shares)
     features = saved(both.groupBy("_h").agg(F.max("_whole").alias("_whole"), F.max("_window").alias("_window")), "features")
-    known_pairs.unpersist()
     for x in (tokens, pairs, words, *shares):
         dropped(spark, x)
     fits = joined.where((F.col("_fold") == 4) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic", "_h", F.xxhash64("doc_id", F.lit(5)).alias("_order"))
