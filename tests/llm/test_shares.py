@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from vellum.llm import toxicity
+from vellum.llm import common, toxicity
 
 
 def test_requests_in_shares_are_all_requests(spark):
@@ -60,3 +60,11 @@ def test_no_bitmap_is_left_beside_the_features(spark, monkeypatch):
     d = spark.createDataFrame([(i, f"thing{i % 7} {'vile scum' if i % 3 == 0 else 'kind'} rare{i}") for i in range(60)], "doc_id long, text string")
     toxicity.text_features(d, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int"))
     assert len(held) == toxicity.PAIR_SHARES and left and not any(left)
+
+
+def test_the_driver_gives_native_memory_back(spark, monkeypatch):
+    asked = []
+    trimmed = common.trimmed
+    monkeypatch.setattr(common, "trimmed", lambda s: asked.append(trimmed(s)))
+    common.dropped(spark, common.saved(spark.range(3)))
+    assert asked == [True]  # with glibc and a JDK of 17.0.9 or later

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,22 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
     jvm.System.gc()  # lets Spark remove the shuffle files of plans that nobody holds any more
+    trimmed(spark)
+
+
+def trimmed(spark: SparkSession) -> bool:
+    """Have the driver's JVM give back the native memory that its many threads have freed; not every JVM can."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # by the interface's method, as the class of the server is not public
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+    args = gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke.invoke(beans, args)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
