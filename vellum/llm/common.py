@@ -97,6 +97,13 @@ def trimmed(spark: SparkSession) -> bool:
     return True
 
 
+def collected(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage, as only then they give back the heap that earlier work took. One task a
+    core, so that each idle executor gets some."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Hint a broadcast when a count proves the side small; else leave the join to shuffle and AQE."""
     return F.broadcast(df) if df.count() <= max_rows else df
