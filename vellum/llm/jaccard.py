@@ -339,7 +339,6 @@ def jaccard_components(docs: DataFrame, counts: list | None = None) -> DataFrame
     dropped(spark, shared)
     marks = saved(info.join(groups.select("node").distinct(), "node", "left_semi").select("node", "marks", "parities").dropDuplicates(["node"]), "marks")
     held = spark.sparkContext.broadcast(frequent)
-    links = None
     comp = spark.createDataFrame([], "node long, root long")
     for r in range(len(PIVOTS) + 1):
         rows = saved(_apart(groups, comp), "apart")
@@ -352,8 +351,13 @@ def jaccard_components(docs: DataFrame, counts: list | None = None) -> DataFrame
             counts.append((pairs.count(), likely.count(), more.count()))
         dropped(spark, pairs)
         dropped(spark, likely)
-        links = more if links is None else links.union(more)
-        comp = saved(components(spark, links), "comp")
+        if not more.isEmpty():
+            # the links of earlier rounds as a star for each of their components
+            found = components(spark, comp.toDF("a", "b").union(more))
+            earlier, comp = comp, saved(found, "comp")
+            dropped(spark, earlier)
+            dropped(spark, found)
+        dropped(spark, more)
     dropped(spark, groups)
     dropped(spark, marks)
     least = info.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
