@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .corpus import Refused
@@ -122,30 +123,54 @@ def text_like(parts: DataFrame) -> DataFrame:
 
     The glyph height and run are upper medians over the image.
     """
-    middle = lambda c: F.expr(f"get(array_sort(collect_list({c})), cast(count({c}) div 2 as int))")
-    glyph = parts.groupBy("img").agg(middle("height").alias("_height"), middle("run").alias("_run"))
-    fits = (F.col("area") >= 4) & F.col("height").between(0.5 * F.col("_height"), 3 * F.col("_height")) & (F.col("run") <= 2 * F.col("_run"))
-    return parts.join(glyph, "img").where(fits).select(*parts.columns, F.col("_height").alias("glyph"))
+    sizes = parts.groupBy("img", "height", "run").agg(F.count("*").alias("n"))
 
+    def middle(value: str) -> DataFrame:
+        n = sizes.where(F.col(value).isNotNull()).groupBy("img", value).agg(F.sum("n").alias("n"))
+        image = Window.partitionBy("img").orderBy(value)
+        upto = F.sum("n").over(image.rowsBetween(Window.unboundedPreceding, 0))
+        total = F.sum("n").over(image.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return n.withColumns({"_upto": upto, "_n": total}).where("_upto > _n div 2").groupBy("img").agg(F.min(value).alias(f"_{value}"))
 
-_PART = "struct<y:bigint,at:bigint,x:bigint,bottom:bigint,right:bigint,area:bigint>"
+    glyph = middle("height").join(middle("run"), "img")
+    fits = (F.col("area") >= 4) & F.col("height").between(0.5 * F.col("_height"), 3 * F.col("_height")) & (F.col("run") <= 2 * F.col("_run"))
+    return parts.join(glyph, "img").where(fits).select(*parts.columns, F.col("_height").alias("glyph"))
 
 
 def ink_lines(parts: DataFrame, least: int = 4, gap: float = 3.0) -> DataFrame:
     """Lines of components (img, at, x, y, width, height, area, glyph): bands of those that overlap the band's last member by half
-    their height, cut at gaps of more than three glyph heights, of four members or more."""
-    part = F.struct("y", "at", "x", (F.col("y") + F.col("height") - 1).alias("bottom"), (F.col("x") + F.col("width") - 1).alias("right"), "area")
-    images = parts.groupBy("img").agg(F.array_sort(F.collect_list(part)).alias("p"), F.max("glyph").alias("glyph"))
-
-    def put(bands: Column, c: Column) -> Column:
-        last = lambda b: F.get(b, F.size(b) - 1)
-        over = lambda b: F.least(c["bottom"], last(b)["bottom"]) - F.greatest(c["y"], last(b)["y"]) + 1
-        fits = lambda b: (over(b) > 0) & (over(b) >= 0.5 * F.least(c["bottom"] - c["y"] + 1, last(b)["bottom"] - last(b)["y"] + 1))
-        first = F.array_min(F.filter(F.transform(bands, lambda b, i: F.when(fits(b), i)), lambda i: i.isNotNull()))
-        return F.when(first.isNull(), F.concat(bands, F.array(F.array(c)))).otherwise(F.transform(bands, lambda b, i: F.when(i == first, F.concat(b, F.array(c))).otherwise(b)))
-
-    bands = images.select("img", "glyph", F.posexplode(F.aggregate("p", F.array().cast(f"array<array<{_PART}>>"), put)).alias("band", "b"))
-    members = bands.select("img", "glyph", "band", F.explode("b").alias("c")).select("img", "glyph", "band", "c.*")
+    their height, cut at gaps of more than three glyph heights, of four members or more.
+
+    An image's components pass by in order, with only the bands in memory that still reach down to them.
+    """
+    rows = parts.select("img", "at", "x", "y", (F.col("y") + F.col("height") - 1).alias("bottom"), (F.col("x") + F.col("width") - 1).alias("right"), "area")
+    rows = rows.repartition("img").sortWithinPartitions("img", "y", "at", "x", "bottom", "right", "area")
+
+    def banded(batches):
+        import pyarrow as pa
+
+        image, live, n = object(), [], 0
+        for batch in batches:
+            found = []
+            for img, y, bottom in zip(*(batch.column(c).to_pylist() for c in ("img", "y", "bottom"))):
+                if img != image:
+                    image, live, n = img, [], 0
+                for band in live if y is not None and bottom is not None else ():
+                    over = min(bottom, band[2]) - max(y, band[1]) + 1
+                    if over > 0 and over >= 0.5 * min(bottom - y + 1, band[2] - band[1] + 1):
+                        band[1:] = y, bottom
+                        break
+                else:
+                    n += 1
+                    band = [n, y, bottom]
+                    if y is not None and bottom is not None:
+                        live = [*(b for b in live if b[2] >= y), band]  # the others end above all that follow
+                found.append(band[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "band"])
+
+    members = rows.mapInArrow(banded, T.StructType([*rows.schema.fields, T.StructField("band", T.LongType())]))
+    glyph = parts.groupBy(F.col("img").alias("_img")).agg(F.max("glyph").alias("glyph"))
+    members = members.join(glyph, F.col("img").eqNullSafe(F.col("_img")))
     order = Window.partitionBy("img", "band").orderBy("x", "at")
     cut = F.coalesce((F.col("x") - F.lag("right").over(order) > gap * F.col("glyph")).cast("int"), F.lit(0))
     members = members.withColumn("_cut", cut).withColumn("part", F.sum("_cut").over(order))
