@@ -3,7 +3,7 @@
 import time
 
 
-from vellum.operators import control
+from vellum.operators import control, reports
 
 
 def test_ink_lines_of_a_large_image(spark):
@@ -32,3 +32,22 @@ def test_medians_are_the_upper_ones(spark):
     cells = [(1, 4, 1), (1, 4, 2), (1, 8, 2), (1, 8, None), (2, 6, 3), (2, None, 3), (2, 7, 9)]
     parts = spark.createDataFrame([(i, 1, 1, 1, h, 9, r) for i, h, r in cells], "img long, at long, x long, y long, height long, area long, run long")
     assert sorted((r["img"], r["height"], r["glyph"]) for r in control.text_like(parts).collect()) == [(1, 4, 8), (1, 4, 8), (1, 8, 8), (2, 6, 7)]
+
+
+def test_unique_names_of_a_large_folder(spark):
+    """20,000 files of one folder whose names clash, numbered ones with those of other bases too."""
+    bases = [("A", "a", "a 2", "A 2 3", "b 4", "a 10", "a 02", "ΟΔΟΣ", "οδοσ")[i * i % 9 if i % 5 else 0] for i in range(20_000)]
+    there = ["a 3 ocr.pdf", "A OCR.PDF", "b 5 ocr.pdf"]
+    files = [(1, i, b, there[i] if i < 3 else f"{b}.pdf") for i, b in enumerate(bases)]
+    taken, following, want = {n.lower() for n in there}, {}, []
+    for b in bases:
+        name, n = f"{b} ocr.pdf", following.get(b.lower(), 2)
+        while name.lower() in taken:
+            name, n = f"{b} {n} ocr.pdf", n + 1
+            following[b.lower()] = n
+        taken.add(name.lower())
+        want.append(name)
+    start = time.time()
+    got = reports.unique_names(spark.createDataFrame(files, "folder long, at long, base string, file string"), " ocr", "pdf").orderBy("at").collect()
+    assert time.time() - start < 60
+    assert [r["name"] for r in got] == want

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Bands of ink outside text, buckets of skew, bars of the gate and the release check.
@@ -259,21 +260,46 @@ def embedded_text(pages: DataFrame) -> DataFrame:
 def unique_names(files: DataFrame, suffix: str, extension: str) -> DataFrame:
     """(folder, at, base, name): an output name for each file, in order, that no file and no earlier output of its folder has, whatever the case.
 
-    A folder's names are one ordered fold.
+    Only bases that are one but for numbers behind them can come to one name, so the ordered fold runs over those of a folder.
+    Its memory holds the next number of each base and the names without a number of its own, not all that were given.
     """
-    rows = files.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("at", "base"))).alias("f"), F.collect_set(F.lower("file")).alias("taken"))
-
-    def put(state: Column, f: Column) -> Column:
-        first = F.concat(f["base"], F.lit(f"{suffix}.{extension}"))
-        # one of so many names is free, as no more are taken
-        tries = F.concat(F.array(first), F.transform(F.sequence(F.lit(2), F.size(state["taken"]) + 2), lambda n: F.concat(f["base"], F.lit(" "), n.cast("string"), F.lit(f"{suffix}.{extension}"))))
-        name = F.get(F.filter(tries, lambda t: ~F.array_contains(state["taken"], F.lower(t))), F.lit(0))
-        named = F.struct(f["at"].alias("at"), f["base"].alias("base"), name.alias("name"))
-        return F.struct(F.concat(state["taken"], F.array(F.lower(name))).alias("taken"), F.concat(state["out"], F.array(named)).alias("out"))
-
-    at = files.schema["at"].dataType.simpleString()
-    start = F.struct(F.col("taken"), F.array().cast(f"array<struct<at:{at},base:string,name:string>>").alias("out"))
-    return rows.select("folder", F.inline(F.aggregate("f", start, put)["out"]))
+    tail = F.lower(F.lit(f"{suffix}.{extension}"))
+    body = lambda name: F.left(name, F.length(name) - F.length(tail))
+    # a small sigma's form depends on what follows it
+    family = F.translate(F.regexp_replace("body", r"( [1-9][0-9]*)+\z", ""), "ς", "σ")
+    names = files.select("folder", F.lit(1).alias("kind"), "at", "base", body(F.lower(F.concat("base", F.lit(f"{suffix}.{extension}")))).alias("body"), F.lower(F.concat("base", F.lit(" "))).alias("head"))
+    there = files.select("folder", F.lower("file").alias("low")).where(F.col("low").endswith(tail)).distinct()
+    there = there.select("folder", F.lit(0).alias("kind"), body(F.col("low")).alias("body"))
+    rows = there.unionByName(names, allowMissingColumns=True).withColumn("family", family)
+    rows = rows.repartition("folder", "family").sortWithinPartitions("folder", "family", "kind", "at", "base")
+
+    def numbered(batches):
+        import pyarrow as pa
+
+        now, taken, following = object(), set(), {}
+        for batch in batches:
+            out = []
+            for folder, family, kind, body, head in zip(*(batch.column(c).to_pylist() for c in ("folder", "family", "kind", "body", "head"))):
+                if (folder, family) != now:
+                    now, taken, following = (folder, family), set(), {}
+                n = 1
+                if kind and body is not None:
+                    front, space, k = body.rpartition(" ")
+                    own = k.isascii() and k.isdigit() and k[0] != "0" and len(k) < 19
+                    # all numbers of a base below its next one are taken
+                    if body in taken or own and 2 <= int(k) < following.get(front + space, 2):
+                        n = following.get(head, 2)
+                        while f"{head}{n}" in taken:
+                            n += 1
+                        following[head] = n + 1
+                if n == 1 and body is not None:
+                    taken.add(body)
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "n"])
+
+    out = rows.mapInArrow(numbered, T.StructType([*rows.schema.fields, T.StructField("n", T.LongType())])).where("kind = 1")
+    number = F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit(" "), F.col("n").cast("string")))
+    return out.select("folder", "at", "base", F.concat("base", number, F.lit(f"{suffix}.{extension}")).alias("name"))
 
 
 def run_report(outcomes: DataFrame) -> DataFrame:
