@@ -3,7 +3,10 @@
 import time
 
 
+from pyspark.sql import functions as F
+
 from vellum.operators import control, reports
+from vellum.plans import registry, text_queries
 
 
 def test_ink_lines_of_a_large_image(spark):
@@ -51,3 +54,13 @@ def test_unique_names_of_a_large_folder(spark):
     got = reports.unique_names(spark.createDataFrame(files, "folder long, at long, base string, file string"), " ocr", "pdf").orderBy("at").collect()
     assert time.time() - start < 60
     assert [r["name"] for r in got] == want
+
+
+def test_columns_of_pages_are_spread_by_the_size_of_the_documents(spark, tmp_path):
+    """The pages alone are a small shuffle, which AQE joins to few partitions; each page then becomes a hundred rows."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat(cast(rand(1) as string), 4) as text", "'en' as lang", "'s' as source", "72L as n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = text_queries.ink_columns(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == 4 and max(r["count"] for r in rows) < 100_000
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert registry.pieces(d) == 4 and registry.pieces(d, 1 << 10) > 40 and registry.pieces(d, most_rows=100) == 30

@@ -267,10 +267,10 @@ def gutters(columns: DataFrame, width: int, share: float = 0.035, margin: float
 
     Quiet is a hundredth of the greatest ink. A run that no inky column ends is none.
     """
-    page = Window.partitionBy(*PAGE)
-    out = columns.withColumn("_peak", F.max("ink").over(page)).where("_peak > 0")
+    page = Window.partitionBy(*PAGE).orderBy("x")  # one order for both, as the columns are many
+    out = columns.withColumn("_peak", F.max("ink").over(page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("_peak > 0")
     loud = out.where(F.col("ink") > F.greatest(F.lit(1), F.floor(F.col("_peak") / 100)))
-    out = loud.select(*PAGE, F.col("x").alias("high"), (F.coalesce(F.lag("x").over(page.orderBy("x")), F.lit(-1)) + 1).alias("low"))
+    out = loud.select(*PAGE, F.col("x").alias("high"), (F.coalesce(F.lag("x").over(page), F.lit(-1)) + 1).alias("low"))
     return out.where((F.col("high") - F.col("low") >= int(share * width)) & (F.col("low") < F.col("high")) & (F.col("low") > int(margin * width)) & (F.col("high") < width - int(margin * width))).select(*PAGE, "low", "high")
 
 

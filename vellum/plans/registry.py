@@ -41,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(df: DataFrame, most: int = 8 << 20, most_rows: int = 10_000) -> int:
+    """So many partitions that each stands for ``most`` bytes of the files read and ``most_rows`` of their rows, but no fewer than a shuffle has."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // most), -(-df.count() // most_rows))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("i", "t"))
     return lines.selectExpr(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import layout, textlayer
-from .registry import OBS_SQL, observations, query, table
+from .registry import OBS_SQL, observations, pieces, query, table
 
 LINES_SQL = OBS_SQL + """,
 o AS (SELECT doc, page, pos, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height, text,
@@ -208,7 +208,9 @@ gt AS (SELECT doc, page, min(x) AS low, max(x) + 1 AS high FROM ir WHERE quiet G
 
 
 def ink_columns(spark, sf_dir):
-    pages = observations(spark, sf_dir).select("doc", "page").distinct().withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint"))))
+    # a hundred rows a page: partitions by the size of the documents, as AQE would join them by that of the pages; behind distinct() they would be dropped
+    pages = observations(spark, sf_dir).select("doc", "page").repartition(pieces(table(spark, sf_dir, "documents")), "doc", "page").distinct()
+    pages = pages.withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint"))))
     return pages.selectExpr("doc", "page", "x", "case when x between 45 and 45 + page % 6 + doc % 3 or x < 8 or x > 95 - doc % 4 then 0 when (x * 7 + doc) % 13 = 0 then 1 else 50 + (x * doc) % 100 end as ink")
 
 
