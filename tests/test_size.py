@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from vellum.operators import control, reports
+from vellum.operators import control, reports, structure
 from vellum.plans import registry, text_queries
 
 
@@ -64,3 +64,11 @@ def test_columns_of_pages_are_spread_by_the_size_of_the_documents(spark, tmp_pat
     assert len(rows) == 4 and max(r["count"] for r in rows) < 100_000
     d = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert registry.pieces(d) == 4 and registry.pieces(d, 1 << 10) > 40 and registry.pieces(d, most_rows=100) == 30
+
+
+def test_closure_of_many_paths(spark):
+    """40 nodes of which each refers to the next two stand on some 10**8 paths."""
+    steps = [(i, i + k) for i in range(39) for k in (1, 2) if i + k < 40]
+    edges = spark.createDataFrame([*steps, (39, 0), (3, None)], "from_node long, to_node long")
+    got = sorted(tuple(r) for r in structure.closure(edges, spark.createDataFrame([(0,), (30,)], "node long")).collect())
+    assert got == [(r, i) for r in (0, 30) for i in range(40)]

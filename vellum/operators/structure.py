@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..intermediate import saved
+
 MOST_DEPTH = 64
 
 
-def _recursive(df: DataFrame, sql: str, **tables: DataFrame) -> DataFrame:
-    """A recursive query; Spark's bound on its rows is lifted, as depth bounds it."""
-    df.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return df.sparkSession.sql(sql, **tables)
+def _levels(level: DataFrame, step: Callable[[DataFrame], DataFrame], depth: int | None = None) -> DataFrame:
+    """The rows of a first level and of those that ``step`` makes of the one before, until one is empty or ``depth`` is reached.
+
+    Each level is written once. The joins are to be merges, so that nothing but counts comes to the driver.
+    """
+    found = saved(level, "level")
+    last, n = found, 1
+    while depth is None or n < depth:
+        last, n = saved(step(last), "level"), n + 1
+        if last.isEmpty():
+            break
+        found = found.union(last)
+    return found
 
 
 def outline(nodes: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
@@ -23,10 +37,16 @@ def outline(nodes: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
     """
     kids = nodes.where("parent is not null").select("doc", F.col("parent").alias("id")).distinct()
     kept = nodes.join(kids, ["doc", "id"], "left_semi").unionByName(nodes.where("page is not null").join(kids, ["doc", "id"], "left_anti"))
-    paths = _recursive(nodes, f"""WITH RECURSIVE t(doc, id, parent, title, page, level, path) MAX RECURSION LEVEL {depth} AS (
-        SELECT doc, id, parent, title, page, 1, array(struct(at, id)) FROM {{kept}} WHERE parent IS NULL
-        UNION ALL SELECT n.doc, n.id, n.parent, n.title, n.page, t.level + 1, array_append(t.path, struct(n.at, n.id)) FROM {{kept}} n JOIN t ON n.doc = t.doc AND n.parent = t.id WHERE t.level < {depth})
-        SELECT * FROM t""", kept=kept)
+    kept = saved(kept, "nodes")
+    columns = ["doc", "id", "parent", "title", "page"]
+    under = kept.select(*columns, F.struct("at", "id").alias("_here"))
+
+    def below(level):
+        above = level.select("doc", F.col("id").alias("parent"), "level", "path").hint("merge")
+        return under.join(above, ["doc", "parent"]).select(*columns, (F.col("level") + 1).alias("level"), F.array_append("path", F.col("_here")).alias("path"))
+
+    top = under.where("parent is null").select(*columns, F.lit(1).alias("level"), F.array("_here").alias("path"))
+    paths = _levels(top, below, depth)
     out = paths.withColumn("number", F.row_number().over(Window.partitionBy("doc").orderBy("path")))
     above = out.select("doc", F.explode(F.slice("path.id", 1, F.size("path") - 1)).alias("id")).groupBy("doc", "id").agg(F.count("*").alias("below"))
     out = out.join(above, ["doc", "id"], "left").na.fill(0, ["below"])
@@ -44,20 +64,31 @@ def mapped_outline(nodes: DataFrame, pages: DataFrame) -> DataFrame:
 
 def page_tree(nodes: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
     """Leaves of a page tree (id, parent, at, rotate, box, leaf) in order, rotation and box inherited from above, rotation modulo 360."""
-    paths = _recursive(nodes, f"""WITH RECURSIVE t(id, leaf, rotate, box, level, path) MAX RECURSION LEVEL {depth} AS (
-        SELECT id, leaf, rotate, box, 1, array(struct(at, id)) FROM {{nodes}} WHERE parent IS NULL
-        UNION ALL SELECT n.id, n.leaf, coalesce(n.rotate, t.rotate), coalesce(n.box, t.box), t.level + 1, array_append(t.path, struct(n.at, n.id)) FROM {{nodes}} n JOIN t ON n.parent = t.id WHERE t.level < {depth})
-        SELECT * FROM t WHERE leaf""", nodes=nodes)
+    nodes = saved(nodes, "nodes")
+
+    def below(level):
+        above = level.selectExpr("id as parent", "rotate as _rotate", "box as _box", "path").hint("merge")
+        return nodes.join(above, "parent").select("id", "leaf", F.coalesce("rotate", "_rotate").alias("rotate"), F.coalesce("box", "_box").alias("box"), F.array_append("path", F.struct("at", "id")).alias("path"))
+
+    top = nodes.where("parent is null").select("id", "leaf", "rotate", "box", F.array(F.struct("at", "id")).alias("path"))
+    paths = _levels(top, below, depth).where("leaf")
     return paths.select("id", F.pmod(F.coalesce("rotate", F.lit(0)), F.lit(360)).alias("rotate"), "box", (F.size("path") - 1).alias("depth"), "path")
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """(root, node): what each root refers to, directly or not, each node once."""
-    found = _recursive(edges, f"""WITH RECURSIVE t(root, node, seen) MAX RECURSION LEVEL {depth} AS (
-        SELECT node, node, array(node) FROM {{roots}}
-        UNION ALL SELECT t.root, e.to_node, array_append(t.seen, e.to_node) FROM t JOIN {{edges}} e ON e.from_node = t.node WHERE NOT array_contains(t.seen, e.to_node) AND size(t.seen) < {depth})
-        SELECT root, node FROM t""", edges=edges, roots=roots)
-    return found.distinct()
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node): what each root refers to, directly or not, each node once.
+
+    Level by level, without the nodes that a root has already, so that paths are not told apart.
+    """
+    edges = saved(edges.where("to_node is not null").select(F.col("from_node").alias("node"), "to_node").distinct(), "edges")
+    found = []
+
+    def beyond(level):
+        found.append(level)
+        known = reduce(DataFrame.union, found).hint("merge")
+        return level.join(edges.hint("merge"), "node").select("root", F.col("to_node").alias("node")).distinct().join(known, ["root", "node"], "left_anti")
+
+    return _levels(roots.select(F.col("node").alias("root"), "node").distinct(), beyond)
 
 
 def copied_ids(edges: DataFrame, roots: DataFrame, pages: DataFrame, first: int) -> DataFrame:
