@@ -72,3 +72,11 @@ def test_closure_of_many_paths(spark):
     edges = spark.createDataFrame([*steps, (39, 0), (3, None)], "from_node long, to_node long")
     got = sorted(tuple(r) for r in structure.closure(edges, spark.createDataFrame([(0,), (30,)], "node long")).collect())
     assert got == [(r, i) for r in (0, 30) for i in range(40)]
+
+
+def test_copies_over_many_paths_are_numbered_without_gaps(spark):
+    """Pages and what only they lead to stay out, whatever the number of paths."""
+    steps = [(i, i + k) for i in range(39) for k in (1, 2) if i + k < 40]
+    edges = spark.createDataFrame([*steps, (5, 100), (100, 101)], "from_node long, to_node long")
+    got = structure.copied_ids(edges, spark.createDataFrame([(0,)], "node long"), spark.createDataFrame([(100,)], "node long"), 7).orderBy("node").collect()
+    assert [tuple(r) for r in got] == [(0, i, 7 + i) for i in range(40)]
