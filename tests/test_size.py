@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from vellum.operators import control, reports, structure
+from vellum.operators import control, pages, reports, structure, textlayer
 from vellum.plans import registry, text_queries
 
 
@@ -80,3 +80,12 @@ def test_copies_over_many_paths_are_numbered_without_gaps(spark):
     edges = spark.createDataFrame([*steps, (5, 100), (100, 101)], "from_node long, to_node long")
     got = structure.copied_ids(edges, spark.createDataFrame([(0,)], "node long"), spark.createDataFrame([(100,)], "node long"), 7).orderBy("node").collect()
     assert [tuple(r) for r in got] == [(0, i, 7 + i) for i in range(40)]
+
+
+def test_retention_moves_texts_and_not_their_words(spark):
+    """Rows of a document count together, and words one by one never travel."""
+    schema = "doc long, text string"
+    truth = spark.createDataFrame([(1, "A b\u00a0c a"), (1, "a\tB"), (2, None), (3, " "), (4, "x"), (None, "y")], schema)
+    got = textlayer.retention(truth, spark.createDataFrame([(1, "a a b"), (1, "B z"), (2, "q"), (None, "y")], schema))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [(1, 3, 5), (4, 0, 1), (None, 0, 1)]
+    assert "word" not in got._jdf.queryExecution().executedPlan().toString()

@@ -5,8 +5,11 @@ Boxes are shares of the page with the origin at the top left; runs are in points
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .layout import HYPHENS, LEAST_GAP, PAGE, SAME_LINE, baseline, headroom, right_limit, shared_width, usable, without_doubles
@@ -256,10 +259,34 @@ def interleaving(lines: DataFrame) -> DataFrame:
 
 
 def retention(truth: DataFrame, got: DataFrame) -> DataFrame:
-    """(doc, matched, total): words of the truth that come back, each as often as both have it; both are (doc, text)."""
-    count = lambda df, name: df.select("doc", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word")).groupBy("doc", "word").agg(F.count("*").alias(name))
-    both = count(truth, "n").join(count(got, "m"), ["doc", "word"], "left")
-    return both.groupBy("doc").agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("matched"), F.sum("n").alias("total"))
+    """(doc, matched, total): words of the truth that come back, each as often as both have it; both are (doc, text).
+
+    Whole texts meet and are counted there, as their words one by one would be many times their size.
+    """
+    texts = truth.select("doc", F.lit(True).alias("true"), F.lower("text").alias("text")).union(got.select("doc", F.lit(False), F.lower("text")))
+    texts = texts.where("text is not null").repartition("doc").sortWithinPartitions("doc")
+
+    def count(batches):
+        import pyarrow as pa
+
+        def row():
+            return (now, (words[True] & words[False]).total() if now is not None else 0, words[True].total())
+
+        now, words, kind = None, None, None
+        for batch in batches:
+            out, kind = [], batch.schema.field("doc").type
+            for doc, true, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "true", "text"))):
+                if words is None or doc != now:
+                    if words:
+                        out.append(row())
+                    now, words = doc, {True: Counter(), False: Counter()}
+                words[true].update(text.encode("utf-8", "surrogatepass").split())  # bytes part at ASCII white space, as \s does
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (kind, pa.int64(), pa.int64()))], ["doc", "matched", "total"])
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row(), (kind, pa.int64(), pa.int64()))], ["doc", "matched", "total"])
+
+    schema = T.StructType([texts.schema["doc"], T.StructField("matched", T.LongType()), T.StructField("total", T.LongType())])
+    return texts.mapInArrow(count, schema).where("total > 0")
 
 
 def gutters(columns: DataFrame, width: int, share: float = 0.035, margin: float = 0.12) -> DataFrame:
