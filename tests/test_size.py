@@ -89,3 +89,14 @@ def test_retention_moves_texts_and_not_their_words(spark):
     got = textlayer.retention(truth, spark.createDataFrame([(1, "a a b"), (1, "B z"), (2, "q"), (None, "y")], schema))
     assert sorted((tuple(r) for r in got.collect()), key=str) == [(1, 3, 5), (4, 0, 1), (None, 0, 1)]
     assert "word" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_helper_settings_are_parsed_once(spark):
+    """The last value of a name counts; planning took more than a minute when each value was an expression of the whole list."""
+    good = ["--fast", "1", "--language-correction", "0", "--languages", "en", "--custom-words", "", "--min-text-height-on", "0", "--min-text-height", "0.5", "--confidence", "0.25"]
+    lists = [[*good, "--fast", "0"], [*good, "--odd"], [*good, "odd", "1"], good[2:], [*good, "--fast", "yes"], [*good, "--more", None], [*good, None, "1"], [], None]
+    start = time.time()
+    got = spark.createDataFrame([(i, a) for i, a in enumerate(lists)], "i int, a array<string>").select("i", pages.helper_settings(F.col("a")).alias("s")).select("i", "s", "s.fast", "s.confidence").orderBy("i").collect()
+    assert time.time() - start < 30
+    assert [r["i"] for r in got if r["s"] is not None] == [0, 5] and got[0]["fast"] is False and got[5]["fast"] is True
+    assert tuple(got[0]["s"]) == (False, False, "en", "", False, 0.5, 0.25)

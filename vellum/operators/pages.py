@@ -179,22 +179,29 @@ def helper_settings(arguments: Column) -> Column:
 
     Of a repeated name the last value counts.
     """
-    at = F.sequence(F.lit(0), F.size(arguments) - 1, F.lit(2))
-    names = F.when(F.size(arguments) > 0, F.transform(at, lambda i: F.get(arguments, i))).otherwise(F.array().cast("array<string>"))
-    whole = (F.size(arguments) % 2 == 0) & F.forall(names, lambda n: n.startswith("--"))
-
-    def value(name):
-        places = F.filter(at, lambda i: F.get(arguments, i) == f"--{name}")
-        return F.when(F.size(arguments) > 0, F.get(arguments, F.get(places, F.size(places) - 1) + 1))
-
-    flag = lambda name: F.when(value(name) == "1", True).when(value(name) == "0", False)
-    out = {
-        "fast": flag("fast"), "correction": flag("language-correction"), "languages": value("languages"), "words": value("custom-words"),
-        "least_height_on": flag("min-text-height-on"), "least_height": value("min-text-height").try_cast("double"), "confidence": value("confidence").try_cast("double"),
-    }
-    for c in out.values():
-        whole = whole & c.isNotNull()
-    return F.when(whole, F.struct(*(c.alias(k) for k, c in out.items())))
+    def bound(value: Column, body) -> Column:
+        """``body`` of a value that is worked out once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def parsed(pairs: Column) -> Column:
+        # the last of a name is the first from behind; place 0, of a name that is not there, gives null
+        value = lambda name: F.get(pairs["values"], F.array_position(pairs["names"], f"--{name}").cast("int") - 1)
+        flag = lambda name: bound(value(name), lambda v: F.when(v == "1", True).when(v == "0", False))
+        out = {
+            "fast": flag("fast"), "correction": flag("language-correction"), "languages": value("languages"), "words": value("custom-words"),
+            "least_height_on": flag("min-text-height-on"), "least_height": value("min-text-height").try_cast("double"), "confidence": value("confidence").try_cast("double"),
+        }
+
+        def whole(found: Column) -> Column:
+            ok = pairs["even"] & F.forall(pairs["names"], lambda n: n.startswith("--"))
+            for k in out:
+                ok = ok & found[k].isNotNull()
+            return F.when(ok, found)
+
+        return bound(F.struct(*(c.alias(k) for k, c in out.items())), whole)
+
+    every = lambda a, rest: F.reverse(F.filter(a, lambda _, i: i % 2 == rest))
+    return bound(arguments, lambda a: bound(F.struct(every(a, 0).alias("names"), every(a, 1).alias("values"), (F.size(a) % 2 == 0).alias("even")), parsed))
 
 
 def scorer_pages(count: Column) -> Column:
