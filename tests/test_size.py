@@ -100,3 +100,13 @@ def test_helper_settings_are_parsed_once(spark):
     assert time.time() - start < 30
     assert [r["i"] for r in got if r["s"] is not None] == [0, 5] and got[0]["fast"] is False and got[5]["fast"] is True
     assert tuple(got[0]["s"]) == (False, False, "en", "", False, 0.5, 0.25)
+
+
+def test_values_without_reference_do_not_meet_in_the_join(spark):
+    """They have no key, so all of them would be in one partition."""
+    rows = spark.range(0, 4000).selectExpr("id", "if(id % 4 = 0, id || ' 0 R', 'plain ' || id) as value")
+    got = structure.resolved(rows, spark.range(0, 3000).selectExpr("id as object", "'of ' || id as content").hint("merge"))
+    want = {i: f"plain {i}" if i % 4 else f"of {i}" if i < 3000 else None for i in range(4000)}
+    assert {r["id"]: r["value"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "isnotnull" in plan[plan.index("Join LeftOuter"):]

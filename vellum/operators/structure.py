@@ -105,7 +105,10 @@ def reference(value: Column) -> Column:
 
 def resolved(rows: DataFrame, objects: DataFrame) -> DataFrame:
     """Values of rows (id, value) with those of the objects (object, content) that they refer to in their place."""
-    return rows.withColumn("_ref", reference(F.col("value"))).join(objects, F.col("_ref") == F.col("object"), "left").select("id", F.when(F.col("_ref").isNotNull(), F.col("content")).otherwise(F.col("value")).alias("value"))
+    rows = rows.withColumn("_ref", reference(F.col("value")))
+    # what refers to nothing would meet in one partition
+    plain = rows.where("_ref is null").select("id", "value")
+    return plain.union(rows.where("_ref is not null").join(objects, F.col("_ref") == F.col("object"), "left").select("id", F.col("content").alias("value")))
 
 
 def moved(numbers: Column, dx: Column, dy: Column) -> Column:
