@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from vellum.operators import control, pages, reports, structure, textlayer
+from vellum.operators import control, layout, pages, reports, structure, textlayer
 from vellum.plans import registry, text_queries
 
 
@@ -110,3 +110,14 @@ def test_values_without_reference_do_not_meet_in_the_join(spark):
     assert {r["id"]: r["value"] for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and "isnotnull" in plan[plan.index("Join LeftOuter"):]
+
+
+def test_neighbours_are_found_without_joining_lines(spark):
+    """The same as headroom() and right_limit(), where lines share a place too; the lines are read once."""
+    cells = [(d, 1, i % 17, ((i * 29) % 90) / 100, (i // 3) * 0.05 + (i % 3) * 0.004, 0.35, 0.02 + (i % 2) * 0.015, f"t {i}") for d in (1, 2, None) for i in range(17 if d == 1 else 20)]
+    lines = spark.createDataFrame(cells, "doc long, page long, pos long, x double, y double, width double, height double, text string")
+    keys = ["doc", "page", "pos"]
+    want = lines.join(layout.headroom(lines), keys, "left").join(layout.right_limit(lines), keys, "left").select(*keys, "text", "room", "limit")
+    got = textlayer.neighbours(lines).select(*keys, "text", "room", "limit")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "Join" not in textlayer.placement(lines)._jdf.queryExecution().executedPlan().toString()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .layout import HYPHENS, LEAST_GAP, PAGE, SAME_LINE, baseline, headroom, right_limit, shared_width, usable, without_doubles
+from .layout import HYPHENS, LEAST_GAP, LEAST_OVERLAP, PAGE, ROOM_SHARE, SAME_LINE, baseline, shared_width, usable, without_doubles
 
 # Geometry of joins and runs.
 NEXT_SHARED_WIDTH, NEXT_DROP, PAGE_EDGE, CONTINUATIONS = 0.6, 2.5, 0.25, 3
@@ -74,6 +74,36 @@ def advance(text: Column) -> Column:
     return F.when(F.length(text) > 0, total).otherwise(0) / 1000.0
 
 
+def neighbours(lines: DataFrame, page_width: float = 612.0, page_height: float = 792.0) -> DataFrame:
+    """lines with their headroom() and right_limit(), of which each page's are found in one list of its lines.
+
+    Lines of one place on a page share the least of both.
+    """
+    line = F.struct(*(F.col(c) for c in lines.columns), baseline(F.col("y"), F.col("height"), page_height).alias("_base"))
+    found = lines.groupBy(*PAGE).agg(F.collect_list(line).alias("_l"))
+
+    def near(a: Column) -> Column:
+        def nearer(best: Column, b: Column) -> Column:
+            gap = F.abs(b["_base"] - a["_base"])
+            over = F.least(a["x"] + a["width"], b["x"] + b["width"]) - F.greatest(a["x"], b["x"])
+            known = F.col("doc").isNotNull() & F.col("page").isNotNull() & a["pos"].isNotNull()
+            above = known & (gap > LEAST_GAP) & (over * page_width > LEAST_OVERLAP) & (a["pos"] != b["pos"]) & ~(gap < SAME_LINE * F.least(a["height"], b["height"]) * page_height)
+            right = known & (b["x"] > a["x"]) & (gap < SAME_LINE * F.greatest(a["height"], b["height"]) * page_height) & (shared_width(a["x"], a["width"], b["x"], b["width"]) <= 0.5)
+            return F.struct(F.when(above, F.least(best["gap"], gap)).otherwise(best["gap"]).alias("gap"), F.when(right, F.least(best["limit"], b["x"])).otherwise(best["limit"]).alias("limit"))
+
+        none = F.struct(F.lit(None).cast("double").alias("gap"), F.lit(None).cast("double").alias("limit"))
+        return F.struct(a.alias("l"), F.aggregate("_l", none, nearer).alias("n"))
+
+    def shared(e: Column) -> Column:
+        same = F.filter("_e", lambda o: o["l"]["pos"] == e["l"]["pos"])
+        return F.struct(e["l"].alias("l"), F.struct(F.array_min(same["n"]["gap"]).alias("gap"), F.array_min(same["n"]["limit"]).alias("limit")).alias("n"))
+
+    found = found.withColumn("_e", F.transform("_l", near)).drop("_l")
+    once = F.size(F.array_distinct("_e.l.pos")) == F.size("_e")
+    found = found.select(F.explode(F.when(once, F.col("_e")).otherwise(F.transform("_e", shared))).alias("_e"))
+    return found.select(*(F.col(f"_e.l.{c}").alias(c) for c in lines.columns), (F.col("_e.n.gap") / ROOM_SHARE).alias("room"), F.col("_e.n.limit").alias("limit"))
+
+
 def placement(lines: DataFrame, page_width: float = 612.0, page_height: float = 792.0) -> DataFrame:
     """Each line's run: size, vertical squash, place, shares of the wanted width and height, or why it is ``refused``.
 
@@ -81,10 +111,11 @@ def placement(lines: DataFrame, page_width: float = 612.0, page_height: float =
     follows the ink and the room to the neighbouring lines, and wins where both cannot be had.
     """
     keys = [*PAGE, "pos"]
-    out = lines.join(headroom(lines, page_height, page_width), keys, "left").join(right_limit(lines, page_height), keys, "left")
+    # measured below the page's list, where no filter on what follows from it can repeat it
+    out = neighbours(lines.withColumn("_ems", advance(F.col("text"))), page_width, page_height)
     out = out.withColumns({"box_width": F.col("width") * page_width, "box_height": F.col("height") * page_height, "left": F.col("x") * page_width})
     out = out.withColumns({"bottom": page_height - F.col("y") * page_height - F.col("box_height"), "reference": F.greatest(F.col("box_height"), F.lit(1.0)), "_limit": F.col("limit") * page_width})
-    out = out.withColumn("advance", advance(F.col("text")) * F.col("reference"))
+    out = out.withColumn("advance", F.col("_ems") * F.col("reference"))
     out = out.withColumn("refused", F.when(F.col("text") == "", "empty text").when(~((F.col("box_width") > LEAST_BOX) & (F.col("box_height") > LEAST_BOX)), "box too small").when(F.col("advance") <= 0, "no width"))
     allowed = F.try_divide(F.col("_limit") - F.col("left"), 1 + RESERVE_EMS * F.try_divide("reference", "advance"))
     out = out.withColumn("limited", F.coalesce((allowed > 0) & (allowed < F.col("box_width")), F.lit(False)))
