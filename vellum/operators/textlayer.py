@@ -192,10 +192,10 @@ def visual_lines(lines: DataFrame, page_height: float = 792.0, taller: bool = Fa
         near = lambda g: F.abs(g["base"] - b["m"]["base"])
         scale = F.greatest if taller else F.least
         fits = F.filter(F.transform(groups, lambda g, i: F.struct(near(g).alias("d"), i.alias("i"), (near(g) < SAME_LINE * scale(g["high"], b["high"])).alias("ok"))), lambda c: c["ok"])
-        best = F.array_min(fits)["i"]
         new = F.struct(b["m"]["base"].alias("base"), b["high"].alias("high"), F.array(b["m"]).alias("members"))
-        more = F.transform(groups, lambda g, i: F.struct(g["base"].alias("base"), g["high"].alias("high"), F.when(i == best, F.concat(g["members"], F.array(b["m"]))).otherwise(g["members"]).alias("members")))
-        return F.when(best.isNull(), F.concat(groups, F.array(new))).otherwise(more)
+        more = lambda best: F.transform(groups, lambda g, i: F.when(i == best, F.struct(g["base"].alias("base"), g["high"].alias("high"), F.concat(g["members"], F.array(b["m"])).alias("members"))).otherwise(g))
+        # a variable of a lambda, as the nearest group would else be looked for again at each group
+        return F.get(F.transform(F.array(F.array_min(fits)["i"]), lambda best: F.when(best.isNull(), F.concat(groups, F.array(new))).otherwise(more(best))), F.lit(0))
 
     none = F.array().cast(f"array<struct<base:double,high:double,members:array<{_MEMBER}>>>")
     out = boxes.select(*PAGE, F.posexplode(F.aggregate("boxes", none, put)).alias("line", "g")).withColumn("m", F.array_sort("g.members"))
@@ -211,7 +211,8 @@ def anchor(text: Column, page: Column) -> Column:
     """The longest of a line's words of four letters or more, of eight tried, that stands once in the page's text; null if none."""
     words = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4)
     ranked = F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
-    return F.get(F.filter(F.slice(ranked, 1, 8), lambda c: occurrences(page, c["w"]) == 1), F.lit(0))["w"]
+    # the page is searched for no word behind the first that fits
+    return F.aggregate(F.slice(ranked, 1, 8), F.lit(None).cast("string"), lambda best, c: F.when(best.isNotNull(), best).when(occurrences(page, c["w"]) == 1, c["w"]))
 
 
 def welds(lines: DataFrame, pages: DataFrame) -> DataFrame:
