@@ -121,3 +121,10 @@ def test_neighbours_are_found_without_joining_lines(spark):
     got = textlayer.neighbours(lines).select(*keys, "text", "room", "limit")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert "Join" not in textlayer.placement(lines)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_anchor_is_the_longest_word_that_stands_once(spark):
+    """Words that stand twice are passed over; without any other there is no anchor."""
+    page = "lengthiest lengthiest unique1 other common common"
+    df = spark.createDataFrame([("common other lengthiest unique1", page), ("common lengthiest", page), ("a b", page)], "text string, page string")
+    assert [r[0] for r in df.select(textlayer.anchor(F.col("text"), F.col("page"))).collect()] == ["unique1", None, None]
